@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strider.llm import chat, media, mixing, urls
+from strider.llm import chat, html, media, mixing, urls, warc
 
-MODULES = (chat, mixing, media, urls)
+MODULES = (chat, mixing, media, html, warc, urls)
 
 
 def _all(what: str) -> dict:
