@@ -118,10 +118,11 @@ def archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
     spark = pages.sparkSession
     bounded_batches(spark)
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("_sha")).alias("p").join(
-        roles(pages, min_bytes).alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p._sha") == F.col("r._sha"))
-    )
-    rows = rows.select("p.page_id", "p.url", "p.html", "p._sha", F.row_number().over(W.partitionBy("p.page_id", "p._sha").orderBy("p.url")).alias("_copy"), "r._refers")
+    # join and numbering share one exchange of the html: both use (_key, _sha)
+    key = lambda df: df.withColumn("_key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    said = key(roles(pages, min_bytes)).select("_key", "_sha", "_refers")
+    rows = key(pages.select("page_id", "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("_sha"))).join(said, ["_key", "_sha"])
+    rows = rows.select("page_id", "url", "html", "_sha", F.row_number().over(W.partitionBy("_key", "_sha").orderBy("url")).alias("_copy"), "_refers")
 
     def run(batches):
         for batch in batches:
