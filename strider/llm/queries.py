@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strider.llm import chat, html, langid, media, mixing, urls, warc
+from strider.llm import chat, html, langid, media, mixing, neardup, urls, warc
 
-MODULES = (langid, chat, mixing, media, html, warc, urls)
+MODULES = (langid, chat, neardup, mixing, media, html, warc, urls)
 
 
 def _all(what: str) -> dict:
