@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strider.llm import chat, html, langid, media, mixing, neardup, substrings, urls, warc
+from strider.llm import chat, decontam, html, langid, media, mixing, neardup, substrings, urls, warc
 
-MODULES = (langid, chat, neardup, mixing, media, html, warc, substrings, urls)
+MODULES = (langid, chat, neardup, mixing, media, html, warc, substrings, urls, decontam)
 
 
 def _all(what: str) -> dict:
