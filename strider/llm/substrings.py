@@ -1,12 +1,12 @@
 """Substring dedup: every byte that a LENGTH-byte string covers which also starts in a document with a smaller id.
 
 Strings meet by anchors. The anchor of a string is the smallest hash among its q-grams, so equal strings have equal
-anchors, and consecutive strings of a text mostly share theirs: a run of them is one context, some 67 bytes for 18
+anchors, and consecutive strings of a text mostly share theirs: a run of them is one context, some 65 bytes for 16
 strings. Only contexts whose anchor occurs in more than one document are compared. They are gathered by anchor and their
 suffixes are sorted to depth LENGTH by bucket-pointer refinement: suffixes start in buckets by their first q bytes;
 a bucket is refined by sorting its members on the bucket identifiers that their later offsets have reached, so each
 round reuses the refinements of the rounds before it and doubles the depth; buckets with one member are never touched
-again. A final bucket is one string; its smallest document id keeps it, all others lose it.
+again. Contexts that hold no string whose hash recurs are left out of the sort. A final bucket is one string; its smallest document id keeps it, all others lose it.
 
 Scale: three shuffles: anchors (8-byte hash and id), contexts of shared anchors, and spans by document; texts are
 shuffled once by doc_id, and that exchange serves both reading contexts and cutting spans. A task merges equal anchors, and equal contexts with their places, of
@@ -30,16 +30,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strider.llm.common import bounded_batches, byte_view, mix64, shared_dir, slices, table, written
+from strider.llm.common import bounded_batches, byte_view, mix64, slices, table
+from strider.storage import shared_dir, written
 
-LENGTH, Q = 50, 16
+LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
 RUN, MERGE, SLICE, CHUNK = 64, 400_000, 2 << 20, 4 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.int64(32)
 
 
+def _grams(raw: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes from every position, by doubling and joining powers of two."""
+    out, width, have, power = None, 0, _BYTE[raw], 1
+    k = 0
+    while power <= size:
+        if size & power:
+            out = have[: len(raw) - power + 1] if out is None else out[: len(raw) - width - power + 1] * _STEPS[k] + have[width : width + len(raw) - width - power + 1]
+            width += power
+        if 2 * power <= size:
+            have = have[:-power] * _STEPS[k] + have[power:]
+        power, k = 2 * power, k + 1
+    return out
+
+
 def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text index, anchor, first byte, bytes) of the contexts of all strings of `length` bytes; bytes counted within
     the concatenation."""
@@ -48,10 +63,7 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     if n < length:
         return none, none.astype(np.uint64), none, none
     with np.errstate(over="ignore"):
-        h, width = _BYTE[raw], 1
-        for step in _STEPS:
-            h, width = h[:-width] * step + h[width:], 2 * width
-        h = mix64(h)
+        h = mix64(_grams(raw, Q))
     span, width = length - Q + 1, 1
     low = h
     while 2 * width <= span:
@@ -125,8 +137,9 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
 
-CONTEXTS = "anchor long, context binary, docs array<long>, places array<long>"
-_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+#: places: document, place, document, place, ...
+CONTEXTS = "anchor long, context binary, places array<long>"
+_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("places", pa.list_(pa.int64()))])
 
 
 def _mark(data: bytes) -> int:
@@ -139,14 +152,14 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
     they occur."""
 
     def run(batches):
-        held: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
+        held: dict[tuple[int, bytes], list[int]] = {}
         n = 0
 
         def flush():
             keys = list(held)
             for at in range(0, len(keys), 20_000):
                 part = keys[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.binary()), pa.array([held[k][0] for k in part], pa.list_(pa.int64())), pa.array([held[k][1] for k in part], pa.list_(pa.int64()))], schema=_CONTEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.binary()), pa.array([held[k] for k in part], pa.list_(pa.int64()))], schema=_CONTEXTS)
 
         for batch in batches:
             has = batch.column(2).is_valid()
@@ -167,12 +180,11 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
                     pair = lambda o, x: mix64(x ^ mix64(o.astype(np.uint64) + np.uint64(1)))
                     hit = np.isin(pair(owner, h), pair(asked, wanted[first[i] : first[j]].view(np.uint64)))
                 data, base = part.tobytes(), offsets[i : j + 1] - offsets[i]
-                marks = [_mark(data[a:b]) << 32 for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+                ids, starts = doc[i:j].tolist(), base.tolist()
+                marks = [_mark(data[a:b]) << 32 for a, b in zip(starts, starts[1:])]
                 for o, a, s, z in zip(owner[hit].tolist(), h[hit].view(np.int64).tolist(), start[hit].tolist(), size[hit].tolist()):
-                    docs_, places = held.setdefault((a, data[s : s + z]), ([], []))
-                    docs_.append(int(doc[i + o]))
-                    places.append(marks[o] | (s - int(base[o])))
-                    n += 1
+                    held.setdefault((a, data[s : s + z]), []).extend((ids[o], marks[o] | (s - starts[o])))
+                n += int(hit.sum())
                 if n >= MERGE // 4:
                     yield from flush()
                     held.clear()
@@ -215,30 +227,66 @@ def refine(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
     return starts, bucket[starts]
 
 
-def _spans(anchor_rows: pa.Table) -> pa.RecordBatch:
-    """doc_id, place, size of what is covered, from all contexts of some anchors."""
-    raw, offsets = byte_view(anchor_rows.column("context").combine_chunks())
-    docs, places = (anchor_rows.column(k).combine_chunks() for k in ("docs", "places"))
-    first = docs.offsets.to_numpy().astype(np.int64) - docs.offsets[0].as_py()
-    doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
-    low = np.minimum.reduceat(doc, first[:-1])
-    starts, bucket = refine(raw, offsets)
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    keeper = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(keeper, bucket, low[owner])
-    lost = keeper[bucket] < low[owner]
-    row = np.repeat(np.arange(len(low)), np.diff(first))
+def _recurring(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which contexts hold a string whose hash occurs elsewhere as well; no other can hold an equal string."""
+    if len(raw) < length:
+        return np.zeros(len(offsets) - 1, bool)
+    with np.errstate(over="ignore"):
+        h = _grams(raw, length)
+    end = np.repeat(offsets[1:], np.diff(offsets))[: len(h)]
+    at = np.flatnonzero(np.arange(len(h)) + length <= end)
+    order = np.argsort(h[at])
+    same = h[at][order][1:] == h[at][order][:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, at[twice], "right") - 1] = True
+    return out
+
+
+def _gathered(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen pieces of a concatenation, concatenated."""
+    size = np.diff(offsets)[chosen]
+    to = np.concatenate(([0], np.cumsum(size)))
+    return raw[np.repeat(offsets[:-1][chosen] - to[:-1], size) + np.arange(to[-1])], to
+
+
+def _spans(rows: pa.Table) -> pa.RecordBatch:
+    """doc_id, place, size of what is covered, from all contexts of some anchors, which stand sorted."""
+    column = rows.column("context").combine_chunks()
+    raw, offsets = byte_view(column)
+    anchor = rows.column("anchor").to_numpy()
+    # equal contexts that tasks sent separately are one
+    size = np.diff(offsets)
+    alike = np.flatnonzero((anchor[1:] == anchor[:-1]) & (size[1:] == size[:-1])) + 1
+    data = raw.tobytes()
+    first = np.ones(len(anchor), bool)
+    at = offsets.tolist()
+    first[[i for i in alike.tolist() if data[at[i] : at[i + 1]] == data[at[i - 1] : at[i]]]] = False
+    context = np.cumsum(first) - 1
+    raw, offsets = _gathered(raw, offsets, np.flatnonzero(first))
     size = np.diff(offsets)
+    places = rows.column("places").combine_chunks()
+    row = np.repeat(context, np.diff(places.offsets.to_numpy()) // 2)
+    flat = places.flatten().to_numpy()
+    doc, place = flat[::2], flat[1::2]
+    low = np.minimum.reduceat(doc, np.searchsorted(row, np.arange(len(size))))
     all_ = doc > low[row]  # the same context stands in a smaller document
     out_doc, out_place, out_size = [doc[all_]], [place[all_]], [size[row[all_]]]
-    # places in the smallest document: what other contexts of smaller documents cover, in maximal runs of strings
+    # places in the smallest document: what contexts of smaller documents cover, in maximal runs of strings
+    chosen = np.flatnonzero(_recurring(raw, offsets))
+    starts, bucket = refine(*(part := _gathered(raw, offsets, chosen)))
+    owner = np.searchsorted(part[1], starts, "right") - 1
+    keeper = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(keeper, bucket, low[chosen[owner]])
+    lost = keeper[bucket] < low[chosen[owner]]
     mine, s = owner[lost], starts[lost]
     if len(s):
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1] + 1) | (mine[1:] != mine[:-1])
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(s)) - 1
-        run_row, run_at, run_size = mine[a], s[a] - offsets[mine[a]], s[b] - s[a] + LENGTH
+        run_row, run_at, run_size = chosen[mine[a]], s[a] - part[1][mine[a]], s[b] - s[a] + LENGTH
         begin, stop = np.searchsorted(run_row, np.arange(len(low))), np.searchsorted(run_row, np.arange(len(low)), "right")
         rest = np.flatnonzero(~all_)
         times = (stop - begin)[row[rest]]
@@ -282,7 +330,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     shared = written(shared_anchors(docs), f"{shared_dir(spark)}/anchors")
     found = shared_contexts(docs.join(shared, "doc_id", "left"))
-    spans = covered(found.repartition("anchor").sortWithinPartitions("anchor"))
+    spans = covered(found.repartition("anchor").sortWithinPartitions("anchor", "context"))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias("spans"))
     return docs.join(by_doc, "doc_id", "left")
 
