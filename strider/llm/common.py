@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,32 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset
-    (tests). It goes when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="strider-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/strider-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit
-        pass
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Writes a Parquet table and reads it: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the offsets (n + 1) of a string or binary array, without copying; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

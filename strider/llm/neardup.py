@@ -12,12 +12,16 @@ of five standard errors with 3e-7.
 
 No pairs are listed within a group. Documents with equal sets are one class, represented by the smallest id. In a band's
 group each member is first compared with the smallest one (a star); the links give components; only groups that still
-hold several components are looked at again, their members outside the group's first component against all members, in
-blocks of bounded size that emit just what passes the estimate. Pairs inside one component need no check.
+hold several components are looked at again, their members outside the group's first component against all members by
+the estimate, in blocks of bounded size that emit a forest of what passes. The trees (blobs) hold every pair that may
+still link; their documents are verified by full sets, again in blocks of bounded size that emit a forest. Pairs inside
+one component need no check.
 
 Scale: texts are read once for the sketches and shuffled once, those of documents that share a band with another; what
 else is shuffled is ids, band keys and sketches. Group minima are aggregated before shuffles and joined back, so AQE can
-split a hot group. Components are found by alternating stars over written edge tables.
+split a hot group. Components are found by alternating stars over written edge tables. Documents of one
+group that are near the threshold but not linked are compared pairwise inside blocks, which is quadratic work in such a
+group but neither rows nor memory.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set, no links and are kept; fewer than five
 words are one shingle; rows that share a doc_id are one node; a null doc_id links to nothing; empty tables give empty
@@ -31,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm.common import bounded_batches, byte_view, mix64, shared_dir, slices, table, written
-from strider.llm.graph import components
+from strider.llm.common import bounded_batches, byte_view, mix64, slices, table
+from strider.storage import shared_dir, written
+from strider.operators.components import components
 from strider.llm.shingles import shingle_sets
 
 SIZE, NUM, DEN = 5, 75, 100
@@ -45,6 +50,8 @@ MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 COLLISION = 0.169919487159739
 #: Members of a mixed group that one task compares: outsiders by all others.
 OUTSIDERS, OTHERS = 1_000, 16_000
+#: Documents of a block that are verified against each other or another block.
+VERIFY = 800
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, small binary, large binary"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("small", pa.binary()), ("large", pa.binary())])
@@ -193,8 +200,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """members: key, doc_id, component, of groups with several components, and n_shingles, sketch. Pairs of different
-    components in a group that pass the estimate."""
+    """members: key, doc_id, component, of groups with several components, and n_shingles, sketch.
+
+    Pairs of different components in a group that pass the estimate, thinned to a forest: what comes out connects
+    exactly the documents that the pairs connect, with fewer rows than members."""
     groups = members.groupBy("key").agg(F.min("component").alias("first"), F.count(F.lit(1)).alias("_n"))
     rows = members.join(groups, "key").withColumn("_out", F.col("component") != F.col("first"))
     counts = rows.where("_out").groupBy("key").agg(F.count(F.lit(1)).alias("_n_out"))
@@ -210,20 +219,78 @@ def _across(members: DataFrame) -> DataFrame:
         ids, comp, n = (t.column(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
         regs, out = _matrix(t.column("sketch").combine_chunks()), t.column("outsider").to_numpy(zero_copy_only=False)
         mine, rest = np.flatnonzero(out), np.flatnonzero(~out)
-        left, right = [], []
+        forest = Forest(ids)
         for i in mine:
             js = rest[(comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) * DEN >= NUM * np.maximum(n[rest], n[i]))]
             if len(js):
-                js = js[_likely(regs[js], regs[i][None, :], n[js], n[i])]
-                left.append(np.minimum(ids[js], ids[i]))
-                right.append(np.maximum(ids[js], ids[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        new = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(new[:, 0], pa.int64()), "b": pa.array(new[:, 1], pa.int64())})
+                forest.join(i, js[_likely(regs[js], regs[i][None, :], n[js], n[i])])
+        return forest.table()
 
     return others.unionByName(outsiders).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+class Forest:
+    """Joins rows of documents and remembers the edges that joined something new."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.edges = ids, []
+        self.label = np.unique(ids, return_inverse=True)[1]
+
+    def join(self, i: int, js: np.ndarray) -> None:
+        labels, first = np.unique(self.label[js], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            self.edges += [(int(self.ids[i]), int(self.ids[j])) for j in js[first[new]]]
+            self.label[np.isin(self.label, labels[new])] = self.label[i]
+
+    def table(self) -> pa.Table:
+        a, b = zip(*self.edges) if self.edges else ((), ())
+        return pa.table({"a": pa.array(map(min, a, b), pa.int64()), "b": pa.array(map(max, a, b), pa.int64())})
+
+
+def linked_within(blobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """blobs: blob, doc_id, component. Links between different components of a blob, by full sets, thinned to a forest.
+
+    A blob is cut into blocks of VERIFY documents and every two blocks meet in one task, which counts shared shingles
+    through an inverted index of one of them."""
+    sizes = blobs.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / VERIFY).cast("int").alias("_blocks"))
+    rows = blobs.join(sizes, "blob").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_own")).alias("x"), F.greatest(k, F.col("_own")).alias("y")))
+    rows = rows.join(texts, "doc_id").select("blob", "doc_id", "component", "text", "_own", F.inline(meets))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, comp, own, x, y = (t.column(k).to_numpy() for k in ("doc_id", "component", "_own", "x", "y"))
+        raw, offsets = byte_view(t.column("text"))
+        parts = [shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SIZE) for i, j in slices(offsets)]
+        h = np.concatenate([p[0] for p in parts])
+        n = np.concatenate([np.diff(p[1]) for p in parts])
+        at = np.concatenate(([0], np.cumsum(n)))
+        _, code = np.unique(h, return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), n)
+        left, right = np.flatnonzero(own == x), own == y  # the same documents where a block meets itself
+        listed = np.flatnonzero(right[row])
+        listed = listed[np.argsort(code[listed], kind="stable")]
+        begin = np.searchsorted(code[listed], np.arange(int(code.max(initial=-1)) + 2))
+        forest = Forest(ids)
+        forest.label = np.unique(comp, return_inverse=True)[1]
+        for i in left:
+            codes = code[at[i] : at[i + 1]]
+            size = begin[codes + 1] - begin[codes]
+            if not size.sum():
+                continue
+            where = np.repeat(begin[codes], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            both = np.bincount(row[listed[where]], minlength=len(ids))
+            js = np.flatnonzero((both > 0) & (forest.label != forest.label[i]))
+            js = js[DEN * both[js] >= NUM * (n[js] + n[i] - both[js])]
+            if len(js):
+                forest.join(i, js)
+        return forest.table()
+
+    bounded_batches(blobs.sparkSession)
+    return rows.groupBy("blob", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id and kept for every row."""
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -251,9 +318,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a key belongs to one scheme; the sketch of that scheme
     is_small = F.array_contains(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(F.lit(1), i, F.substring("small", i * 2 * BAND + 1, F.lit(2 * BAND)))), F.col("key"))
     again = again.withColumn("sketch", F.when(F.coalesce(is_small, F.lit(False)), F.col("small")).otherwise(F.col("large"))).drop("small", "large")
-    more = written(_across(again), f"{out}/across")
-    more = more.join(stars, ["a", "b"], "left_anti")
-    all_links = links.unionByName(written(verified(more, texts), f"{out}/links2"))
+    near = components(written(_across(again), f"{out}/across"))
+    blobs = near.select(F.col("node").alias("doc_id"), F.col("component").alias("blob")).join(placed.select("doc_id", "component").distinct(), "doc_id")
+    all_links = links.unionByName(written(linked_within(written(blobs, f"{out}/blobs"), texts), f"{out}/links2"))
     final = components(all_links).select(F.col("node").alias("class_id"), "component")
     ids = classes.join(final, "class_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "class_id").alias("_component"))
     result = sets.select("doc_id", "n_shingles", "f1", "f2").join(ids, ["n_shingles", "f1", "f2"], "left")

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strider.llm.common import bounded_batches, shared_dir, table
+from strider.llm.common import bounded_batches, table
+from strider.storage import shared_dir
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT = 16_384, 4_096, 512, 0
 DATE = "2024-01-01T00:00:00Z"
