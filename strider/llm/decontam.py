@@ -23,7 +23,6 @@ per id; empty tables give empty results; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -74,8 +73,6 @@ def _shingles(ids: list[int]) -> set[tuple[int, ...]]:
 @dataclass
 class Item:
     item_id: int
-    terms: np.ndarray  # rising
-    impacts: np.ndarray
     question: set
     answer: set
     sizes: set  # shingle lengths in use
@@ -90,7 +87,8 @@ class Index:
     items: list[Item]
     first: np.ndarray  # per term, where its block postings begin
     blocks: np.ndarray
-    maxima: np.ndarray
+    lanes: np.ndarray  # per block posting, the impact on each item of the block
+    maxima: np.ndarray  # and the largest
 
     @property
     def n_blocks(self) -> int:
@@ -126,96 +124,85 @@ def _index(size: int, rows: list[tuple[int, str, list[str]]]) -> Index:
         impacts = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
         impacts = impacts / impacts.sum()
         question, answer = (_shingles([vocabulary[w] for w in words_of(part)]) for part in question_and_answer(text))
-        items.append(Item(item_id, terms, impacts, question, answer, {len(s) for s in question | answer}))
+        items.append(Item(item_id, question, answer, {len(s) for s in question | answer}))
         for t, x in zip(terms.tolist(), impacts.tolist()):
-            block = postings.setdefault(t, {})
-            block[i // BLOCK] = max(block.get(i // BLOCK, 0.0), x)
+            postings.setdefault(t, {}).setdefault(i // BLOCK, [0.0] * BLOCK)[i % BLOCK] = x
     counts = np.array([len(postings[t]) for t in range(len(vocabulary))])
     first = np.concatenate(([0], np.cumsum(counts)))
     blocks = np.array([b for t in range(len(vocabulary)) for b in postings[t]], np.int64)
-    maxima = np.array([x for t in range(len(vocabulary)) for x in postings[t].values()])
-    return Index(size, vocabulary, items, first, blocks, maxima)
+    lanes = np.array([x for t in range(len(vocabulary)) for x in postings[t].values()])
+    return Index(size, vocabulary, items, first, blocks, lanes, lanes.max(1))
 
 
-def _bounded(index: Index, seg: np.ndarray, term: np.ndarray, n_segs: int, joins: np.ndarray, threshold: float):
-    """(first segment of a window, block) where the block maxima reach the threshold. seg and term are distinct pairs
-    in rising order; joins tells whether segment s and s + 1 belong to one document."""
+def _retrieved(index: Index, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float):
+    """(window, item position, score) at or above the threshold. window and term are distinct pairs in rising order.
+
+    Block maxima are added up for every window and block; item scores only where those reach the threshold."""
     count = np.diff(index.first)[term]
-    ends = np.cumsum(count)
-    edges = np.searchsorted(seg, np.arange(n_segs + 1))
-    work = np.concatenate(([0], ends))[edges]  # postings before each segment
-    n_blocks = index.n_blocks
-    step = max(1, EXPAND // max(1, n_blocks))
+    edges = np.searchsorted(window, np.arange(n_windows + 1))
+    work = np.concatenate(([0], np.cumsum(count)))[edges]  # postings before each window
+    n_blocks, n_items = index.n_blocks, len(index.items)
+    step = max(1, EXPAND // n_blocks)
     s = 0
-    while s < n_segs:
-        e = min(n_segs, s + step, max(s + 1, int(np.searchsorted(work, work[s] + EXPAND, "right")) - 1))
-        last = min(n_segs, e + 1)  # the window of segment e - 1 looks at segment e
-        lo, hi = edges[s], edges[last]
+    while s < n_windows:
+        e = min(n_windows, s + step, max(s + 1, int(np.searchsorted(work, work[s] + EXPAND, "right")) - 1))
+        lo, hi = edges[s], edges[e]
         c = count[lo:hi]
         at = np.repeat(index.first[term[lo:hi]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        where = np.repeat(seg[lo:hi] - s, c) * n_blocks + index.blocks[at]
-        bound = np.bincount(where, index.maxima[at], minlength=(last - s) * n_blocks).reshape(last - s, n_blocks)
-        window = bound[: e - s].copy()
-        both = np.flatnonzero(joins[s:e])
-        both = both[both + 1 < last - s]
-        window[both] += bound[both + 1]
-        w, b = np.nonzero(window >= threshold - 1e-9)
-        yield w + s, b
+        where = np.repeat(window[lo:hi] - s, c) * n_blocks + index.blocks[at]
+        left = np.flatnonzero(np.bincount(where, index.maxima[at], minlength=(e - s) * n_blocks) >= threshold - 1e-9)
+        if len(left):
+            place = np.full((e - s) * n_blocks, -1)
+            place[left] = np.arange(len(left))
+            mine = np.flatnonzero(place[where] >= 0)
+            for lane in range(BLOCK):
+                score = np.bincount(place[where[mine]], index.lanes[at[mine], lane], minlength=len(left))
+                item = left % n_blocks * BLOCK + lane
+                ok = np.flatnonzero((score >= threshold - 1e-9) & (item < n_items))
+                yield left[ok] // n_blocks + s, item[ok], score[ok]
         s = e
 
 
 def search(index: Index, split: pa.ListArray, threshold: float, overlap: float):
-    """(row, item position, score, question overlap, answer overlap) of all verified items, a row for each window."""
+    """(row, item position, score, question overlap, answer overlap) of verified items, for each window."""
     flat = split.flatten().dictionary_encode()
     vocabulary = index.vocabulary
     unique = flat.dictionary.to_pylist()
     ids = np.array([vocabulary.get(w, -1) for w in unique], np.int64)
     blank = np.array([not w for w in unique], bool)
     offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-    n_rows = len(split)
     if not len(flat):
         return
     codes = flat.indices.to_numpy()
-    owner = np.repeat(np.arange(n_rows), np.diff(offsets))
+    owner = np.repeat(np.arange(len(split)), np.diff(offsets))
     real = ~blank[codes]
     term, owner = ids[codes[real]], owner[real]
-    begin = np.searchsorted(owner, np.arange(n_rows + 1))
-    n_segs_of = -(-np.diff(begin) // index.segment)
-    base = np.concatenate(([0], np.cumsum(n_segs_of)))
-    n_segs = int(base[-1])
-    if not n_segs:
-        return
-    seg = base[owner] + (np.arange(len(term)) - begin[owner]) // index.segment
-    row_of = np.repeat(np.arange(n_rows), n_segs_of)
-    joins = np.append(row_of[1:] == row_of[:-1], False)
-    seg_at = np.searchsorted(seg, np.arange(n_segs + 1))
-    known = term >= 0
-    v = len(vocabulary)
-    pairs = np.unique(seg[known] * v + term[known])
-    p_seg, p_term = pairs // v, pairs % v
-    edges = np.searchsorted(p_seg, np.arange(n_segs + 1))
-    for windows, blocks in _bounded(index, p_seg, p_term, n_segs, joins, threshold):
-        last, has, grams = -1, None, {}
-        for w, b in zip(windows.tolist(), blocks.tolist()):
+    begin = np.searchsorted(owner, np.arange(len(split) + 1))
+    segments = -(-np.diff(begin) // index.segment)
+    windows = np.where(segments > 1, segments - 1, segments)  # a window is a segment and the next
+    base = np.concatenate(([0], np.cumsum(windows)))
+    n_windows, v = int(base[-1]), len(vocabulary)
+    known = np.flatnonzero(term >= 0)
+    o = owner[known]
+    seg = (known - begin[o]) // index.segment
+    first, second = seg < windows[o], seg > 0
+    pairs = np.unique(np.concatenate(((base[o] + seg)[first] * v + term[known[first]], (base[o] + seg - 1)[second] * v + term[known[second]])))
+    row_of = np.repeat(np.arange(len(split)), windows)
+    for found, items, scores in _retrieved(index, pairs // v, pairs % v, n_windows, threshold):
+        last, text, grams = -1, [], {}
+        for k in np.argsort(found, kind="stable").tolist():
+            w, item = int(found[k]), index.items[items[k]]
+            row = int(row_of[w])
             if w != last:
-                last, grams = w, {}
-                stop = w + 2 if joins[w] else w + 1
-                has = np.zeros(v, bool)
-                has[p_term[edges[w] : edges[stop]]] = True
-                text = term[seg_at[w] : seg_at[stop]]
-            for i in range(b * BLOCK, min(len(index.items), (b + 1) * BLOCK)):
-                item = index.items[i]
-                score = float(item.impacts[has[item.terms]].sum())
-                if score < threshold:
-                    continue
-                for n in item.sizes:
-                    if n not in grams:
-                        t = text.tolist()
-                        grams[n] = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
-                share = lambda part: sum(s in grams[len(s)] for s in part) / len(part) if part else 1.0  # noqa: B023, E731
-                q, a = share(item.question), share(item.answer)
-                if q >= overlap and a >= overlap:
-                    yield int(row_of[w]), i, score, q, a
+                at = begin[row] + (w - base[row]) * index.segment
+                last, text, grams = w, term[at : min(begin[row + 1], at + 2 * index.segment)].tolist(), {}
+            for n in item.sizes:
+                if n not in grams:
+                    grams[n] = {tuple(text[i : i + n]) for i in range(len(text) - n + 1)}
+            share = lambda part: sum(s in grams[len(s)] for s in part) / len(part) if part else 1.0  # noqa: B023, E731
+            q, a = share(item.question), share(item.answer)
+            if q >= overlap and a >= overlap:
+                yield row, int(items[k]), float(scores[k]), q, a
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
