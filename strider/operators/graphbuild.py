@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from strider.config import LAT_DEG_TO_M, LON_DEG_TO_M
 from strider.functions.geo import bbox, distance_m, point_in_polygon, ring_edges, segments_intersect, vertex_mean
 from strider.sources.geojson import rings, vertices
+from strider.storage import shared_dir, written
 
 # Lattice steps in degrees (about 4 m), link lengths in metres, the weight of a change of level.
 LON_STEP, LAT_STEP = 0.000045, 0.000036
@@ -123,8 +124,11 @@ def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build_graph(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a venue."""
-    grid, special, segments = corridor_nodes(classified), special_nodes(classified), boundary_segments(classified)
+    """Nodes and edges of a venue, as written tables: each part is computed once."""
+    out = shared_dir(classified.sparkSession)
+    classified = written(classified, f"{out}/classified")
+    grid = written(corridor_nodes(classified), f"{out}/grid")
+    special, segments = special_nodes(classified), boundary_segments(classified)
     nodes = grid.select("id", "x", "y", "level", F.lit("corridor").alias("type"), "corridor_name", F.lit(None).cast("string").alias("name")).unionByName(special, allowMissingColumns=True)
     edges = (
         corridor_edges(grid, segments)
@@ -132,7 +136,8 @@ def build_graph(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(vertical_edges(special, "elevator", ELEVATOR_M))
         .unionByName(vertical_edges(special, "escalator", ESCALATOR_M))
     )
-    return connected_nodes(nodes, edges), edges
+    edges = written(edges, f"{out}/edges")
+    return written(connected_nodes(nodes, edges), f"{out}/nodes"), edges
 
 
 def build_report(classified: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,683 @@
-"""Every query of the engine and, where SQL can express it, its DuckDB equivalent."""
+"""Every query of the engine over the driver's tables and, where SQL can express it, its DuckDB equivalent.
+
+The ids in comments are the operators that a query exercises."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from strider.config import CATEGORY_WEIGHTS, DAILY_WEIGHTS, SimConfig, from_json, to_json
+from strider.functions import geo, text
+from strider.functions.rng import gumbel
+from strider.operators import audience, graphbuild, graphqa, metrics, paths, topology, trips, visibility, walk
+from strider.plans import derived as D
+from strider.plans import venue, weekly
+from strider.sources import geojson, panels as panel_files, sinks
+from strider.sources.graph import directed, valid_edges
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: A panel pair, a reference and a pool that exist at every scale.
+PANEL_A, PANEL_B, FEW_PEOPLE = "click_1", "view_2", 30
+CONFIG = SimConfig()
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _events(sql: str, people: int | None = None) -> str:
+    return f"WITH {D.events_sql(people)}\n{sql}"
+
+
+# ---- audience metrics over event samples
+
+
+def _metrics(spark, sf_dir, people=None) -> DataFrame:
+    pool = D.table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("_pool"))
+    exposures, panels = D.event_exposures(spark, sf_dir, people), D.event_panels(spark, sf_dir)
+    m = metrics.panel_metrics(exposures, panels.crossJoin(F.broadcast(pool)), F.col("_pool"))  # a single number
+    return m.withColumn("efficiency_pct", F.round("efficiency_pct", 6))
+
+
+RANK_SQL = "row_number() OVER (ORDER BY unique_reach DESC, panel_id)"
+EFFICIENCY_SQL = "round(unique_reach * 100.0::DOUBLE / (SELECT n FROM pool), 6)"
+BOARD = ("rank", "panel_id", "floor", "unique_reach", "contacts", "efficiency_pct")
+
+
+@query("panel_leaderboard", _events(f"SELECT CAST({RANK_SQL} AS INT) AS rank, panel_id, floor, unique_reach, contacts, {EFFICIENCY_SQL} AS efficiency_pct FROM m"))  # W3 A1 A2 A3 W1 T1
+def panel_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranked(_metrics(spark, sf_dir)).select(*BOARD)
+
+
+@query("panel_leaderboard_few_people", _events(f"SELECT CAST({RANK_SQL} AS INT) AS rank, panel_id, floor, unique_reach, contacts, {EFFICIENCY_SQL} AS efficiency_pct FROM m", FEW_PEOPLE))
+def panel_leaderboard_few_people(spark, sf_dir):
+    return metrics.ranked(_metrics(spark, sf_dir, FEW_PEOPLE)).select(*BOARD)
+
+
+@query("search_leaderboard", _events(f"SELECT CAST({RANK_SQL} AS INT) AS rank, panel_id, floor, unique_reach, contacts FROM m WHERE contains(lower(panel_id), '2') OR contains(lower(floor), '2')"))  # W2 P11
+def search_leaderboard(spark, sf_dir):
+    return metrics.leaderboard(_metrics(spark, sf_dir), "2").select("rank", "panel_id", "floor", "unique_reach", "contacts")
+
+
+@query("search_panels", _events("SELECT panel_id, orientation FROM p WHERE contains(lower(panel_id), '18') OR contains(CAST(CAST(orientation AS BIGINT) AS VARCHAR), '18')"))  # P10 F11
+def search_panels(spark, sf_dir):
+    return metrics.search_panels(D.event_panels(spark, sf_dir), "18").select("panel_id", "orientation")
+
+
+@query("top_panels", _events("SELECT panel_id, unique_reach, contacts FROM m ORDER BY unique_reach DESC, panel_id LIMIT 5"))  # T2
+def top_panels(spark, sf_dir):
+    return metrics.top_panels(_metrics(spark, sf_dir)).select("panel_id", "unique_reach", "contacts")
+
+
+@query("watch_list", _events(f"SELECT panel_id, unique_reach, contacts FROM m WHERE panel_id IN ('{PANEL_A}', '{PANEL_B}', 'none')"))  # P9
+def watch_list(spark, sf_dir):
+    return metrics.watched(_metrics(spark, sf_dir), (PANEL_A, PANEL_B, "none")).select("panel_id", "unique_reach", "contacts")
+
+
+@query("mall_summary", _events("SELECT count(DISTINCT person) AS unique_reach, CAST(sum(contacts) AS BIGINT) AS contacts, round(count(DISTINCT person) * 100.0::DOUBLE / (SELECT n FROM pool), 2) AS coverage_pct FROM x WHERE contacts > 0"))  # A4 A6 K9
+def mall_summary(spark, sf_dir):
+    return metrics.summary(D.event_exposures(spark, sf_dir), D.event_pool(spark, sf_dir))
+
+
+@query("coverage_active", _events(f"SELECT count(DISTINCT person) AS unique_reach, CAST(coalesce(sum(contacts), 0) AS BIGINT) AS contacts, round(count(DISTINCT person) * 100.0::DOUBLE / (SELECT n FROM pool), 2) AS coverage_pct, (SELECT count(*) FROM p) AS all_panels, (SELECT count(*) FROM p WHERE panel_id IN ('{PANEL_A}', '{PANEL_B}')) AS active_panels FROM x WHERE contacts > 0 AND panel_id IN ('{PANEL_A}', '{PANEL_B}')"))  # A5 A21 P7
+def coverage_active(spark, sf_dir):
+    return metrics.coverage(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), (PANEL_A, PANEL_B), D.event_pool(spark, sf_dir))
+
+
+@query("active_detection", _events("SELECT panel_id, count(DISTINCT person) AS unique_reach, CAST(sum(contacts) AS BIGINT) AS contacts FROM x JOIN p USING (panel_id) WHERE floor = '2' AND contacts > 0 GROUP BY panel_id"))  # P6 P8
+def active_detection(spark, sf_dir):
+    panels = metrics.select_panels(D.event_panels(spark, sf_dir), "2").select("panel_id")
+    samples = D.event_samples(spark, sf_dir).join(panels, "panel_id", "left_semi")
+    seen = visibility.rises(samples, ["person", "panel_id"], ["ts", "event_id"]).groupBy("panel_id", "person").agg(F.sum(F.col("rise").cast("long")).alias("contacts"))
+    return seen.where("contacts > 0").groupBy("panel_id").agg(F.count(F.lit(1)).alias("unique_reach"), F.sum("contacts").alias("contacts"))
+
+
+@query("floor_reach", _events("SELECT f.floor, count(DISTINCT person) FILTER (contacts > 0) AS unique_reach, CAST(coalesce(sum(contacts), 0) AS BIGINT) AS contacts FROM (VALUES ('1'), ('2'), ('3'), ('4')) f(floor) LEFT JOIN p ON p.floor = f.floor LEFT JOIN x ON x.panel_id = p.panel_id GROUP BY f.floor"))  # A7 A8
+def floor_reach(spark, sf_dir):
+    return metrics.floor_reach(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), ("1", "2", "3", "4"))
+
+
+@query("bitmap_reach", _events("SELECT panel_id, count(DISTINCT person) AS unique_reach FROM x WHERE contacts > 0 GROUP BY panel_id"))  # A1 F19 O1 A20
+def bitmap_reach(spark, sf_dir):
+    return metrics.bitmap_reach(D.event_exposures(spark, sf_dir))
+
+
+@query("bitmap_floor_union", _events("SELECT floor, count(DISTINCT person) AS unique_reach FROM x JOIN p USING (panel_id) WHERE contacts > 0 GROUP BY floor"))  # A4 O1 J14
+def bitmap_floor_union(spark, sf_dir):
+    exposures = D.event_exposures(spark, sf_dir).join(D.event_panels(spark, sf_dir).select("panel_id", "floor"), "panel_id")
+    return metrics.bitmap_union_reach(exposures, ["floor"])
+
+
+@query("panel_centre", _events("SELECT round(avg(latitude), 9) AS latitude, round(avg(longitude), 9) AS longitude FROM p"))  # A15
+def panel_centre(spark, sf_dir):
+    return metrics.panel_centre(D.event_panels(spark, sf_dir)).select(F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"))
+
+
+@query("category_counts", "SELECT category, count(*) AS shops FROM (SELECT CASE WHEN contains(lower(p_name), 'ring') THEN 'rings' WHEN contains(lower(p_name), 'red') OR contains(lower(p_name), 'blue') THEN 'colour' WHEN starts_with(lower(p_name), 'small') THEN 'little' ELSE 'specialty' END AS category FROM part) GROUP BY category")  # P4 A10
+def category_counts(spark, sf_dir):
+    category = text.store_category(F.col("p_name"), (("rings", ("ring",)), ("colour", ("red", "blue"))), (("small", "little"),))
+    return D.table(spark, sf_dir, "part").groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("shops"))
+
+
+_NAMES = ("Farmers_lv1_x", "DAVID JONES", "hm_lv2", "Rhythm", "countdown", "JB Hi-Fi", "food_court_3", "noel leeming", "ArchieBros_lv3", "RS_lv3_entry", "rebel sport", "", "bakery")
+
+
+@query("store_categories", f"""SELECT name, CASE WHEN name = '' THEN 'specialty' {' '.join('WHEN ' + ' OR '.join(f"contains(lower(name), '{p}')" for p in parts) + f" THEN '{c}'" for c, parts in text.CATEGORY_RULES)} WHEN starts_with(lower(name), 'rs_') THEN 'rebelsport' ELSE 'specialty' END AS category FROM (VALUES {', '.join(f"('{n}')" for n in _NAMES)}) t(name)""")  # P4
+def store_categories(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", text.store_category(F.col("name")).alias("category"))
+
+
+_CATEGORIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")
+
+
+@query("category_visits", f"SELECT c.category, count(o_orderkey) FILTER (o_custkey % 5 <> o_orderkey % 5) AS visits FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in _CATEGORIES)}) c(category) LEFT JOIN customer ON c_mktsegment = c.category LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c.category")  # A9 D15
+def category_visits(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").join(D.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return metrics.category_visits(o.select(F.col("c_mktsegment").alias("category"), (F.col("o_custkey") % 5).alias("current"), (F.col("o_orderkey") % 5).alias("target")), _CATEGORIES)
+
+
+# ---- audiences compared
+
+_PAIRS_SQL = """, w AS (SELECT DISTINCT panel_id, person FROM x WHERE contacts > 0),
+n AS (SELECT p.panel_id, count(person) AS n FROM p LEFT JOIN w USING (panel_id) GROUP BY p.panel_id),
+sh AS (SELECT a.panel_id AS a, b.panel_id AS b, count(*) AS c FROM w a JOIN w b USING (person) WHERE a.panel_id < b.panel_id GROUP BY ALL)"""
+
+
+@query("pair_overlap")  # J9 K2 O2 F15
+def pair_overlap(spark, sf_dir):
+    pairs = audience.pair_overlap(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir))
+    return pairs.withColumn("overlap_coefficient", F.round("overlap_coefficient", 6))
+
+
+ORACLE["pair_overlap"] = f"""WITH {D.events_sql()}{_PAIRS_SQL}
+SELECT na.panel_id AS panel_a, nb.panel_id AS panel_b, na.n AS unique_reach_a, nb.n AS unique_reach_b, coalesce(c, 0) AS shared_agents,
+  round(CASE WHEN least(na.n, nb.n) = 0 THEN 0.0 ELSE coalesce(c, 0)::DOUBLE / least(na.n, nb.n) END, 6) AS overlap_coefficient
+FROM n na JOIN n nb ON na.panel_id < nb.panel_id LEFT JOIN sh ON sh.a = na.panel_id AND sh.b = nb.panel_id"""
+
+_SIMILARITY_SQL = {
+    "jaccard": "CASE WHEN rn + n - s = 0 THEN 0.0 ELSE s::DOUBLE / (rn + n - s) END",
+    "cosine": "CASE WHEN rn * n = 0 THEN 0.0 ELSE s::DOUBLE / sqrt(rn::DOUBLE * n) END",
+    "overlap": "s::DOUBLE",
+    "overlap_coef": "CASE WHEN least(rn, n) = 0 THEN 0.0 ELSE s::DOUBLE / least(rn, n) END",
+}
+
+
+def _reference(metric: str) -> None:
+    norm = "CASE WHEN rn = 0 THEN 0.0 ELSE score / rn END" if metric == "overlap" else "score"
+    lerp = lambda a, b: f"CAST(CAST(floor({a}.0::DOUBLE + {b - a}.0::DOUBLE * normalized + 0.5) AS INT) AS VARCHAR)"
+    sql = f"""WITH {D.events_sql()}{_PAIRS_SQL}, rf AS (SELECT person FROM w WHERE panel_id = '{PANEL_A}'),
+t AS (SELECT n.panel_id, n.n, (SELECT count(*) FROM rf) AS rn, (SELECT count(*) FROM w JOIN rf USING (person) WHERE w.panel_id = n.panel_id) AS s FROM n),
+u AS (SELECT *, {_SIMILARITY_SQL[metric]} AS score FROM t), v AS (SELECT *, {norm} AS normalized FROM u)
+SELECT panel_id, n AS unique_reach, s AS shared, rn AS reference_reach, round(score, 9) AS score, round(normalized, 9) AS normalized,
+  CASE WHEN normalized <= 0.0001 THEN 'rgb(75, 85, 99)' ELSE 'rgb(' || {lerp(99, 236)} || ', ' || {lerp(102, 72)} || ', ' || {lerp(241, 153)} || ')' END AS color FROM v"""
+
+    @query(f"reference_{metric}", sql)  # J15 F15 F16
+    def run(spark, sf_dir, metric=metric):
+        r = audience.reference_similarity(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), PANEL_A, metric)
+        return r.withColumn("score", F.round("score", 9)).withColumn("normalized", F.round("normalized", 9))
+
+
+for _m in _SIMILARITY_SQL:
+    _reference(_m)
+
+
+@query("panel_compare", f"""WITH {D.events_sql()}{_PAIRS_SQL}, a AS (SELECT person FROM w WHERE panel_id = '{PANEL_A}'), b AS (SELECT person FROM w WHERE panel_id = '{PANEL_B}'),
+c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared)
+SELECT only_a, only_b, shared, round(shared::DOUBLE / (only_a + only_b + shared), 9) AS jaccard, round(shared / sqrt((only_a + shared)::DOUBLE * (only_b + shared)), 9) AS cosine, round(shared::DOUBLE / least(only_a + shared, only_b + shared), 9) AS overlap_coef FROM c""")  # J16 O2 O3
+def panel_compare(spark, sf_dir):
+    r = audience.compare_panels(D.event_exposures(spark, sf_dir), PANEL_A, PANEL_B)
+    return r.select("only_a", "only_b", "shared", *[F.round(m, 9).alias(m) for m in ("jaccard", "cosine", "overlap_coef")])
+
+
+@query("sparse_vectors", _events("SELECT panel_id, 'sparse' AS format, coalesce(string_agg(CAST(person + 1 AS VARCHAR), ';' ORDER BY person) FILTER (contacts > 0), '') AS data FROM p LEFT JOIN x USING (panel_id) GROUP BY panel_id"))  # F23 F24 K4
+def sparse_vectors(spark, sf_dir):
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "sparse", 1)
+
+
+@query("binary_vectors", _events("SELECT panel_id, 'binary' AS format, (SELECT string_agg(CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.panel_id = p.panel_id AND contacts > 0 AND person + 1 = i) THEN '1' ELSE '0' END, '' ORDER BY i) FROM range(1, 101) t(i)) AS data FROM p"))  # F21 F24
+def binary_vectors(spark, sf_dir):
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "binary", 1)
+
+
+@query("base64_vectors", _events("""SELECT panel_id, 'base64' AS format, base64(unhex((SELECT string_agg(printf('%02x', CAST((SELECT coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.panel_id = p.panel_id AND contacts > 0 AND person + 1 = 8 * b + k + 1 AND person + 1 <= 100) THEN 1 << (7 - k) ELSE 0 END), 0) FROM range(8) u(k)) AS INT)), '' ORDER BY b) FROM range(13) t(b)))) AS data FROM p"""))  # F22 F24
+def base64_vectors(spark, sf_dir):
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "base64", 1)
+
+
+@query("export_scores", _events(f"SELECT CAST({RANK_SQL} AS INT) AS rank, 'Panel ' || panel_id AS panel, 'L' || floor AS floor, unique_reach, contacts, printf('%.2f', round_even(unique_reach * 100.0::DOUBLE / (SELECT n FROM pool), 2)) AS efficiency FROM m"))  # K1 K3 P17 F11
+def export_scores(spark, sf_dir):
+    m = metrics.ranked(_metrics(spark, sf_dir))
+    return m.select("rank", text.panel_label(F.col("panel_id")).alias("panel"), text.floor_label(F.col("floor")).alias("floor"), "unique_reach", "contacts", text.fixed(F.col("unique_reach") * 100.0 / F.col("_pool"), 2).alias("efficiency"))
+
+
+@query("score_report")  # K3: a text report with its parameters; rows only
+def score_report(spark, sf_dir):
+    panels = D.event_panels(spark, sf_dir).withColumn("active", F.col("floor") == "1")
+    return sinks.score_report(metrics.ranked(_metrics(spark, sf_dir)), panels, CONFIG, "Panel Scores Report", "2024-01-01T00:00:00Z")
+
+
+@query("edited_panels", _events("SELECT panel_id, CASE WHEN panel_id = 'click_1' THEN 45.0 ELSE orientation END AS orientation, CASE WHEN panel_id = 'click_1' THEN '3' ELSE floor END AS floor, round(CASE WHEN panel_id = 'view_2' THEN -36.5 ELSE latitude END, 9) AS latitude FROM p"))  # E1
+def edited_panels(spark, sf_dir):
+    edits = spark.createDataFrame([("click_1", "x", "45.7", "3"), ("view_2", "-36.5", None, None), ("none", "1", "1", "1")], "panel_id string, latitude string, orientation string, floor string")
+    return panel_files.edit_panels(D.event_panels(spark, sf_dir), edits).select("panel_id", "orientation", "floor", F.round("latitude", 9).alias("latitude"))
+
+
+@query("panel_lines", _events("SELECT panel_id, site_id, printf('%.8f', round_even(latitude, 8)) AS latitude, printf('%.8f', round_even(longitude, 8)) AS longitude, CAST(orientation AS BIGINT) AS orientation, floor FROM (SELECT *, '17056' AS site_id FROM p)"))  # K6
+def panel_lines(spark, sf_dir):
+    return panel_files.panel_lines(D.event_panels(spark, sf_dir)).drop("panel_ord")
+
+
+@query("person_index", "SELECT user_id, CASE user_id % 4 WHEN 0 THEN user_id WHEN 1 THEN user_id WHEN 2 THEN user_id ELSE NULL END AS idx FROM events")  # F13
+def person_index(spark, sf_dir):
+    u = F.col("user_id").cast("string")
+    name = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("person_"), u)).when(F.col("user_id") % 4 == 1, F.concat(F.lit("x agent_"), u, F.lit("b"))).when(F.col("user_id") % 4 == 2, F.concat(u, F.lit("th"))).otherwise(F.lit("nobody"))
+    return D.table(spark, sf_dir, "events").select("user_id", text.person_index(name).alias("idx"))
+
+
+@query("display_names", "SELECT p_partkey, upper(substr(n, 1, 1)) || substr(n, 2) AS name FROM (SELECT p_partkey, replace(p_name, ' ', ' ') AS n FROM part)")  # F14
+def display_names(spark, sf_dir):
+    raw = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_lv2_entry"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", text.display_name(raw).alias("name"))
+
+
+@query("number_formats", "SELECT o_orderkey, printf('%.2f', round_even(o_totalprice / 7, 2)) AS fixed, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS grouped FROM orders")  # F11 F12
+def number_formats(spark, sf_dir):
+    p = F.col("o_totalprice")
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", text.fixed(p / 7, 2).alias("fixed"), text.thousands(F.bround(p, 0)).alias("grouped"))
+
+
+# ---- trips
+
+
+@query("daily_counts", f"""WITH w(i, w) AS (VALUES {', '.join(f'({i}, {w}::DOUBLE)' for i, w in enumerate(DAILY_WEIGHTS))}), t AS (SELECT count(*) AS n FROM orders),
+c AS (SELECT i, CAST(round_even(n * w, 0) AS BIGINT) AS c FROM w, t) SELECT i AS day_idx, c + CASE WHEN i = 5 THEN (SELECT n FROM t) - (SELECT sum(c) FROM c) ELSE 0 END AS trips FROM c""")  # A11 D8
+def daily_counts(spark, sf_dir):
+    return trips.daily_counts(spark, D.table(spark, sf_dir, "orders").count(), DAILY_WEIGHTS).select("day_idx", "trips")
+
+
+@query("trip_days", f"""WITH w(i, w) AS (VALUES {', '.join(f'({i}, {w}::DOUBLE)' for i, w in enumerate(DAILY_WEIGHTS))}), t AS (SELECT count(*) - 100 AS n FROM orders),
+c AS (SELECT i, CAST(round_even(n * w, 0) AS BIGINT) AS c FROM w, t), d AS (SELECT i, c + CASE WHEN i = 5 THEN (SELECT n FROM t) - (SELECT sum(c) FROM c) ELSE 0 END AS c FROM c),
+b AS (SELECT i, sum(c) OVER (ORDER BY i) - c AS lo, sum(c) OVER (ORDER BY i) AS hi FROM d)
+SELECT i AS day_idx, count(*) AS n, min(o_orderkey) AS first_trip, max(o_orderkey) AS last_trip FROM orders JOIN b ON o_orderkey >= lo AND (o_orderkey < hi OR i = 6) GROUP BY i""")  # J10 W5
+def trip_days(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    days = trips.trip_days(o.select(F.col("o_orderkey").alias("trip")), trips.daily_counts(spark, o.count() - 100, DAILY_WEIGHTS))
+    return days.groupBy("day_idx").agg(F.count(F.lit(1)).alias("n"), F.min("trip").alias("first_trip"), F.max("trip").alias("last_trip"))
+
+
+@query("trip_plan", "SELECT (SELECT count(*) FROM orders) AS trips, (SELECT count(*) FROM customer) AS people, true AS all_came, (SELECT count(*) FROM orders) - (SELECT count(*) FROM customer) AS repeats")  # M1
+def trip_plan(spark, sf_dir):
+    n, pool = D.table(spark, sf_dir, "orders").count(), D.table(spark, sf_dir, "customer").count()
+    per = trips.trip_plan(spark, n, pool).groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("n").alias("trips"), F.count(F.lit(1)).alias("people"), (F.min("n") >= 1).alias("all_came"), F.sum(F.col("n") - 1).alias("repeats"))
+
+
+_GRAVITY_SQL = f"""WITH {D.LATTICE_SQL}, sh AS (SELECT k, x, y, 0.3::DOUBLE / (1 + k % 4) AS base FROM ln WHERE type = 'shop_entry'),
+wk AS (SELECT c_custkey AS walker, c_custkey % (SELECT count(*) FROM supplier) AS cur, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey // 3 * 3) % (SELECT count(*) FROM supplier) END AS last FROM customer),
+g AS (SELECT walker, sh.k AS shop, base / pow(greatest(2.0, {D.distance_sql('sh.x', 'sh.y', 'c.x', 'c.y')}), 1.3) AS w FROM wk JOIN ln c ON c.k = wk.cur JOIN sh ON sh.k IS DISTINCT FROM wk.last),
+r AS (SELECT *, sum(w) OVER (PARTITION BY walker ORDER BY shop) AS run, sum(w) OVER (PARTITION BY walker) AS total, max(shop) OVER (PARTITION BY walker) AS lst FROM g)
+SELECT walker, min(shop) AS shop FROM r WHERE run >= {D.lcg_sql('walker')} * total OR shop = lst GROUP BY walker"""
+
+
+@query("gravity_choice", _GRAVITY_SQL)  # M2 W4 J12 P16 F26
+def gravity_choice(spark, sf_dir):
+    nodes, _ = D.lattice_graph(spark, sf_dir)
+    n = nodes.count()
+    shops = nodes.where("type = 'shop_entry'").select(F.col("num").alias("shop"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    dist = geo.distance_m(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
+    base = F.lit(0.3) / (1 + F.col("shop") % 4)
+    table = nodes.select(F.col("num").alias("current"), "x", "y").crossJoin(F.broadcast(shops)).select("current", "shop", F.col("shop").alias("shop_ord"), (base / F.pow(F.greatest(F.lit(2.0), dist), F.lit(1.3))).alias("weight"))
+    c = F.col("c_custkey")
+    walkers = D.table(spark, sf_dir, "customer").select(c.alias("walker"), (c % n).alias("current"), F.when(c % 2 == 0, F.floor(c / 3) * 3 % n).alias("last"))
+    return trips.choose_shops(walkers, table, D.lcg(F.col("walker"))).select("walker", "shop")
+
+
+# ---- visibility
+
+_VIEW = D.view_sql("x", "y", "1.0", "0.5", CONFIG.view_dist, CONFIG.cos_cone)
+
+
+def _views(spark, sf_dir, candidates: str) -> DataFrame:
+    points = D.points(spark, sf_dir).withColumn("x1", F.lit(0.0)).withColumn("y1", F.lit(0.0)).withColumn("x2", F.lit(1.0)).withColumn("y2", F.lit(0.5)).withColumnRenamed("level", "floor")
+    config = SimConfig(candidates=candidates)
+    return visibility.with_hits(points, D.point_panels(spark, sf_dir), config).groupBy("panel_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("hit").alias("hits"))
+
+
+@query("panel_view_floor", f"WITH {D.POINTS_SQL}, {D.PANELS_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level GROUP BY panel_id")  # J4 P5
+def panel_view_floor(spark, sf_dir):
+    return _views(spark, sf_dir, "floor")
+
+
+@query("panel_view_grid", f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level
+AND abs(trunc(x * 88800.0 / 15.0) - trunc(px * 88800.0 / 15.0)) <= 1 AND abs(trunc(y * 111000.0 / 15.0) - trunc(py * 111000.0 / 15.0)) <= 1 GROUP BY panel_id""")  # J3 F9 D1 D2
+def panel_view_grid(spark, sf_dir):
+    return _views(spark, sf_dir, "grid")
+
+
+def _walkers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Walkers over consecutive points: ten people, a hop from each point to the next of the same person."""
+    p = D.points(spark, sf_dir)
+    nodes = p.select(F.col("grid_ord").cast("string").alias("id"), "x", "y", "level")
+    steps = p.select((F.col("grid_ord") % 10).alias("trip"), F.col("grid_ord").alias("pos"), F.col("grid_ord").cast("string").alias("node"))
+    hops = paths.lead_hops(steps, ["trip"]).select("trip", F.col("trip").alias("person"), F.lit(0).alias("leg"), "pos", F.col("pos").cast("int").alias("hop"), "src", "dst")
+    return nodes, hops
+
+
+_PASSAGES_SQL = f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL},
+h AS (SELECT grid_ord % 10 AS trip, grid_ord AS hop, x AS x1, y AS y1, level, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord % 10 ORDER BY grid_ord)),
+n AS (SELECT *, greatest(1, CAST(floor({D.distance_sql('x1', 'y1', 'x2', 'y2')} / 2.0) AS INT)) AS n FROM h WHERE x2 IS NOT NULL),
+q AS (SELECT trip, hop, s, level, x1, y1, x2, y2, x1 + (s::DOUBLE / n) * (x2 - x1) AS x, y1 + (s::DOUBLE / n) * (y2 - y1) AS y FROM (SELECT *, unnest(range(0, n + 1)) AS s FROM n)),
+v AS (SELECT trip, panel_id, hop, s, {D.view_sql('x', 'y', 'x2 - x1', 'y2 - y1', CONFIG.view_dist, CONFIG.cos_cone)} AS hit FROM q JOIN pn ON floor = level),
+e AS (SELECT trip, panel_id, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY trip, panel_id ORDER BY hop, s), false) AS rise FROM v)
+SELECT trip, panel_id, CAST(sum(rise::INT) AS BIGINT) AS contacts FROM e GROUP BY ALL HAVING sum(rise::INT) > 0"""
+
+
+@query("passage_contacts", _PASSAGES_SQL)  # M6 M7 W3 W7 J11 F8: by edge summaries
+def passage_contacts(spark, sf_dir):
+    nodes, hops = _walkers(spark, sf_dir)
+    views = visibility.edge_views(nodes, hops.select("src", "dst"), D.point_panels(spark, sf_dir), CONFIG)
+    return visibility.passages(hops, views).select("trip", "panel_id", "contacts")
+
+
+@query("passage_contacts_by_sample", _PASSAGES_SQL)  # the same, sample by sample
+def passage_contacts_by_sample(spark, sf_dir):
+    nodes, hops = _walkers(spark, sf_dir)
+    return visibility.passages_by_sample(hops, nodes, D.point_panels(spark, sf_dir), CONFIG).select("trip", "panel_id", "contacts")
+
+
+@query("trip_distance", f"WITH {D.POINTS_SQL}, h AS (SELECT grid_ord % 10 AS trip, x, y, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord % 10 ORDER BY grid_ord)) SELECT trip, round(sum({D.distance_sql('x', 'y', 'x2', 'y2')}), 6) AS distance_m, count(*) AS hops FROM h WHERE x2 IS NOT NULL GROUP BY trip")  # A12 W7
+def trip_distance(spark, sf_dir):
+    nodes, hops = _walkers(spark, sf_dir)
+    return visibility.trip_distance(hops, nodes).withColumn("distance_m", F.round("distance_m", 6))
+
+
+@query("orient_wedge", f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL}, a AS (SELECT *, unnest(range(0, 25)) AS i FROM pn)
+SELECT panel_id, 27::BIGINT AS vertices, round(sum(py + 15.0 * cos(radians(orientation - 60.0 + i * 5.0)) / 111000.0) + 2 * any_value(py), 6) AS lat_sum, round(sum(px + 15.0 * sin(radians(orientation - 60.0 + i * 5.0)) / 88800.0) + 2 * any_value(px), 6) AS lon_sum FROM a GROUP BY panel_id""")  # F18
+def orient_wedge(spark, sf_dir):
+    w = geo.wedge(F.col("latitude"), F.col("longitude"), F.col("orientation"), CONFIG.view_dist, CONFIG.cone_angle)
+    v = D.point_panels(spark, sf_dir).select("panel_id", F.inline(w))
+    return v.groupBy("panel_id").agg(F.count(F.lit(1)).alias("vertices"), F.round(F.sum("lat"), 6).alias("lat_sum"), F.round(F.sum("lon"), 6).alias("lon_sum"))
+
+
+@query("orient_arrow", f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL}, t AS (SELECT panel_id, radians(orientation) AS a, py + 3.0 * cos(radians(orientation)) / 111111.0 AS la, px + 3.0 * sin(radians(orientation)) / (111111.0 * cos(radians(py))) AS lo FROM pn)
+SELECT panel_id, round(la, 9) AS tip_lat, round(lo, 9) AS tip_lon, round(la + 0.8 * cos(a + radians(150)) / 111111.0, 9) AS left_lat, round(lo + 0.8 * sin(a - radians(150)) / (111111.0 * cos(radians(la))), 9) AS right_lon FROM t""")  # F17
+def orient_arrow(spark, sf_dir):
+    p = D.point_panels(spark, sf_dir).select("panel_id", geo.arrow(F.col("latitude"), F.col("longitude"), F.col("orientation")).alias("a"))
+    at = lambda i, k: F.round(F.col("a")[i][k], 9)
+    return p.select("panel_id", at(1, "lat").alias("tip_lat"), at(1, "lon").alias("tip_lon"), at(2, "lat").alias("left_lat"), at(3, "lon").alias("right_lon"))
+
+
+# ---- geometry and graph building
+
+
+@query("corridor_pairs", f"WITH {D.POINTS_SQL} SELECT a.grid_ord AS a, b.grid_ord AS b, a.level AS level, round({D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')}, 6) AS dist FROM pt a JOIN pt b ON a.level = b.level AND a.grid_ord < b.grid_ord WHERE {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')} <= 10.0")  # J5
+def corridor_pairs(spark, sf_dir):
+    return graphbuild.near_pairs(D.points(spark, sf_dir), graphbuild.MAX_LINK_M).select("a", "b", "level", F.round("dist", 6).alias("dist"))
+
+
+#: A wall of boundary segments around the origin, by level.
+_WALLS = [(str(l), D.ORIGIN_X - 0.0004 + 0.0002 * k, D.ORIGIN_Y - 0.0005, D.ORIGIN_X - 0.0003 + 0.0002 * k, D.ORIGIN_Y + 0.0005) for l in (1, 2, 3) for k in range(4)]
+_WALLS_SQL = f"wl(level, x1, y1, x2, y2) AS (VALUES {', '.join(f'({chr(39)}{l}{chr(39)}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE)' for l, a, b, c, d in _WALLS)})"
+_CCW = lambda a, b, c: f"(({c[1]} - {a[1]}) * ({b[0]} - {a[0]}) > ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+
+def _cross_sql(a, b, c, d) -> str:
+    return f"({_CCW(a, c, d)} <> {_CCW(b, c, d)} AND {_CCW(a, b, c)} <> {_CCW(a, b, d)})"
+
+
+def _walls(spark) -> DataFrame:
+    return spark.createDataFrame(_WALLS, "level string, x1 double, y1 double, x2 double, y2 double")
+
+
+_CROSS = _cross_sql(("a.x", "a.y"), ("b.x", "b.y"), ("w.x1", "w.y1"), ("w.x2", "w.y2"))
+
+
+@query("corridor_edges", f"""WITH {D.POINTS_SQL}, {_WALLS_SQL} SELECT 'grid_' || a.grid_ord AS source, 'grid_' || b.grid_ord AS target, round({D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')}, 6) AS weight, a.level AS level, 'corridor' AS type
+FROM pt a JOIN pt b ON a.level = b.level AND a.grid_ord < b.grid_ord WHERE {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')} <= 10.0 AND NOT EXISTS (SELECT 1 FROM wl w WHERE w.level = a.level AND {_CROSS})""")  # J5 F5 F6
+def corridor_edges(spark, sf_dir):
+    return graphbuild.corridor_edges(D.points(spark, sf_dir), _walls(spark)).withColumn("weight", F.round("weight", 6))
+
+
+def _specials(spark, sf_dir) -> DataFrame:
+    c = F.col("s_suppkey")
+    return D.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), c).alias("id"), (F.lit(D.ORIGIN_X) + (c * 37 % 100 - 50) * 0.00001).alias("x"), (F.lit(D.ORIGIN_Y) + (c * 53 % 100 - 50) * 0.00001).alias("y"), (c % 3 + 1).cast("string").alias("level"))
+
+
+_SPECIAL_SQL = f"sp AS (SELECT 's' || s_suppkey AS id, {D.ORIGIN_X} + (s_suppkey * 37 % 100 - 50) * 0.00001 AS x, {D.ORIGIN_Y} + (s_suppkey * 53 % 100 - 50) * 0.00001 AS y, CAST(s_suppkey % 3 + 1 AS VARCHAR) AS level FROM supplier)"
+
+
+@query("nearest_links", f"""WITH {D.POINTS_SQL}, {_WALLS_SQL}, {_SPECIAL_SQL},
+k AS (SELECT a.id, a.level, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.grid_ord AS t, {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')}, b.grid_ord) AS rk FROM sp a JOIN pt b ON a.level = b.level),
+o AS (SELECT *, dist < 5.0 OR NOT EXISTS (SELECT 1 FROM wl w WHERE w.level = k.level AND {_cross_sql(("k.ax", "k.ay"), ("k.bx", "k.by_"), ("w.x1", "w.y1"), ("w.x2", "w.y2"))}) AS ok FROM k WHERE rk <= 10),
+c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, rk) AS pick FROM o)
+SELECT id AS source, 'grid_' || t AS target, round(dist, 6) AS weight, level, CASE WHEN ok THEN 'connection' ELSE 'connection_fallback' END AS type FROM c WHERE pick = 1""")  # J6 W6 T4
+def nearest_links(spark, sf_dir):
+    return graphbuild.special_edges(_specials(spark, sf_dir), D.points(spark, sf_dir), _walls(spark)).withColumn("weight", F.round("weight", 6))
+
+
+@query("vertical_links", f"""WITH {_SPECIAL_SQL} SELECT a.id AS source, b.id AS target, 15.0::DOUBLE AS weight, a.level || '-' || b.level AS level, 'elevator' AS type FROM sp a JOIN sp b ON CAST(a.level AS INT) + 1 = CAST(b.level AS INT) WHERE {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')} < 15.0
+UNION ALL SELECT a.id, b.id, 15.0, a.level || '-' || b.level, 'escalator' FROM sp a JOIN sp b ON CAST(a.level AS INT) + 1 = CAST(b.level AS INT) WHERE {D.distance_sql('a.x', 'a.y', 'b.x', 'b.y')} < 20.0""")  # J7 J8 F27
+def vertical_links(spark, sf_dir):
+    s = _specials(spark, sf_dir)
+    one = lambda kind, m: graphbuild.vertical_edges(s.withColumn("type", F.lit(kind)), kind, m)
+    return one("elevator", graphbuild.ELEVATOR_M).unionByName(one("escalator", graphbuild.ESCALATOR_M))
+
+
+@query("isolated_filter", f"WITH {D.PART_GRAPH_SQL} SELECT id FROM nd WHERE id IN (SELECT source FROM ed UNION SELECT target FROM ed)")  # P13
+def isolated_filter(spark, sf_dir):
+    nodes, edges = D.part_graph(spark, sf_dir)
+    return graphbuild.connected_nodes(nodes.select("id"), edges)
+
+
+#: A square with a square hole, around the origin, in degrees.
+_SQUARE = [[(D.ORIGIN_X + a * 0.0002, D.ORIGIN_Y + b * 0.0002) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))], [(D.ORIGIN_X + a * 0.00005, D.ORIGIN_Y + b * 0.00005) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]]
+
+
+def _ring_sql(k: int) -> str:
+    r = _SQUARE[k]
+    return ", ".join(f"({k}, {x1!r}::DOUBLE, {y1!r}::DOUBLE, {x2!r}::DOUBLE, {y2!r}::DOUBLE)" for (x1, y1), (x2, y2) in zip(r, r[1:]))
+
+
+@query("point_in_polygon", f"""WITH {D.POINTS_SQL}, e(k, x1, y1, x2, y2) AS (VALUES {_ring_sql(0)}, {_ring_sql(1)}),
+c AS (SELECT grid_ord, k, count(*) FILTER (y > least(y1, y2) AND y <= greatest(y1, y2) AND x <= greatest(x1, x2) AND y1 <> y2 AND (x1 = x2 OR x <= (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) + x1)) % 2 AS c FROM pt, e GROUP BY grid_ord, k)
+SELECT grid_ord, max(c) FILTER (k = 0) = 1 AND max(c) FILTER (k = 1) = 0 AS inside FROM c GROUP BY grid_ord""")  # F4
+def point_in_polygon(spark, sf_dir):
+    rings = F.array(*[F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ring]) for ring in _SQUARE])
+    return D.points(spark, sf_dir).select("grid_ord", geo.point_in_polygon(F.col("x"), F.col("y"), rings).alias("inside"))
+
+
+@query("segment_crossing", f"""WITH {D.POINTS_SQL}, {_WALLS_SQL}, h AS (SELECT grid_ord, level, x, y, lead(x) OVER (ORDER BY grid_ord) AS x2, lead(y) OVER (ORDER BY grid_ord) AS y2 FROM pt)
+SELECT grid_ord, EXISTS (SELECT 1 FROM wl w WHERE w.level = '1' AND {_cross_sql(("h.x", "h.y"), ("h.x2", "h.y2"), ("w.x1", "w.y1"), ("w.x2", "w.y2"))}) AS crosses FROM h WHERE x2 IS NOT NULL""")  # F5 F6
+def segment_crossing(spark, sf_dir):
+    w = W.partitionBy(F.lit(0)).orderBy("grid_ord")
+    h = D.points(spark, sf_dir).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 IS NOT NULL")
+    hit = F.lit(False)
+    for level, x1, y1, x2, y2 in _WALLS:
+        if level == "1":
+            hit = hit | geo.segments_intersect(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), F.lit(x1), F.lit(y1), F.lit(x2), F.lit(y2))
+    return h.select("grid_ord", hit.alias("crosses"))
+
+
+@query("lattice", f"""WITH {D.POINTS_SQL}, b AS (SELECT level, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pt GROUP BY level),
+i AS (SELECT *, unnest(range(0, CAST(floor((x1 - x0) / 0.000045) AS BIGINT) + 1)) AS i FROM b), j AS (SELECT *, unnest(range(0, CAST(floor((y1 - y0) / 0.000036) AS BIGINT) + 1)) AS j FROM i)
+SELECT level, count(*) AS n, round(sum(x0 + i * 0.000045) / count(*), 6) AS mean_x, round(sum(y0 + j * 0.000036) / count(*), 6) AS mean_y FROM j GROUP BY level""")  # F7 A14
+def lattice(spark, sf_dir):
+    b = D.points(spark, sf_dir).groupBy("level").agg(geo.bbox(F.collect_list(F.array("x", "y"))).alias("b"))
+    g = b.select("level", F.inline(graphbuild.lattice(F.col("b.min_x"), F.col("b.min_y"), F.col("b.max_x"), F.col("b.max_y"))))
+    return g.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") / F.count(F.lit(1)), 6).alias("mean_x"), F.round(F.sum("y") / F.count(F.lit(1)), 6).alias("mean_y"))
+
+
+@query("mercator", "SELECT event_id, round(x / 20037508.34 * 180.0, 9) AS lon, round(180.0 / pi() * (2.0 * atan(exp(y / 20037508.34 * 180.0 * (pi() / 180.0))) - pi() / 2), 9) AS lat FROM (SELECT event_id, (event_id * 37.5)::DOUBLE AS x, (user_id * -1234.5)::DOUBLE AS y FROM events)")  # F2 F10
+def mercator(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37.5).alias("x"), (F.col("user_id") * -1234.5).alias("y"))
+    return e.select("event_id", F.round(geo.mercator_lon(F.col("x")), 9).alias("lon"), F.round(geo.mercator_lat(F.col("y")), 9).alias("lat"))
+
+
+@query("centroids_bbox", f"WITH {D.POINTS_SQL} SELECT level, round(avg(x), 9) AS mean_x, round(avg(y), 9) AS mean_y, round(min(x), 9) AS min_x, round(max(x), 9) AS max_x, round(min(y), 9) AS min_y, round(max(y), 9) AS max_y FROM pt GROUP BY level")  # A13 A14
+def centroids_bbox(spark, sf_dir):
+    g = D.points(spark, sf_dir).groupBy("level").agg(F.collect_list(F.array("x", "y")).alias("v")).select("level", geo.vertex_mean(F.col("v")).alias("c"), geo.bbox(F.col("v")).alias("b"))
+    r = lambda c, name: F.round(F.col(c), 9).alias(name)
+    return g.select("level", r("c.x", "mean_x"), r("c.y", "mean_y"), r("b.min_x", "min_x"), r("b.max_x", "max_x"), r("b.min_y", "min_y"), r("b.max_y", "max_y"))
+
+
+# ---- topology
+
+
+def _zones(spark, sf_dir) -> DataFrame:
+    """Parts as zones: a point or a triangle each, in web-mercator metres."""
+    k = F.col("p_partkey")
+    kinds = F.array(*[F.lit(z) for z in (*topology.ZONE_TAGS, "entry_exit", "unknown")])
+    kind = F.element_at(kinds, (k % 11 + 1).cast("int"))
+    name = F.when(k % 2 == 0, F.concat(F.lit("entry_exit_lv"), k % 3 + 1, F.lit("_"), k)).otherwise(F.concat(F.lit("store"), k, F.lit("_lv1")))
+    x, y = k * 10 + 100, k * -20 - 100
+    point = lambda dx, dy: F.format_string("[%d,%d]", x + dx, y + dy)
+    tri = F.concat(F.lit("[["), F.concat_ws(",", point(0, 0), point(6, 0), point(0, 9), point(0, 0)), F.lit("]]"))
+    props = F.create_map(F.lit("fid"), k.cast("string"), F.lit("zone_type"), kind, F.lit("zone_name"), name, F.lit("floor_level"), (k % 3 + 1).cast("string"))
+    return D.table(spark, sf_dir, "part").select(k.alias("feature_ord"), props.alias("properties"), F.lit("Polygon").alias("geometry_type"), tri.alias("coordinates"))
+
+
+_KINDS = (*topology.ZONE_TAGS, "entry_exit", "unknown")
+
+
+@query("zone_classes", f"""SELECT k AS feature_ord, CASE WHEN z = 'entry_exit' THEN 'node/' ELSE 'way/' END || k AS id, CAST(k % 3 + 1 AS VARCHAR) AS level,
+CASE z WHEN 'corridor' THEN 'corridor' WHEN 'escalator' THEN 'escalator' WHEN 'elevator' THEN 'elevator' WHEN 'entry_exit' THEN CASE WHEN k % 2 = 0 THEN 'mall_entrance' ELSE 'shop_entry' END END AS class
+FROM (SELECT p_partkey AS k, ([{', '.join(f"'{z}'" for z in _KINDS)}])[CAST(p_partkey % 11 + 1 AS INT)] AS z FROM part)""")  # P2 P3 F20 A19
+def zone_classes(spark, sf_dir):
+    return topology.classify(topology.convert(_zones(spark, sf_dir))).select("feature_ord", "id", "level", "class")
+
+
+_LON = "({x}) / 20037508.34 * 180.0"
+_LAT = "180.0 / pi() * (2.0 * atan(exp(({y}) / 20037508.34 * 180.0 * (pi() / 180.0))) - pi() / 2)"
+
+
+@query("zone_points", f"""WITH z AS (SELECT p_partkey AS k, p_partkey * 10 + 100.0::DOUBLE AS x, p_partkey * -20 - 100.0::DOUBLE AS y, p_partkey % 11 = 9 AS entry FROM part)
+SELECT k AS feature_ord, CASE WHEN entry THEN 'Point' ELSE 'Polygon' END AS geometry_type, round(CASE WHEN entry THEN {_LON.format(x='x + 1.5')} ELSE {_LON.format(x='x')} END, 9) AS lon, round(CASE WHEN entry THEN {_LAT.format(y='y + 2.25')} ELSE {_LAT.format(y='y')} END, 9) AS lat FROM z""")  # F3 S5 A13
+def zone_points(spark, sf_dir):
+    f = topology.convert(_zones(spark, sf_dir))
+    p = F.element_at(geojson.vertices(F.col("geometry_type"), F.col("coordinates")), 1)
+    return f.select("feature_ord", "geometry_type", F.round(p[0], 9).alias("lon"), F.round(p[1], 9).alias("lat"))
+
+
+@query("zone_tags", f"""SELECT k AS feature_ord, CASE z {' '.join(f"WHEN '{z}' THEN '{';'.join(f'{a}={b}' for a, b in sorted(t.items()))}'" for z, t in topology.ZONE_TAGS.items())} WHEN 'entry_exit' THEN CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'entrance=main' WHEN k % 2 = 0 THEN 'entrance=yes' ELSE 'entrance=shop' END ELSE '' END AS tags
+FROM (SELECT p_partkey AS k, ([{', '.join(f"'{z}'" for z in _KINDS)}])[CAST(p_partkey % 11 + 1 AS INT)] AS z FROM part)""")  # P3
+def zone_tags(spark, sf_dir):
+    f = topology.convert(_zones(spark, sf_dir))
+    pairs = F.filter(F.map_entries("properties"), lambda e: ~e["key"].isin("@id", "level", "name"))
+    return f.select("feature_ord", F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("tags"))
+
+
+# ---- graph checks
+
+
+@query("valid_edges", f"WITH {D.PART_GRAPH_SQL} SELECT source, target, weight FROM ok")  # J1 S4
+def valid_edges_query(spark, sf_dir):
+    nodes, edges = D.part_graph(spark, sf_dir)
+    return valid_edges(nodes, edges).select("source", "target", "weight")
+
+
+@query("graph_degree", f"WITH {D.PART_GRAPH_SQL} SELECT id, count(b) AS degree FROM nd LEFT JOIN both_ ON a = id GROUP BY id")  # A16
+def graph_degree(spark, sf_dir):
+    return graphqa.degrees(*D.part_graph(spark, sf_dir))
+
+
+@query("graph_isolated", f"WITH {D.PART_GRAPH_SQL} SELECT id FROM nd WHERE id NOT IN (SELECT a FROM both_) ORDER BY id LIMIT 10")  # A16 T6
+def graph_isolated(spark, sf_dir):
+    nodes, edges = D.part_graph(spark, sf_dir)
+    return graphqa.samples(graphqa.isolated_nodes(nodes, edges).select("id"))
+
+
+@query("graph_dangling", f"WITH {D.PART_GRAPH_SQL} SELECT source AS id FROM ed WHERE source NOT IN (SELECT id FROM nd) UNION SELECT target FROM ed WHERE source IN (SELECT id FROM nd) AND target NOT IN (SELECT id FROM nd)")  # J2
+def graph_dangling(spark, sf_dir):
+    return graphqa.dangling_ends(*D.part_graph(spark, sf_dir))
+
+
+@query("graph_duplicates", "SELECT id, count(*) - 1 AS warnings FROM (SELECT 'n' || (o_custkey % 2000) AS id FROM orders) GROUP BY id HAVING count(*) > 1")  # A17
+def graph_duplicates(spark, sf_dir):
+    return graphqa.duplicate_nodes(D.table(spark, sf_dir, "orders").select(F.concat(F.lit("n"), F.col("o_custkey") % 2000).alias("id")))
+
+
+_COMPONENT_SQL = f"""WITH RECURSIVE {D.PART_GRAPH_SQL}, reach(id, other) USING KEY (id) AS (SELECT id, id FROM nd UNION SELECT b, min(r.other) FROM reach r JOIN both_ ON a = r.id JOIN recurring.reach q ON q.id = b WHERE r.other < q.other GROUP BY b)"""
+
+
+@query("graph_components", f"{_COMPONENT_SQL} SELECT id, other AS component FROM reach")  # G3 A18
+def graph_components(spark, sf_dir):
+    return graphqa.node_components(*D.part_graph(spark, sf_dir))
+
+
+@query("component_sizes", f"{_COMPONENT_SQL} SELECT other AS component, count(*) AS n_nodes, count(*) < 10 AS small FROM reach GROUP BY other")  # T5
+def component_sizes(spark, sf_dir):
+    return graphqa.component_sizes(graphqa.node_components(*D.part_graph(spark, sf_dir)))
+
+
+@query("graph_verify", f"""{_COMPONENT_SQL} SELECT (SELECT count(*) FROM nd) AS n_nodes, (SELECT count(DISTINCT id) FROM nd) AS n_unique, (SELECT count(*) FROM ed) AS n_edges,
+(SELECT count(*) FROM (SELECT source AS id FROM ed WHERE source NOT IN (SELECT id FROM nd) UNION SELECT target FROM ed WHERE source IN (SELECT id FROM nd) AND target NOT IN (SELECT id FROM nd))) AS n_missing_ends,
+(SELECT count(*) FROM nd WHERE id NOT IN (SELECT a FROM both_)) AS n_isolated, (SELECT count(DISTINCT other) FROM reach) AS n_components, (SELECT count(DISTINCT other) FROM reach) = 1 AS fully_connected""")  # G4 G6
+def graph_verify(spark, sf_dir):
+    return graphqa.verify(*D.part_graph(spark, sf_dir))
+
+
+@query("shown_edges", f"WITH {_SPECIAL_SQL}, e AS (SELECT a.id AS source, b.id AS target, a.level AS la, b.level AS lb FROM sp a JOIN sp b ON CAST(substr(a.id, 2) AS INT) + 1 = CAST(substr(b.id, 2) AS INT)) SELECT source, target, la <> lb AS transit FROM e WHERE la = '2' OR lb = '2'")  # P12
+def shown_edges(spark, sf_dir):
+    s = _specials(spark, sf_dir)
+    n = F.substring("id", 2, 20).cast("int")
+    edges = s.select(F.col("id").alias("source"), F.concat(F.lit("s"), n + 1).alias("target")).join(s.select(F.col("id").alias("target")), "target", "left_semi")
+    return graphqa.shown_edges(s, edges, "2").select("source", "target", "transit")
+
+
+# ---- shortest paths and choice of the next node
+
+_DISTANCE_SQL = f"""WITH RECURSIVE {D.LATTICE_SQL}, sources AS (SELECT k FROM ln WHERE k < 6),
+best(source, node, dist) USING KEY (source, node) AS (SELECT k, k, 0.0::DOUBLE FROM sources UNION SELECT n.source, n.dst, n.d FROM (SELECT r.source, dst, min(r.dist + w) AS d FROM best r JOIN ld ON src = r.node GROUP BY r.source, dst) n LEFT JOIN recurring.best q ON q.source = n.source AND q.node = n.dst WHERE q.dist IS NULL OR n.d < q.dist)
+SELECT CAST(source AS VARCHAR) AS source, CAST(node AS VARCHAR) AS node, round(dist, 6) AS dist FROM best"""
+
+
+def _sources(spark, sf_dir):
+    nodes, edges = D.lattice_graph(spark, sf_dir)
+    return nodes.where("num < 6").select("id"), directed(edges)
+
+
+@query("shortest_distances", _DISTANCE_SQL)  # G1 G2 P14
+def shortest_distances(spark, sf_dir):
+    return paths.distances(*_sources(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query("relaxed_distances", _DISTANCE_SQL)  # G1 in joins alone
+def relaxed_distances(spark, sf_dir):
+    return paths.relaxed_distances(*_sources(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query("path_lengths", _DISTANCE_SQL)  # M5 W7: the hops of a path add up to its distance
+def path_lengths(spark, sf_dir):
+    sources, both = _sources(spark, sf_dir)
+    found = paths.paths(sources, both)
+    cost = both.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    length = paths.path_hops(found).join(cost, ["src", "dst"]).groupBy("source", "target").agg(F.sum("weight").alias("d"))
+    return found.join(length, ["source", "target"], "left").select("source", F.col("target").alias("node"), F.round(F.coalesce("d", F.lit(0.0)), 6).alias("dist"))
+
+
+@query("logit_step", f"""WITH {D.LATTICE_SQL}, c AS (SELECT src, dst, 0.08::DOUBLE * (s.j - t.j) + CASE WHEN t.i = 3 THEN 0.35 ELSE 0.0 END AS score, {D.lcg_sql('src * 1000 + dst')} AS u FROM ld JOIN ln s ON s.k = src JOIN ln t ON t.k = dst WHERE dst <> src - 1),
+w AS (SELECT src, dst, exp(score - ln(-ln(least(greatest(u, 1e-12), 1 - 1e-12)))) AS w FROM c),
+r AS (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY dst) AS run, sum(w) OVER (PARTITION BY src) AS total, max(dst) OVER (PARTITION BY src) AS lst FROM w)
+SELECT src, min(dst) AS dst FROM r WHERE run >= {D.lcg_sql('src')} * total OR dst = lst GROUP BY src""")  # M3 M12 P15 W4
+def logit_step(spark, sf_dir):
+    nodes, edges = D.lattice_graph(spark, sf_dir)
+    n = nodes.select("num", (F.col("num") % 10).alias("i"), F.floor(F.col("num") / 10).alias("j"))
+    e = directed(edges).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    a, b = n.select(F.col("num").alias("src"), F.col("j").alias("sj")), n.select(F.col("num").alias("dst"), F.col("j").alias("tj"), F.col("i").alias("ti"))
+    score = F.lit(0.08) * (F.col("sj") - F.col("tj")) + F.when(F.col("ti") == 3, 0.35).otherwise(0.0)
+    weight = F.exp(score + gumbel(D.lcg(F.col("src") * 1000 + F.col("dst"))))
+    options = e.join(a, "src").join(b, "dst").where("dst <> src - 1").select("src", "dst", weight.alias("w"))
+    return trips.roulette(options, ["src"], "dst", "w", D.lcg(F.col("src"))).select("src", "dst")
+
+
+@query("zone_members", f"WITH {D.POINTS_SQL}, a AS (SELECT x AS ax, y AS ay FROM pt WHERE grid_ord = 0) SELECT CAST(grid_ord AS VARCHAR) AS id FROM pt, a WHERE grid_ord > 0 AND level = '2' AND {D.distance_sql('x', 'y', 'ax', 'ay')} <= 15.0")  # J13
+def zone_members(spark, sf_dir):
+    nodes = D.points(spark, sf_dir).select(F.col("grid_ord").cast("string").alias("id"), "x", "y", "level", F.when(F.col("grid_ord") == 0, "escalator").otherwise("corridor").alias("type"), F.when(F.col("grid_ord") == 0, CONFIG.zone_anchor).alias("name"))
+    return trips.escalator_zone(nodes, CONFIG)
+
+
+# ---- configuration and whole runs
+
+
+@query("config_roundtrip", f"SELECT 'weekly_visits' AS name, '150000' AS value UNION ALL SELECT 'routing_mode', 'shortest' UNION ALL SELECT 'specialty', '0.13' UNION ALL SELECT 'active', '1;2' UNION ALL SELECT 'farmers', '{CATEGORY_WEIGHTS['farmers']}'")  # S7 K5
+def config_roundtrip(spark, sf_dir):
+    c = from_json('{"totalAgents": 150000, "routingMode": "shortest", "categoryWeights": {"specialty": 0.126}, "activePanelIds": [1, 2]}')
+    c = from_json(to_json(c))
+    rows = [("weekly_visits", str(c.weekly_visits)), ("routing_mode", c.routing_mode), ("specialty", str(c.category_weights["specialty"])), ("active", ";".join(c.active_panel_ids)), ("farmers", str(c.category_weights["farmers"]))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query("venue_graph")  # G5 F7 F4 J5 J6 J7 J8 P13 A19: tested against brute force
+def venue_graph(spark, sf_dir):
+    classified = topology.classify(topology.convert(venue.zones(spark)))
+    nodes, edges = graphbuild.build_graph(classified)
+    return graphbuild.build_report(classified, nodes, edges)
+
+
+def _week(spark, sf_dir, mode: str) -> DataFrame:
+    """A week in the example venue with as many trips as orders and as many people as customers."""
+    nodes, edges = graphbuild.build_graph(topology.classify(topology.convert(venue.zones(spark))))
+    n, pool = (D.table(spark, sf_dir, t).count() for t in ("orders", "customer"))
+    config = SimConfig(weekly_visits=n, weekly_uniques=pool, routing_mode=mode, zone_anchor=venue.ANCHOR)
+    week = weekly.simulate(spark, nodes, edges, venue.panels(spark), config)
+    return metrics.ranked(week.metrics).select(*BOARD)
+
+
+@query("weekly_run")  # M1-M9 M11 A20: the whole simulation; tested by its invariants
+def weekly_run(spark, sf_dir):
+    return _week(spark, sf_dir, "segment_logit")
+
+
+@query("weekly_run_shortest")  # M5
+def weekly_run_shortest(spark, sf_dir):
+    return _week(spark, sf_dir, "shortest")

@@ -60,7 +60,7 @@ def score_report(ranked: DataFrame, panels: DataFrame, config: C.SimConfig, titl
         ",", F.col("rank"), quoted(panel_label(F.col("panel_id"))), quoted(floor_label(F.col("floor"))), plain_number(F.col("orientation")), F.col("latitude").cast("string"), F.col("longitude").cast("string"),
         quoted(F.when(F.col("active"), "Yes").otherwise("No")), F.col("unique_reach"), F.col("contacts"), fixed(F.col("efficiency_pct"), 2),
     )
-    body = ranked.join(panels.select("panel_id", "orientation", "latitude", "longitude", "active"), "panel_id").select((F.col("rank") + len(lines)).cast("long").alias("line"), row.alias("value"))
+    body = ranked.select("rank", "panel_id", "floor", "unique_reach", "contacts", "efficiency_pct").join(panels.select("panel_id", "orientation", "latitude", "longitude", "active"), "panel_id").select((F.col("rank") + len(lines)).cast("long").alias("line"), row.alias("value"))
     return top.unionByName(body)
 
 
