@@ -166,7 +166,6 @@ def test_stream_of_samples(spark, tmp_path):  # extension of M7
     for k in (0, 4):
         spark.createDataFrame(rows[k : k + 4 if k == 0 else None], "trip long, person long, panel_id string, ts string, seq int, hit boolean").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = stream_passages(stream).writeStream.format("memory").queryName("passages").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream_passages(stream).writeStream.format("memory").queryName("passages").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert spark.table("passages").count() in (3, 4)
