@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strider.llm.common import bounded_batches, table
 
 THRESHOLD, SIGMA = 0.8, 1.0
+#: Elements nested deeper stand beside their parent.
+MAX_DEPTH = 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select noembed noframes xmp".split())
@@ -53,6 +55,8 @@ _WORDS = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[^<]+|<""", re.S)
+#: After the last ">" nothing but comments and text can follow.
+_REST = re.compile(r"<!--.*|<[!?].*|[^<]+|<", re.S)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？]")
 
@@ -73,11 +77,11 @@ def _noisy(tag: str, attrs: str, depth_in_article: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "skip", "block", "article", "pre")
+    __slots__ = ("tag", "parent", "path", "depth", "skip", "block", "article")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.path, self.depth = (f"{parent.path}/{tag}", parent.depth + 1) if parent else (tag, 0)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.block = tag not in INLINE and tag != "br"
 
@@ -98,11 +102,11 @@ def blocks(html: str) -> list[tuple[Node, str, str]]:
     current: Block | None = None
     at, n = 0, len(html)
     low = None
-    match = _TOKEN.match
+    match, last_end = _TOKEN.match, html.rfind(">")
     while at < n:
-        m = match(html, at)
+        m = match(html, at) if at <= last_end else _REST.match(html, at)
         at = m.end()
-        tag = m.group(2)
+        tag = m.group(2) if m.re is _TOKEN else None
         if tag is None:
             text = m.group()
             if text[0] == "<" and len(text) > 1:
@@ -171,6 +175,10 @@ def blocks(html: str) -> list[tuple[Node, str, str]]:
                 node = last.parent
         if attrs.endswith("/") and tag not in INLINE and tag not in P_CLOSERS and "-" in tag:
             continue
+        if node.depth >= MAX_DEPTH:
+            if tag not in INLINE:
+                current = None
+            continue
         node = Node(tag, node, node.skip or _noisy(tag, attrs, node.article))
         if node.block:
             current = None
@@ -234,7 +242,7 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
         tops = {k for k in named if not (nodes[k].tag == "main" and any(nodes[j].tag == "article" and _under(nodes[j], nodes[k]) for j in named))}
         inside = [f for f in found if any(id(a) in tops for a in _ancestors(f[0]))]
     else:
-        best = max(nodes, key=lambda k: (weight[k] >= 0.6 * total, nodes[k].path.count("/"), weight[k]))
+        best = max(nodes, key=lambda k: (weight[k] >= 0.6 * total, nodes[k].depth, weight[k]))
         inner = nodes[best]
         while inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "tr", "tbody", "ul", "ol", "blockquote") and inner.parent:
             inner = inner.parent

@@ -131,10 +131,10 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, anchors: per document the anchors that other documents hold too."""
+    """doc_id, __anchors: per document the anchors that other documents hold too."""
     rows = anchors(docs).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("_n > 1 OR rest IS NOT NULL")
     each = rows.select("anchor", F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("doc_id"))
-    return each.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    return each.groupBy("doc_id").agg(F.collect_list("anchor").alias("__anchors"))
 
 
 #: places: document, place, document, place, ...
@@ -148,7 +148,7 @@ def _mark(data: bytes) -> int:
 
 
 def shared_contexts(joined: DataFrame) -> DataFrame:
-    """joined: doc_id, text, anchors. The contexts of shared anchors with the places (text mark and first byte) where
+    """joined: doc_id, text, __anchors. The contexts of shared anchors with the places (text mark and first byte) where
     they occur."""
 
     def run(batches):
@@ -191,7 +191,7 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
                     n = 0
         yield from flush()
 
-    return joined.select("doc_id", "text", "anchors").mapInArrow(run, CONTEXTS)
+    return joined.select("doc_id", "text", "__anchors").mapInArrow(run, CONTEXTS)
 
 
 def refine(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -325,13 +325,13 @@ def covered(found: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Adds `spans`: an array of (place, size), place being the text's mark and the first byte."""
+    """docs: doc_id, text. Adds `__spans`: an array of (place, size), place being the text's mark and the first byte."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = written(shared_anchors(docs), f"{shared_dir(spark)}/anchors")
     found = shared_contexts(docs.join(shared, "doc_id", "left"))
     spans = covered(found.repartition("anchor").sortWithinPartitions("anchor", "context"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias("spans"))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias("__spans"))
     return docs.join(by_doc, "doc_id", "left")
 
 
@@ -379,14 +379,14 @@ def removal(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
-    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated bytes taken out; bytes of a character that was cut in two go as well. A text of
     which nothing is left stays as an empty one; n_chars, where present, is counted anew."""
     bounded_batches(docs.sparkSession)
-    fields = [f for f in docs.schema if f.name != "spans"]
+    fields = docs.schema.fields
     names = [f.name for f in fields]
 
     def run(batches):
@@ -399,8 +399,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([None if z else len(t) for z, t in zip(null, texts)], pa.int64()).cast(batch.column(2 + [x for x in names if x != "text"].index("n_chars")).type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    spans = removed_spans(docs.select(*names))
-    return spans.select("text", "spans", *[n for n in names if n != "text"]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    spans = removed_spans(docs)
+    return spans.select("text", "__spans", *[f"`{n}`" for n in names if n != "text"]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
         trust, distrust = propagate(good, edges), propagate(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     scores = hosts.select("host").join(trust.select("host", F.col("score").alias("trust")), "host", "left").join(distrust.select("host", F.col("score").alias("distrust")), "host", "left")
     scores = scores.select("host", *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 12).alias(c) for c in ("trust", "distrust")])
-    blocked = (F.col("distrust") >= F.lit(threshold * (1 - DAMPING))) & (F.col("distrust") > F.col("trust"))
+    blocked = (F.col("distrust") >= F.lit(round(threshold * (1 - DAMPING), 12))) & (F.col("distrust") > F.col("trust"))
     out = named.join(scores, "host", "left")
     verdict = F.coalesce(F.col("_said"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -130,7 +130,7 @@ hosts AS (SELECT host, avg(coalesce(v = 'allow', false)::INT) AS good, avg(coale
 links AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("u")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*([a-z][a-z0-9+.\-]*://[^"''\s>]+)', 1)) AS u FROM named) q) z WHERE src <> dst AND src <> '' AND dst <> ''),
 {", ".join(walk)},
 scores AS (SELECT h.host, round(coalesce(t.score, 0), 12) AS trust, round(coalesce(d.score, 0), 12) AS distrust FROM hosts h LEFT JOIN t{ROUNDS} t USING (host) LEFT JOIN d{ROUNDS} d USING (host))
-SELECT page_id, said.host, path, rule, coalesce(v, CASE WHEN distrust >= {threshold * (1 - DAMPING)} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, said.host, path, rule, coalesce(v, CASE WHEN distrust >= {round(threshold * (1 - DAMPING), 12)} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM said LEFT JOIN scores ON said.host = scores.host"""
 
 
