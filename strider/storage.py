@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,10 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Writes a Parquet table and reads it: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's
+    garbage is collected, which in a driver with little work may be long after a large step is over."""
+    gc.collect()
+    spark._jvm.System.gc()
