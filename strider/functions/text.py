@@ -21,6 +21,32 @@ PREFIX_RULES = (("rs_", "rebelsport"),)
 DEFAULT_CATEGORY = "specialty"
 
 
+# What charts call the categories.
+CATEGORY_LABELS = {
+    "farmers": "Farmers",
+    "davidjones": "David Jones",
+    "hm": "H&M",
+    "woolworths": "Woolworths",
+    "jbhifi": "JB Hi-Fi",
+    "foodcourt": "Food Court",
+    "noelleeming": "Noel Leeming",
+    "archiebrothers": "Archie Brothers",
+    "rebelsport": "Rebel Sport",
+    "specialty": "Specialty",
+}
+
+
+def category_label(category: Column) -> Column:
+    """a category's name on charts; unknown ones as they are."""
+    labels = F.create_map(*[F.lit(x) for kv in CATEGORY_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(labels, category), category)
+
+
+def level_label(floor: Column) -> Column:
+    """a floor's name on charts."""
+    return F.concat(F.lit("Level "), floor)
+
+
 def store_category(name: Column, rules=CATEGORY_RULES, prefixes=PREFIX_RULES) -> Column:
     """Ordered substring rules on the lower-case name, then prefixes, else the default."""
     low = F.lower(name)

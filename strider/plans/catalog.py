@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from strider.config import CATEGORY_WEIGHTS, DAILY_WEIGHTS, SimConfig, from_json, to_json
 from strider.functions import geo, text
@@ -140,6 +139,15 @@ def store_categories(spark, sf_dir):
 _CATEGORIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")
 
 
+_LABEL_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.CATEGORY_LABELS.items())
+
+
+@query("chart_labels", f"SELECT c AS category, CASE c {_LABEL_SQL} ELSE c END AS label, 'Level ' || (length(c) % 3 + 1) AS level FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in (*text.CATEGORY_LABELS, 'kiosk'))}) t(c)")  # F28
+def chart_labels(spark, sf_dir):
+    df = spark.createDataFrame([(c,) for c in (*text.CATEGORY_LABELS, "kiosk")], "category string")
+    return df.select("category", text.category_label(F.col("category")).alias("label"), text.level_label((F.length("category") % 3 + 1).cast("string")).alias("level"))
+
+
 @query("category_visits", f"SELECT c.category, count(o_orderkey) FILTER (o_custkey % 5 <> o_orderkey % 5) AS visits FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in _CATEGORIES)}) c(category) LEFT JOIN customer ON c_mktsegment = c.category LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c.category")  # A9 D15
 def category_visits(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders").join(D.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -456,11 +464,11 @@ def point_in_polygon(spark, sf_dir):
     return D.points(spark, sf_dir).select("grid_ord", geo.point_in_polygon(F.col("x"), F.col("y"), rings).alias("inside"))
 
 
-@query("segment_crossing", f"""WITH {D.POINTS_SQL}, {_WALLS_SQL}, h AS (SELECT grid_ord, level, x, y, lead(x) OVER (ORDER BY grid_ord) AS x2, lead(y) OVER (ORDER BY grid_ord) AS y2 FROM pt)
-SELECT grid_ord, EXISTS (SELECT 1 FROM wl w WHERE w.level = '1' AND {_cross_sql(("h.x", "h.y"), ("h.x2", "h.y2"), ("w.x1", "w.y1"), ("w.x2", "w.y2"))}) AS crosses FROM h WHERE x2 IS NOT NULL""")  # F5 F6
+@query("segment_crossing", f"""WITH {D.POINTS_SQL}, {_WALLS_SQL}, h AS (SELECT a.grid_ord, a.x, a.y, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON b.grid_ord = a.grid_ord + 1)
+SELECT grid_ord, EXISTS (SELECT 1 FROM wl w WHERE w.level = '1' AND {_cross_sql(("h.x", "h.y"), ("h.x2", "h.y2"), ("w.x1", "w.y1"), ("w.x2", "w.y2"))}) AS crosses FROM h""")  # F5 F6
 def segment_crossing(spark, sf_dir):
-    w = W.partitionBy(F.lit(0)).orderBy("grid_ord")
-    h = D.points(spark, sf_dir).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 IS NOT NULL")
+    p = D.points(spark, sf_dir)
+    h = p.join(p.select((F.col("grid_ord") - 1).alias("grid_ord"), F.col("x").alias("x2"), F.col("y").alias("y2")), "grid_ord")
     hit = F.lit(False)
     for level, x1, y1, x2, y2 in _WALLS:
         if level == "1":
