@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strider.llm.common import bounded_batches, table
 
 THRESHOLD, SIGMA = 0.8, 1.0
+#: Share of links that makes a block a menu's.
+LINK_SHARE = 0.8
 #: Elements nested deeper stand beside their parent.
 MAX_DEPTH = 512
 
@@ -77,26 +79,28 @@ def _noisy(tag: str, attrs: str, depth_in_article: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "depth", "skip", "block", "article")
+    __slots__ = ("tag", "parent", "path", "depth", "skip", "block", "article", "link")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.path, self.depth = (f"{parent.path}/{tag}", parent.depth + 1) if parent else (tag, 0)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.block = tag not in INLINE and tag != "br"
+        self.link = tag == "a" or bool(parent and parent.link)
 
 
 class Block:
-    """The text of one block element between two block boundaries, with the path of its first text."""
+    """The text of one block element between two block boundaries, with the path of its first text and the length of
+    its links."""
 
-    __slots__ = ("node", "path", "parts")
+    __slots__ = ("node", "path", "parts", "linked")
 
     def __init__(self, node: Node):
-        self.node, self.path, self.parts = node, "", []
+        self.node, self.path, self.parts, self.linked = node, "", [], 0
 
 
-def blocks(html: str) -> list[tuple[Node, str, str]]:
-    """(block element, tag path, text) in page order, boilerplate elements left out."""
+def blocks(html: str) -> list[tuple[Node, str, str, bool]]:
+    """(block element, tag path, text, whether it is little but links) in page order, boilerplate elements left out."""
     root = node = Node("html", None, False)
     out: list[Block] = []
     current: Block | None = None
@@ -124,6 +128,8 @@ def blocks(html: str) -> list[tuple[Node, str, str]]:
             if not current.path and text.strip():
                 current.path = node.path
             current.parts.append(unescape(text) if "&" in text else text)
+            if node.link:
+                current.linked += len(text.strip())
             continue
         tag = tag.lower()
         if m.group(1):  # an end tag closes down to its element; without one it is ignored
@@ -186,25 +192,25 @@ def blocks(html: str) -> list[tuple[Node, str, str]]:
     for b in out:
         text = " ".join("".join(b.parts).split())
         if text:
-            done.append((b.node, b.path, text))
+            done.append((b.node, b.path, text, b.linked >= LINK_SHARE * len(text)))
     return done
 
 
-def path_scores(found: list[tuple[Node, str, str]], sigma: float = SIGMA) -> dict[str, float]:
+def path_scores(found: list[tuple[Node, str, str, bool]], sigma: float = SIGMA) -> dict[str, float]:
     """Per tag path the mean of its nodes' fused length and punctuation ratio, smoothed over page order."""
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     count: dict[str, int] = {}
-    for _, path, text in found:
+    for _, path, text, _ in found:
         length[path] = length.get(path, 0) + len(text)
         marks[path] = marks.get(path, 0) + len(_PUNCT.findall(text))
         count[path] = count.get(path, 0) + 1
     ratio = {p: (length[p] / count[p]) * (1 + marks[p] / count[p]) for p in count}
-    raw = [ratio[p] for _, p, _ in found]
+    raw = [ratio[f[1]] for f in found]
     reach = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     total: dict[str, float] = {}
-    for i, (_, path, _) in enumerate(found):
+    for i, (_, path, _, _) in enumerate(found):
         lo, hi = max(0, i - reach), min(len(raw), i + reach + 1)
         weights = kernel[lo - i + reach : hi - i + reach]
         total[path] = total.get(path, 0.0) + sum(w * x for w, x in zip(weights, raw[lo:hi])) / sum(weights)
@@ -218,7 +224,7 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
     if not found:
         return ""
     scores = path_scores(found)
-    values = [scores[p] for _, p, _ in found]
+    values = [scores[f[1]] for f in found]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     content = {p for p, v in scores.items() if v >= threshold * spread}
@@ -226,7 +232,7 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
     weight: dict[int, int] = {}
     nodes: dict[int, Node] = {}
     total = 0
-    for node, path, text in found:
+    for node, path, text, _ in found:
         if path not in content:
             continue
         w = len(text)
@@ -246,8 +252,9 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
         inner = nodes[best]
         while inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "tr", "tbody", "ul", "ol", "blockquote") and inner.parent:
             inner = inner.parent
-        inside = [f for f in found if any(a is inner for a in _ancestors(f[0])) or f[0] is inner]
-    return "\n\n".join(t for _, _, t in inside)
+        # without a named article, link lists of other paths are menus
+        inside = [f for f in found if any(a is inner for a in _ancestors(f[0])) and not (f[3] and f[1] not in content)]
+    return "\n\n".join(t for _, _, t, _ in inside)
 
 
 def _ancestors(node: Node):

@@ -20,6 +20,7 @@ WANT = "A long paragraph, with much text, and punctuation. It goes on, and on, h
     (f"<article>{ARTICLE}</article><article class='comment'><p>Nice, text. Very good, indeed.</p></article>", WANT),
     (f"<div class=with-sidebar><main>{ARTICLE}</main></div><script>var a = '<p>no</p>';</script><!-- <p>no</p> -->", WANT),
     (f"<body><div class='cookie-notice'>We use cookies, a lot.</div><article><header><h1>H</h1></header>{ARTICLE}", "H\n\n" + WANT),
+    (f"<div><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>{ARTICLE}</div>", WANT),
     ("<article><p><b>Bold.<p>Next</article>", "Bold.\n\nNext"),
     ("<article>a<ul><li>one<li>two</ul>b</article>", "a\n\none\n\ntwo\n\nb"),
     ("just text", "just text"), ("", ""), (None, ""), ("<p></p><br>", ""), ("<p>a < b & c</p>", "a < b & c"), ("<p title=don't>x's</p>", "x's"),
