@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,9 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's
-    garbage is collected, which in a driver with little work may be long after a large step is over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    garbage is collected, which in a driver with little work may be long after a large step is over. Python hands over
+    what it dropped once a second, hence the pauses."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark._jvm.System.gc()
