@@ -33,6 +33,8 @@ from strider.llm.common import bounded_batches, mix64, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 60_000
+#: Added to twice the sample: fewer candidates than the sample itself remain with negligible probability.
+SPARE = 200
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
 RUN, CACHE_WORDS = 48, 400_000
 MARK, UND = "▁", "und"
@@ -214,8 +216,13 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
     """Learns from labelled rows outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("_n", place).where(F.col("_n") <= sample_docs).select("doc_id", "lang").distinct()
+    # the smallest hashes of each language; those far above the expected cut are left out before they are ranked, so a
+    # language of any size sends a few times sample_docs rows to its task
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))  # a row for each language
+    rank = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    near = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").withColumn("_rank", rank).where(F.col("_rank") * F.col("_all") <= 2 * sample_docs + SPARE)
+    place = F.row_number().over(W.partitionBy("lang").orderBy("_rank", "doc_id"))
+    ids = near.withColumn("_n", place).where(F.col("_n") <= sample_docs).select("doc_id", "lang").distinct()
     # at most sample_docs ids for each language
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
