@@ -8,7 +8,9 @@ a bucket is refined by sorting its members on the bucket identifiers that their
 round reuses the refinements of the rounds before it and doubles the depth; buckets with one member are never touched
 again. Contexts that hold no string whose hash recurs are left out of the sort. A final bucket is one string; its smallest document id keeps it, all others lose it.
 
-Scale: three shuffles: anchors (8-byte hash and id), contexts of shared anchors, and spans by document; texts are
+Equal texts are found first, by digest: of each text only the first document takes part, the others lose all.
+
+Scale: three shuffles: anchors (8-byte hash and text key), contexts of shared anchors, and spans by document; texts are
 shuffled once by doc_id, and that exchange serves both reading contexts and cutting spans. A task merges equal anchors, and equal contexts with their places, of
 up to MERGE entries before they are shuffled, so a passage that a third of all documents share arrives as one row for
 each MERGE entries and not for each document. Groups by anchor are streamed in sorted order and refined in chunks of
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import bounded_batches, byte_view, mix64, slices, table
-from strider.storage import shared_dir, written
+from strider.storage import release, shared_dir, written
 
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
@@ -88,12 +90,14 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return owner[starts], low[starts], at[starts], runs + length - 1
 
 
+#: low, rest: texts (keys of their digests), not documents.
 ANCHORS = "anchor long, low long, rest array<long>"
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("low", pa.int64()), ("rest", pa.list_(pa.int64()))])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """anchor, low, rest: an anchor and the ids of documents that hold it, the smallest and others that a task met."""
+    """anchor, low, rest: an anchor and the texts that hold it, the smallest key and others that a task met. Equal texts
+    are one."""
     bounded_batches(docs.sparkSession)
 
     def merged(hs: list, ids: list) -> pa.RecordBatch:
@@ -114,12 +118,13 @@ def anchors(docs: DataFrame) -> DataFrame:
     def run(batches):
         hs, ids, held = [], [], 0
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, offsets = byte_view(batch.column(1))
+            raw, offsets = byte_view(batch.column(0))
             for i, j in slices(offsets, SLICE):
                 owner, h, _, _ = contexts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                data, at = raw[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
+                keys = np.array([text_key(data[a:b]) for a, b in zip(at, at[1:])], np.int64)
                 hs.append(h)
-                ids.append(doc[i:j][owner].astype(np.int64))
+                ids.append(keys[owner])
                 held += len(h)
                 if held >= MERGE:
                     yield merged(hs, ids)
@@ -127,14 +132,29 @@ def anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield merged(hs, ids)
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, ANCHORS)
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, ANCHORS)
+
+
+def text_key(data: bytes) -> int:
+    """64 bits of a text's digest, as `digests` has them."""
+    return int.from_bytes(hashlib.md5(data).digest()[:8], "big", signed=True)
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, __anchors: per document the anchors that other documents hold too."""
-    rows = anchors(docs).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("_n > 1 OR rest IS NOT NULL")
-    each = rows.select("anchor", F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("doc_id"))
-    return each.groupBy("doc_id").agg(F.collect_list("anchor").alias("__anchors"))
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, md5 and its first 64 bits, of every text."""
+    md5 = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", md5.alias("md5"), F.conv(F.substring(md5, 1, 16), 16, -10).cast("long").alias("text_key"))
+
+
+def shared_anchors(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, __anchors: for the first document of each text the anchors that other texts hold too."""
+    w = W.partitionBy("anchor")
+    several = (F.min("low").over(w) != F.max("low").over(w)) | F.max(F.col("rest").isNotNull()).over(w)
+    rows = anchors(docs).withColumn("_several", several).where("_several")
+    each = rows.select("anchor", F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("text_key"))
+    by_text = each.groupBy("text_key").agg(F.collect_set("anchor").alias("__anchors"))
+    # an id stands for several texts only where rows share it
+    return by_text.join(firsts, "text_key").groupBy("doc_id").agg(F.flatten(F.collect_list("__anchors")).alias("__anchors"))
 
 
 #: places: document, place, document, place, ...
@@ -325,14 +345,19 @@ def covered(found: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Adds `__spans`: an array of (place, size), place being the text's mark and the first byte."""
-    spark = docs.sparkSession
+    """docs: doc_id, text. Adds `__spans`, an array of (place, size), place being the text's mark and the first byte,
+    and `__copies`, the digests of an id's texts that a smaller id holds as well, and so lose all."""
+    spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
     bounded_batches(spark)
-    shared = written(shared_anchors(docs), f"{shared_dir(spark)}/anchors")
+    marked = written(digests(docs), f"{out}/digests")
+    firsts = written(marked.groupBy("md5", "text_key").agg(F.min("doc_id").alias("doc_id")), f"{out}/firsts")
+    copies = marked.join(firsts.select("md5", F.col("doc_id").alias("_first")), "md5").where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("md5").alias("__copies"))
+    shared = written(shared_anchors(docs, firsts.select("text_key", "doc_id")), f"{out}/anchors")
+    release(spark)  # the anchors' shuffle is the largest here
     found = shared_contexts(docs.join(shared, "doc_id", "left"))
     spans = covered(found.repartition("anchor").sortWithinPartitions("anchor", "context"))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias("__spans"))
-    return docs.join(by_doc, "doc_id", "left")
+    return docs.join(by_doc.join(copies, "doc_id", "full"), "doc_id", "left")
 
 
 def cut(data: bytes, places: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
@@ -357,15 +382,18 @@ def cut(data: bytes, places: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[
     return runs, b"".join(kept)
 
 
-def _each(batch: pa.RecordBatch, text: int, spans: int):
+def _each(batch: pa.RecordBatch, text: int, spans: int, copies: int):
     """(bytes, runs, kept bytes) of every row."""
-    lists, texts = batch.column(spans), batch.column(text).cast(pa.binary())
+    lists, texts, gone = batch.column(spans), batch.column(text).cast(pa.binary()), batch.column(copies)
     first = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
     flat = lists.flatten()
     places, sizes = (x.to_numpy() for x in flat.flatten()) if len(flat) else (np.empty(0, np.int64), np.empty(0, np.int32))
     for i in range(len(batch)):
         data = texts[i].as_py() or b""
-        yield data, *cut(data, places[first[i] : first[i + 1]], sizes[first[i] : first[i + 1]])
+        if len(data) >= LENGTH and gone[i].is_valid and hashlib.md5(data).hexdigest() in gone[i].as_py():
+            yield data, [(0, len(data))], b""
+        else:
+            yield data, *cut(data, places[first[i] : first[i + 1]], sizes[first[i] : first[i + 1]])
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -375,11 +403,11 @@ def removal(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest()) for data, runs, kept in _each(batch, 1, 2)]
+            rows = [(len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest()) for data, runs, kept in _each(batch, 1, 2, 3)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
-    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans", "__copies").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -391,21 +419,33 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(kept if runs else data).decode("utf-8", "ignore") for data, runs, kept in _each(batch, 0, 1)]
-            cols = {n: batch.column(2 + i) for i, n in enumerate(x for x in names if x != "text")}
+            texts = [(kept if runs else data).decode("utf-8", "ignore") for data, runs, kept in _each(batch, 0, 1, 2)]
+            cols = {n: batch.column(3 + i) for i, n in enumerate(x for x in names if x != "text")}
             null = batch.column(0).is_null().to_pylist()
             cols["text"] = pa.array([None if z else t for z, t in zip(null, texts)], pa.string())
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if z else len(t) for z, t in zip(null, texts)], pa.int64()).cast(batch.column(2 + [x for x in names if x != "text"].index("n_chars")).type)
+                cols["n_chars"] = pa.array([None if z else len(t) for z, t in zip(null, texts)], pa.int64()).cast(batch.column(3 + [x for x in names if x != "text"].index("n_chars")).type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     spans = removed_spans(docs)
-    return spans.select("text", "__spans", *[f"`{n}`" for n in names if n != "text"]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return spans.select("text", "__spans", "__copies", *[f"`{n}`" for n in names if n != "text"]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS MATERIALIZED (SELECT doc_id, k, md5_number_lower(substr(h, 2 * k + 1, 100)) AS g1, md5_number_upper(substr(h, 2 * k + 1, 100)) AS g2 FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS k FROM d)),
+f AS (SELECT g1, g2, min(doc_id) AS first FROM g GROUP BY ALL),
+m AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM g JOIN f USING (g1, g2) WHERE first < doc_id),
+i AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m),
+r AS MATERIALIZED (SELECT doc_id, run, min(k) AS a, max(k) + 50 AS b FROM i GROUP BY ALL),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS runs, max(b) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
 QUERIES = {"op8_substrings": op8_substrings}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op8_substrings": ORACLE_SQL}
