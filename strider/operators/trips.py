@@ -44,8 +44,10 @@ def trip_days(trips: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def multiplier(n: int, seed: int) -> int:
-    """A number without common divisor with n, near the golden section of it."""
-    a = max(1, int(n * 0.6180339887) + 2 * seed + 1) % max(n, 1) or 1
+    """A number without common divisor with n, near the golden section of it, or less where products of n would not fit
+    64 bits."""
+    top = min(n, (1 << 62) // max(n, 1))
+    a = max(1, int(top * 0.6180339887) + 2 * seed + 1) % max(top, 1) or 1
     while math.gcd(a, max(n, 1)) != 1:
         a += 1
     return a

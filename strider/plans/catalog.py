@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strider.config import CATEGORY_WEIGHTS, DAILY_WEIGHTS, SimConfig, from_json, to_json
 from strider.functions import geo, text
 from strider.functions.rng import gumbel
-from strider.operators import audience, graphbuild, graphqa, metrics, paths, topology, trips, visibility, walk
+from strider.operators import audience, graphbuild, graphqa, metrics, paths, topology, trips, visibility
 from strider.plans import derived as D
 from strider.plans import venue, weekly
 from strider.sources import geojson, panels as panel_files, sinks
