@@ -11,7 +11,9 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches handed to Python are held to this many rows and bytes, so a worker's memory does not depend on the
 #: partition size (a single longer row is still one batch).
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
+#: Bytes that array code works on at a time; its arrays take some forty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,7 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = BATCH_BYTES):
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Row ranges of at most `limit` bytes each (one row at least)."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -36,7 +36,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 400, 60_000
 #: Added to twice the sample: fewer candidates than the sample itself remain with negligible probability.
 SPARE = 200
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
-RUN, CACHE_WORDS = 48, 400_000
+RUN, CACHE_WORDS = 48, 200_000
 MARK, UND = "▁", "und"
 #: Probabilities are scaled by this per character, which keeps products of a whole run in range.
 SCALE = 16.0
@@ -169,10 +169,10 @@ class Model:
         if not words:
             return out
         runs, owner = _runs(words)
-        for at in range(0, len(runs), 20_000):
-            lat = Lattice(runs[at : at + 20_000], self.hashes, self.longest)
+        for at in range(0, len(runs), 10_000):
+            lat = Lattice(runs[at : at + 10_000], self.hashes, self.longest)
             scores = np.log(np.maximum(lat.final(lat.forward(self.prob)), 1e-300)) - lat.lengths[:, None] * np.log(SCALE)
-            np.add.at(out, owner[at : at + 20_000][lat.order], scores)
+            np.add.at(out, owner[at : at + 10_000][lat.order], scores)
         return out
 
 

@@ -37,7 +37,7 @@ from strider.storage import release, shared_dir, written
 
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
-RUN, MERGE, SLICE, CHUNK = 64, 400_000, 2 << 20, 4 << 20
+RUN, MERGE, SLICE, CHUNK = 64, 400_000, 1 << 20, 1 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.int64(32)
