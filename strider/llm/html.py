@@ -3,8 +3,8 @@
 A tolerant tokenizer yields text nodes with their root-to-leaf tag path. Per path, text length and punctuation are
 aggregated and divided by the number of nodes; the two ratios are fused (length ratio times punctuation ratio), spread
 over page order with a Gaussian, and a path is content when its mean smoothed score reaches THRESHOLD standard
-deviations. The lowest element that holds most of the chosen paths' weight is the article: every block in it is text,
-so a short paragraph or a heading between long ones is not lost, and blocks of chosen paths outside it are not taken.
+deviations. The lowest element that holds all blocks of the chosen paths is the article: every block in it is text, so a
+short paragraph or a heading between long ones is not lost.
 Elements that HTML or their class, id or role name as menus, headers, footers, sidebars, notices, adverts, forms or
 comments never take part; an explicit article or main element counts for more than an anonymous one.
 
@@ -248,8 +248,7 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
         tops = {k for k in named if not (nodes[k].tag == "main" and any(nodes[j].tag == "article" and _under(nodes[j], nodes[k]) for j in named))}
         inside = [f for f in found if any(id(a) in tops for a in _ancestors(f[0]))]
     else:
-        best = max(nodes, key=lambda k: (weight[k] >= 0.6 * total, nodes[k].depth, weight[k]))
-        inner = nodes[best]
+        inner = max((x for k, x in nodes.items() if weight[k] == total), key=lambda x: x.depth)
         while inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "tr", "tbody", "ul", "ol", "blockquote") and inner.parent:
             inner = inner.parent
         # without a named article, link lists of other paths are menus

@@ -29,6 +29,20 @@ def test_extraction(page, want):
     assert html.extract(page) == want
 
 
+LONG, REST = "A long text, with much in it. It goes on, and on. " * 14, "The rest of it, not as long. It ends, here. " * 7
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=c><div>{LONG}</div><div>{REST}</div></div>",
+    f"<section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>{REST}</p></section>",
+    f"<dl><dd>{LONG}</dd><dd>{REST}</dd></dl>", f"<div><figure>{LONG}</figure><p>{REST}</p></div>",
+])
+def test_uneven_parts_are_all_kept(page):
+    want = [" ".join(x.split()) for x in (LONG, REST)]
+    got = html.extract(page).split("\n\n")
+    assert [x for x in got if x not in ("One", "Two")] == want and ("One" in got) == ("Two" in got) == ("<h2>" in page)
+
+
 def test_hostile_markup_is_linear():
     import time
 
