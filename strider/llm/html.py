@@ -3,10 +3,11 @@
 A tolerant tokenizer yields text nodes with their root-to-leaf tag path. Per path, text length and punctuation are
 aggregated and divided by the number of nodes; the two ratios are fused (length ratio times punctuation ratio), spread
 over page order with a Gaussian, and a path is content when its mean smoothed score reaches THRESHOLD standard
-deviations. The lowest element that holds all blocks of the chosen paths is the article: every block in it is text, so a
-short paragraph or a heading between long ones is not lost.
+deviations. Blocks of chosen paths are text, and so is what stands among them: every block of an article or main element
+that holds a chosen block (of nested ones the outermost), and every block of the lowest element that holds the chosen
+blocks outside these. So a short paragraph or a heading between long ones is not lost.
 Elements that HTML or their class, id or role name as menus, headers, footers, sidebars, notices, adverts, forms or
-comments never take part; an explicit article or main element counts for more than an anonymous one.
+comments never take part; the scores of an explicit article or main element do not reach over its border.
 
 Scale: one scan, no shuffle, Arrow batches of bounded size; work is linear in the page. Defined cases: null or empty html
 gives empty text; markup without text gives empty text; text outside any element is a node of the body; unclosed
@@ -197,7 +198,8 @@ def blocks(html: str) -> list[tuple[Node, str, str, bool]]:
 
 
 def path_scores(found: list[tuple[Node, str, str, bool]], sigma: float = SIGMA) -> dict[str, float]:
-    """Per tag path the mean of its nodes' fused length and punctuation ratio, smoothed over page order."""
+    """Per tag path the mean of its nodes' fused length and punctuation ratio, smoothed over page order. On pages that
+    name an article or main element its border is not smoothed over."""
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     count: dict[str, int] = {}
@@ -210,9 +212,12 @@ def path_scores(found: list[tuple[Node, str, str, bool]], sigma: float = SIGMA)
     reach = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     total: dict[str, float] = {}
+    mixed = len({f[0].article for f in found}) > 1
     for i, (_, path, _, _) in enumerate(found):
         lo, hi = max(0, i - reach), min(len(raw), i + reach + 1)
         weights = kernel[lo - i + reach : hi - i + reach]
+        if mixed:
+            weights = [w * (found[j][0].article == found[i][0].article) for w, j in zip(weights, range(lo, hi))]
         total[path] = total.get(path, 0.0) + sum(w * x for w, x in zip(weights, raw[lo:hi])) / sum(weights)
     return {p: total[p] / count[p] for p in count}
 
@@ -228,31 +233,15 @@ def extract(html: str | None, threshold: float = THRESHOLD) -> str:
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     content = {p for p, v in scores.items() if v >= threshold * spread}
-    # weight of the chosen blocks below each element
-    weight: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
-    total = 0
-    for node, path, text, _ in found:
-        if path not in content:
-            continue
-        w = len(text)
-        total += w
-        up = node
-        while up:
-            weight[id(up)] = weight.get(id(up), 0) + w
-            nodes[id(up)] = up
-            up = up.parent
-    named = [k for k, x in nodes.items() if x.tag in ("article", "main")]
-    if named:
-        # articles hold the text; of nested ones the outermost article counts, and all articles of a page
-        tops = {k for k in named if not (nodes[k].tag == "main" and any(nodes[j].tag == "article" and _under(nodes[j], nodes[k]) for j in named))}
-        inside = [f for f in found if any(id(a) in tops for a in _ancestors(f[0]))]
-    else:
-        inner = max((x for k, x in nodes.items() if weight[k] == total), key=lambda x: x.depth)
-        while inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "tr", "tbody", "ul", "ol", "blockquote") and inner.parent:
-            inner = inner.parent
-        # without a named article, link lists of other paths are menus
-        inside = [f for f in found if any(a is inner for a in _ancestors(f[0])) and not (f[3] and f[1] not in content)]
+    chosen = [f[0] for f in found if f[1] in content]
+    # around chosen blocks of a named article the outermost one is text; the other chosen blocks have an element of their own
+    tops = {id(_outermost(x)) for x in chosen if x.article}
+    rest = [x for x in chosen if not x.article]
+    inner = _cover(rest) if rest else None
+    while inner and inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "tr", "tbody", "ul", "ol", "blockquote") and inner.parent:
+        inner = inner.parent
+    # outside such an article, link lists of other paths are menus
+    inside = [f for f in found if (f[0].article and id(_outermost(f[0])) in tops) or (inner and any(a is inner for a in _ancestors(f[0])) and not (f[3] and f[1] not in content))]
     return "\n\n".join(t for _, _, t, _ in inside)
 
 
@@ -262,8 +251,23 @@ def _ancestors(node: Node):
         node = node.parent
 
 
-def _under(node: Node, top: Node) -> bool:
-    return any(a is top for a in _ancestors(node.parent)) if node.parent else False
+def _outermost(node: Node) -> Node:
+    """The outermost article or main element around a node of an article."""
+    while node.parent and node.parent.article:
+        node = node.parent
+    return node
+
+
+def _cover(nodes: list[Node]) -> Node:
+    """The lowest element that holds all nodes."""
+    top = nodes[0]
+    for x in nodes[1:]:
+        while x is not top:
+            if x.depth >= top.depth:
+                x = x.parent
+            else:
+                top = top.parent
+    return top
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

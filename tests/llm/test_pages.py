@@ -43,6 +43,15 @@ def test_uneven_parts_are_all_kept(page):
     assert [x for x in got if x not in ("One", "Two")] == want and ("One" in got) == ("Two" in got) == ("<h2>" in page)
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<main><h1>Head</h1><p>{LONG}</p><p>{REST}</p><article>A teaser.</article></main>", ["Head", LONG, REST, "A teaser."]),
+    (f"<article><p>{LONG}</p></article><div><h2>More</h2><p>{LONG}</p><p>{REST}</p></div>", [LONG, "More", LONG, REST]),
+    (f"<div>Site</div><article><p>{LONG}</p><p>Short.</p><p>{REST}</p></article><div>2024 Someone</div>", [LONG, "Short.", REST]),
+])
+def test_scores_choose_beside_named_articles(page, want):
+    assert html.extract(page).split("\n\n") == [" ".join(x.split()) for x in want]
+
+
 def test_hostile_markup_is_linear():
     import time
 
