@@ -9,7 +9,7 @@ header or the end follows where its length says, so sync words inside junk or pa
 after damage, checks each protected frame's CRC-16, reads the Xing table, and returns exact duration (samples over rate)
 and the byte offset of every frame.
 
-The query's feature string holds frames, duration in samples and microseconds, bad checksums, resynchronisations, the
+The query's feature string, derived from the columns of `described`, holds frames, duration in samples and microseconds, bad checksums, resynchronisations, the
 table's frame and byte counts and a digest of the seek offsets.
 
 Scale: one scan, no shuffle; Python works on Arrow batches of at most BATCH_BYTES (a longer text is a batch of its own),
@@ -25,7 +25,8 @@ import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strider.llm.common import bounded_batches, table
 
@@ -214,9 +215,11 @@ def parse(data: bytes) -> Stream:
     return out
 
 
-def features(s: Stream) -> str:
-    seek = hashlib.md5(struct.pack(f">{len(s.offsets)}Q", *s.offsets)).hexdigest()
-    return f"frames={len(s.offsets)};samples={s.samples};us={s.duration_us};bad_crc={s.bad_crc};resyncs={s.resyncs};vbr_frames={s.table.get('frames', 0)};vbr_bytes={s.table.get('bytes', 0)};seek={seek}"
+def features() -> Column:
+    """The feature string, from the columns of `described`."""
+    offsets = F.array_join(F.transform("offsets", lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    named = [("frames", F.col("n_frames")), ("samples", F.col("samples")), ("us", F.col("duration_us")), *((c, F.col(c)) for c in ("bad_crc", "resyncs", "vbr_frames", "vbr_bytes")), ("seek", F.md5(F.unhex(offsets)))]
+    return F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in named])
 
 
 def padded(raw: bytes) -> bytes:
@@ -224,7 +227,8 @@ def padded(raw: bytes) -> bytes:
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, n_frames long"
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, duration_us long, n_frames long, samples long, rate long, offsets array<long>, bad_crc long, resyncs long, vbr_frames long, vbr_bytes long"
+_DESCRIBED = pa.schema([(n, {"string": pa.string(), "array<long>": pa.list_(pa.int64())}.get(t, pa.int64())) for n, t in (x.split(" ") for x in DESCRIBED.split(", "))])
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -242,7 +246,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Reads stored streams: payload digests, exact duration, features."""
+    """Reads stored streams: payload digests, exact duration (samples over rate), the byte offset of every frame, bad
+    checksums, resynchronisations and the counts of the table."""
     bounded_batches(media.sparkSession)
 
     def run(batches):
@@ -251,15 +256,16 @@ def described(media: DataFrame) -> DataFrame:
             for doc_id, n, data in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data = data.as_py() or b""
                 s = parse(data)
-                rows.append((doc_id.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(s), s.duration_us, len(s.offsets)))
+                rows.append((doc_id.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), s.duration_us, len(s.offsets), s.samples, s.rate, s.offsets, s.bad_crc, s.resyncs, s.table.get("frames", 0), s.table.get("bytes", 0)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (3, 6, 7) else pa.int64()) for k, c in enumerate(zip(*rows))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us", "n_frames"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _DESCRIBED.types)], schema=_DESCRIBED)
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(run, DESCRIBED)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(stored(table(spark, sf_dir, "documents")))
+    read = described(stored(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", features().alias("feature"), "duration_us", "n_frames")
 
 
 QUERIES = {"op5_media": op5_media}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -79,3 +80,16 @@ def test_media_table(spark):
     assert [(r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in got] == [(1, 0, 64), (2, 0, 64), (3, 80_000, 80_000), (3, 80_000, 80_000)]
     assert got[2] == got[3] and got[0][3:] == got[1][3:]
     assert media.described(media.stored(df.limit(0))).count() == 0
+
+
+def test_seek_offsets_and_exact_duration_are_returned(spark):
+    both = media.stored(spark.createDataFrame([(1, None), (2, "é" * 40_000)], "doc_id long, text string"))
+    streams = {r["doc_id"]: bytes(r["media"]) for r in both.collect()}
+    described = media.described(both.unionByName(spark.createDataFrame([(3, 0, b"")], both.schema)))
+    got = {r["doc_id"]: r for r in described.withColumn("feature", media.features()).collect()}
+    for i, data in [*streams.items(), (3, b"")]:
+        s = media.parse(data)
+        assert (got[i]["offsets"], got[i]["samples"], got[i]["rate"]) == (s.offsets, s.samples, s.rate)
+        seek = hashlib.md5(b"".join(x.to_bytes(8, "big") for x in s.offsets)).hexdigest()
+        assert got[i]["feature"] == f"frames={len(s.offsets)};samples={s.samples};us={s.duration_us};bad_crc=0;resyncs=0;vbr_frames={s.table.get('frames', 0)};vbr_bytes={s.table.get('bytes', 0)};seek={seek}"
+    assert len(got[2]["offsets"]) > 5 and all(streams[2][x : x + 2] == b"\xff\xfa" for x in got[2]["offsets"])
