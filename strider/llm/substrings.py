@@ -399,15 +399,15 @@ def _each(batch: pa.RecordBatch, text: int, spans: int, copies: int):
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs (start, end) of every row."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
         for batch in batches:
-            rows = [(len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest()) for data, runs, kept in _each(batch, 1, 2, 3)]
+            rows = [(len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in runs]) for data, runs, kept in _each(batch, 1, 2, 3)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
-    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans", "__copies").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans", "__copies").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start: long, end: long>>")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -432,7 +432,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal(table(spark, sf_dir, "documents"))
+    return removal(table(spark, sf_dir, "documents")).drop("runs")
 
 
 ORACLE_SQL = r"""

@@ -7,11 +7,13 @@ Files hold at most FILE_RECORDS records, so a file is bounded whatever the table
 
 `restore` parses the files by Content-Length, passes whole records on, groups segments by origin id, orders them by
 segment number, verifies that none is missing and that the total length is right, decodes the chunked framing, and
-returns payloads with their digests.
+returns the payloads' lengths and digests; `payloads` returns the payloads as well. Both look up the response that a
+revisit refers to: length and payload are the response's, and a revisit whose digest is not its response's has a problem.
 
 Scale: payload digests are grouped with partial aggregation (a payload that a third of all pages share is one group of
 ids, never of payloads); html is shuffled once, by page id, to meet its record type, and is written through Spark's
 writer to the shared folder, compressed. Only records that were split are shuffled on reading, and a group is one page.
+What was read is written once and joined with itself by record id; `restore` writes no payloads.
 
 Defined cases: null html is an empty payload; null or empty url gives no target uri; rows equal in page id and payload
 are records of their own, numbered; of equal payloads the largest page id is the response (each of its rows, if it has
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import bounded_batches, table
-from strider.storage import shared_dir
+from strider.storage import shared_dir, written
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT = 16_384, 4_096, 512, 0
 DATE = "2024-01-01T00:00:00Z"
@@ -147,10 +149,10 @@ def parse(data: bytes):
         at = end + 4 + n + len(RECORD_END)
 
 
-SEGMENTS = "origin string, number int, total long, page_id long, record_type string, refers_to long, payload_digest string, payload_length long, block binary"
-_SEG = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("block", pa.binary())])
-RESTORED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
-_RESTORED = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string())])
+SEGMENTS = "origin string, number int, total long, page_id long, record_type string, refers_to long, payload_digest string, payload_length long, block binary, refers_id string"
+_SEG = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("block", pa.binary()), ("refers_id", pa.string())])
+RESTORED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, payload binary, record string, refers_id string"
+_RESTORED = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string()), ("payload", pa.binary()), ("record", pa.string()), ("refers_id", pa.string())])
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +165,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for f, block in parse(zlib.decompress(content.as_py(), 47)):
                     long = lambda k: int(f[k]) if f.get(k) else None
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), long("warc-segment-number") or 0, long("warc-segment-total-length"), long("x-page-id"), f["warc-type"], long("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:"), long("x-payload-length"), block))
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), long("warc-segment-number") or 0, long("warc-segment-total-length"), long("x-page-id"), f["warc-type"], long("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:"), long("x-payload-length"), block, f.get("warc-refers-to")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEG.types)], schema=_SEG)
 
@@ -171,9 +173,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole(parts: list[tuple]) -> tuple:
-    """The result row of one record from its segments (rows of SEGMENTS)."""
+    """The result row of one record from its segments (rows of SEGMENTS), up to the payload."""
     parts = sorted(parts, key=lambda p: p[1])
-    first, block, problem = parts[0], b"".join(p[8] for p in parts), None
+    first, block, problem, payload = parts[0], b"".join(p[8] for p in parts), None, None
     if len(parts) > 1 or first[1]:
         if [p[1] for p in parts] != list(range(1, len(parts) + 1)):
             problem = "missing segment"
@@ -189,27 +191,51 @@ def whole(parts: list[tuple]) -> tuple:
                 problem = "wrong digest"
         except ValueError:
             problem = "broken framing"
-    return first[3], n, digest, first[4], first[5], problem
+    return first[3], n, digest, first[4], first[5], problem, payload
 
 
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and what is wrong with the record, if anything."""
+def _records(spark: SparkSession, path: str, keep: bool) -> DataFrame:
+    """Every record by itself (RESTORED); payloads are null unless kept."""
     found = segments(spark, path)
     bounded_batches(spark)
 
+    def row(parts: list[tuple]) -> tuple:
+        *out, payload = whole(parts)
+        return (*out, payload if keep else None, parts[0][0], next((p[9] for p in parts if p[9]), None))
+
     def single(batches):
         for batch in batches:
-            rows = [whole([r]) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [row([r]) for r in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RESTORED.types)], schema=_RESTORED)
 
     def group(t: pa.Table) -> pa.Table:
-        rows = [whole(list(zip(*(c.to_pylist() for c in t.columns))))]
+        rows = [row(list(zip(*(c.to_pylist() for c in t.columns))))]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _RESTORED.types)], schema=_RESTORED)
 
     return found.where("number = 0").mapInArrow(single, RESTORED).unionByName(found.where("number > 0").groupBy("origin").applyInArrow(group, RESTORED))
 
 
+def _resolved(spark: SparkSession, path: str, keep: bool) -> DataFrame:
+    read = written(_records(spark, path, keep), f"{shared_dir(spark)}/records")
+    own, again = read.where("record_type <> 'revisit'"), read.where("record_type = 'revisit'")
+    response = own.where("record_type = 'response'").dropDuplicates(["record"]).select(F.col("record").alias("refers_id"), F.struct("payload_digest", "payload_bytes", "problem", "payload").alias("_r"))
+    wrong = F.when(F.col("_r").isNull(), "missing response").when(F.col("_r.problem").isNotNull(), "broken response").when(F.col("_r.payload_digest") != F.col("payload_digest"), "wrong digest")
+    got = lambda c, other: F.when(wrong.isNull(), F.col(f"_r.{c}")).otherwise(other).alias(c)
+    again = again.join(response, "refers_id", "left").select("page_id", got("payload_bytes", F.col("payload_bytes")), "payload_digest", "record_type", "refers_to", F.coalesce("problem", wrong).alias("problem"), got("payload", F.lit(None)))
+    return own.select(again.columns).unionByName(again)
+
+
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of `restore` and the payload; null where none could be read."""
+    return _resolved(spark, path, True)
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and what is wrong with the record, if anything."""
+    return _resolved(spark, path, False).drop("payload")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc"
     archive(table(spark, sf_dir, "pages"), path)

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import os
 import re
@@ -119,6 +120,25 @@ def test_broken_records_are_named():
     assert warc.whole([(*parts[0][:8], parts[0][8].replace(b"text ", b"tExt ", 1)), *parts[1:]])[5] == "wrong digest"
 
 
+@pytest.mark.parametrize("segment", [16_384, 60])
+def test_payloads_are_given_back(spark, tmp_path, monkeypatch, segment):
+    monkeypatch.setattr(warc.records, "__defaults__", (segment,))
+    rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", "é\r\n\r\nWARC/1.1\r\n" * 2000), (4, "", None), (5, "u", ""), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 2000)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = {r["page_id"]: (bytes(r["payload"]), r["record_type"], r["problem"]) for r in warc.payloads(spark, f"{tmp_path}/w").collect()}
+    assert got == {i: ((h or "").encode(), "revisit" if i in (1, 3, 4) else "response", None) for i, _, h in rows}
+
+
+def test_revisits_are_checked_against_their_response(spark, tmp_path):
+    wrong = warc.records(5, "u", "broken", "s5", 1, None)[0].replace("broken", "brOken")
+    found = [*warc.records(1, "u", "text", "s", 1, None), *warc.records(2, "u", "text", "s", 1, 1), *warc.records(3, "u", "other", "s", 1, 1), *warc.records(4, "u", "text", "s", 1, 99), wrong, *warc.records(6, "u", "broken", "s5", 1, 5)]
+    found.append(found[1].replace("X-Page-Id: 2", "X-Page-Id: 7").replace("X-Payload-Length: 4", "X-Payload-Length: 400"))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.gz").write_bytes(gzip.compress("".join(r + warc.RECORD_END for r in found).encode()))
+    got = {r["page_id"]: (r["payload_bytes"], r["problem"]) for r in warc.restore(spark, f"{tmp_path}/w").collect()}
+    assert got == {1: (4, None), 2: (4, None), 3: (5, "wrong digest"), 4: (4, "missing response"), 5: (6, "wrong digest"), 6: (6, "broken response"), 7: (4, None)}
+
+
 def test_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.archive(df, f"{tmp_path}/w")

@@ -53,6 +53,13 @@ def test_repeated_ids_and_empty(spark, documents):
     assert sorted(r["n_removed"] for r in substrings.removal(df).collect()) == [0, 0]
 
 
+def test_runs_are_returned(documents):
+    p, q = "passage " * 10, "another " * 12
+    rows = [(1, p), (2, "x" + p + "y"), (3, q), (4, q), (5, None)]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in substrings.removal(documents(rows)).collect()}
+    assert got == {1: [], 2: [(1, 81)], 3: [], 4: [(0, 96)], 5: []}
+
+
 def test_texts_without_repeats(documents):
     p = "é" * 40
     rows = [(1, p), (2, "x" + p + "yé"), (3, None)]
