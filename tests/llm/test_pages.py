@@ -53,6 +53,48 @@ def test_scores_choose_beside_named_articles(page, want):
     assert html.extract(page).split("\n\n") == [" ".join(x.split()) for x in want]
 
 
+PROSE = "It was, as she said, a long day; nobody had asked why. The boats came in late, heavy with fish, and the market stayed open. "
+
+
+@pytest.mark.parametrize("page,want", [
+    # parts of an article whose names also name boilerplate
+    (f"<article><p>{PROSE * 3}</p><section id='discussion'><h2>Discussion</h2><p>{PROSE * 2}</p></section></article>", [PROSE * 3, "Discussion", PROSE * 2]),
+    (f"<article><p>{PROSE * 3}</p><div class='legal-analysis'><p>{PROSE}</p></div><p>{PROSE}</p></article>", [PROSE * 3, PROSE, PROSE]),
+    (f"<article><p>{PROSE * 3}</p><section id='related-work'><p>{PROSE}</p></section><div class='notice'>{PROSE}</div></article>", [PROSE * 3, PROSE, PROSE]),
+    # no telling names at all
+    (f"<div>Site</div><div><a href=1>One</a> <a href=2>Two</a></div><div><h2>Head</h2><p>{PROSE * 2}</p><p>Short.</p><p>{PROSE * 3}</p><ul><li>one<li>two<li>three</ul></div><div>2024 Someone</div>", ["Head", PROSE * 2, "Short.", PROSE * 3, "one", "two", "three"]),
+    (f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td><p>{PROSE * 2}</p><p>{PROSE}</p></td></tr></table>", [PROSE * 2, PROSE]),
+    # menus and comments inside articles, however deep
+    (f"<article><p>{PROSE * 2}</p>{'<div>' * 600}<nav><p>Some, other; text.</p></nav>{'</div>' * 600}<p>{PROSE}</p></article>", [PROSE * 2, PROSE]),
+    (f"<article><p>{PROSE * 2}</p><div class='comments'>{'<div>' * 600}<p>{PROSE}</p></div></article>", [PROSE * 2]),
+    (f"<article><p>{PROSE}</p></article><form><p>{PROSE * 3}</p></form><footer><p>{PROSE * 9}</p></footer>", [PROSE]),
+    (f"<form id=aspnet><div><p>{PROSE}</p><p>{PROSE}</p></div></form>", [PROSE, PROSE]),
+    ("<nav><a href=1>One</a></nav><article></article><footer>(c) Someone, 2024</footer>", []),
+])
+def test_scores_and_names(page, want):
+    assert html.extract(page).split("\n\n") == ([" ".join(x.split()) for x in want] or [""])
+
+
+def flat(found, sigma=1.0):
+    return {b.node.path: 1.0 for b in found}
+
+
+def test_scores_decide(monkeypatch):
+    pages = [f"<div>Site</div><div><a href=1>One</a></div><div><p>{PROSE * 2}</p><p>{PROSE}</p></div><div>2024 Someone</div>", f"<nav><a href='/'>Home</a></nav><article>{ARTICLE}</article>"]
+    before = [html.extract(p) for p in pages]
+    monkeypatch.setattr(html, "path_scores", flat)
+    assert all(html.extract(p) != b for p, b in zip(pages, before))
+
+
+def test_path_scores_against_plain_sums():
+    """Fused ratios of a page, computed from its text alone."""
+    found = html.blocks("<div><p>Ab, cd. Ef</p><p>Gh!</p></div><ul><li><a href=1>Link</a> ij</li></ul>")
+    fused, plain = html.ratios(found)
+    p, li = found[0].node.path, found[2].node.path
+    assert fused[p] == pytest.approx(((10 + 3) / 2 * (1 + 3 / 2)) ** 0.5 * (13 / 16) ** 0.5) and plain[p] == 1
+    assert fused[li] == pytest.approx(3**0.5 * (3 / 16) ** 0.5) and plain[li] == pytest.approx(3 / 7)
+
+
 def test_hostile_markup_is_linear():
     import time
 
@@ -69,16 +111,20 @@ def test_extracted_table(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_generated_pages(spark):
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("change", [lambda h: h, lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")])
+def test_generated_pages(spark, monkeypatch, change):
+    """Against the text between the generator's article tags, with and without these; and never without scores."""
     import html as entities
 
     def want(h):
         h = re.sub(r"</?(?:h1|p)>", "\0", h[h.index("<article>") + 9 : h.index("</article>")])
         return "\n\n".join(x for x in (" ".join(entities.unescape(b).split()) for b in re.sub(r"<[^>]*>", " ", h).split("\0")) if x)
 
-    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
-    assert all(html.extract(r["html"]) == want(r["html"]) for r in rows)
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert [html.extract(change(h)) for h in rows] == [want(h) for h in rows]
+    monkeypatch.setattr(html, "path_scores", flat)
+    assert not any(html.extract(change(h)) == want(h) for h in rows)
 
 
 # ---- WARC
