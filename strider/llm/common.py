@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores after those that a column has already."""
+    used, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Holds Arrow batches to BATCH_ROWS and BATCH_BYTES for plans made from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -6,16 +6,18 @@ pass; a text scores the product over its words. The probabilities are learned by
 expected piece counts come from the same forward pass and its backward twin.
 
 Learning uses a bounded sample: SAMPLE_DOCS texts of each language (smallest hash of doc_id among the labelled rows of
-the training folds) and of those the SAMPLE_WORDS most frequent words; the model is a vocabulary by languages matrix,
-the only thing broadcast. Prediction reads whole texts.
+the training folds) and all their words; a column with more than MAX_LANGS labels is refused. The model is a vocabulary
+by languages matrix, the only thing broadcast. Prediction reads whole texts and sums over whole words, however long:
+scripts without spaces have sentences for words.
 
 Scale: the sample is chosen on ids alone (a limited ranking per language, pruned before its shuffle); prediction is one
-scan without shuffle. A task scores each distinct word once and keeps at most CACHE_WORDS of them; memory follows the Arrow batch, not
-the partition. A word over RUN letters is scored in runs of that many.
+scan without shuffle. A task scores each distinct word once and keeps at most CACHE_WORDS of them; memory follows the
+Arrow batch, not the partition, and of a word only the positions that a piece reaches back to are held.
 
 Defined cases: null texts and texts without a letter give `und` with score 0, as does everything when nothing is
 labelled; equal scores go to the language that sorts first; repeated rows are predicted alike; empty tables give empty
-results; further columns are ignored. lang, source and doc_id are no inputs of a prediction.
+results; further columns are passed on, and the three that `predict` adds can be named so that none clashes. lang, source
+and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -29,16 +31,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strider.llm.common import bounded_batches, mix64, table
+from strider.llm.common import bounded_batches, mix64, quoted, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 60_000
+SAMPLE_DOCS = 400
+#: Languages whose samples and columns of the model are held; a label column with more is not one of languages.
+MAX_LANGS = 500
 #: Added to twice the sample: fewer candidates than the sample itself remain with negligible probability.
 SPARE = 200
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
-RUN, CACHE_WORDS = 48, 200_000
+CACHE_WORDS = 200_000
+#: Positions between rescalings; words from LONG on are scored in blocks of SPAN; positions of words at a time.
+STEP, LONG, SPAN, BATCH_CELLS = 24, 256, 64, 400_000
 MARK, UND = "▁", "und"
-#: Probabilities are scaled by this per character, which keeps products of a whole run in range.
+#: Probabilities are scaled by this per character, which keeps products between rescalings in range.
 SCALE = 16.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -46,8 +52,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
     """The lower-case letter pieces of a sentencepiece vocabulary, with or without the word mark."""
+    import os
+
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: pass the path of a sentencepiece model as vocabulary_path")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
     return sorted({p for p in pieces if (w := p.removeprefix(MARK)).isalpha() and w == w.lower() or p == MARK})
@@ -58,20 +68,6 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64), lengths
 
 
-def _runs(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Marked words, long ones cut into runs; for each run the index of its word."""
-    out, owner = [], []
-    for i, w in enumerate(words):
-        if len(w) <= RUN:
-            out.append(MARK + w)
-            owner.append(i)
-        else:
-            for at in range(0, len(w), RUN):
-                out.append((MARK if not at else "") + w[at : at + RUN])
-                owner.append(i)
-    return out, np.array(owner, np.int64)
-
-
 class Lattice:
     """The pieces that occur in words: ids[k-1][i] is the piece of k characters that starts at character i, or -1."""
 
@@ -100,49 +96,74 @@ class Lattice:
         # words are ordered by falling length: those with at least p characters are a prefix
         self.active = np.searchsorted(-self.lengths, -np.arange(int(self.lengths.max(initial=0)) + 2), "right")
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """alpha[word, p]: scaled probability of all segmentations of the first p characters, for each column of
-        prob (pieces + 2 rows: the last two are no piece and an unknown character)."""
-        longest_word, v = int(self.lengths.max(initial=0)), len(prob) - 2
-        alpha = np.zeros((longest_word + 1, len(self.words), prob.shape[1]))
-        alpha[0] = 1.0
-        for p in range(1, longest_word + 1):
+    def final(self, prob: np.ndarray) -> np.ndarray:
+        """Log of the scaled probability of all segmentations of every word, for each column of prob (pieces + 2 rows:
+        the last two are no piece and an unknown character). Only the last positions that a piece reaches are held."""
+        n, n_langs, v, k_max = len(self.words), prob.shape[1], len(prob) - 2, len(self.ids)
+        ring, logs, out = np.zeros((k_max + 1, n, n_langs)), np.zeros((n, n_langs)), np.zeros((n, n_langs))
+        ring[0] = 1.0
+        for p in range(1, len(self.active) - 1):
             m = self.active[p]
-            acc = alpha[p, :m]
-            for k in range(1, min(p, len(self.ids)) + 1):
+            acc = np.zeros((m, n_langs))
+            for k in range(1, min(p, k_max) + 1):
                 ids = self.ids[k - 1][self.starts[:m] + p - k]
                 hit = np.flatnonzero(ids >= 0)
                 if len(hit):
-                    acc[hit] += alpha[p - k, hit] * prob[ids[hit]]
+                    acc[hit] += ring[(p - k) % (k_max + 1), hit] * prob[ids[hit]]
                 if k == 1:
                     miss = np.flatnonzero(ids < 0)
-                    acc[miss] += alpha[p - 1, miss] * prob[v + 1]
-        return alpha
-
-    def final(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[self.lengths, np.arange(len(self.words))]
+                    acc[miss] += ring[(p - 1) % (k_max + 1), miss] * prob[v + 1]
+            ring[p % (k_max + 1), :m] = acc
+            ends = slice(self.active[p + 1], m)
+            out[ends] = np.log(np.maximum(acc[ends], 1e-300)) + logs[ends]
+            if p % STEP == 0:
+                top = np.maximum(ring[:, :m].max(0), 1e-300)
+                ring[:, :m] /= top
+                logs[:m] += np.log(top)
+        return out
 
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece, for one language: prob is a column, counts are per word in this order."""
-        alpha = self.forward(prob)[:, :, 0]
-        longest_word, v = alpha.shape[0] - 1, len(prob) - 2
-        total = alpha[self.lengths, np.arange(len(self.words))]
-        beta = np.zeros_like(alpha)
-        beta[self.lengths, np.arange(len(self.words))] = 1.0
-        uses = np.zeros(v)
-        weight = counts / np.maximum(total, 1e-300)
-        for p in range(longest_word, 0, -1):
-            m = self.active[p]
-            for k in range(1, min(p, len(self.ids)) + 1):
-                ids = self.ids[k - 1][self.starts[:m] + p - k]
+        """Expected uses of every piece, for one language: prob is a column, counts are per word in this order.
+
+        Positions are rescaled in blocks of `step`; sa and sb are the logs of what was taken out."""
+        n, v, k_max, longest_word = len(self.words), len(prob) - 2, len(self.ids), len(self.active) - 2
+        step = max(STEP, k_max)
+        alpha, beta = np.zeros((longest_word + 1, n)), np.zeros((longest_word + 1, n))
+        sa, sb = (np.zeros((longest_word // step + 2, n)) for _ in range(2))
+        column, unknown = prob[:, 0], prob[v + 1, 0]
+
+        def piece(p: int, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+            """Ids and probabilities of the pieces of k characters that end at p; 0 where there is none."""
+            ids = self.ids[k - 1][self.starts[:m] + p - k]
+            return ids, np.where(ids >= 0, column[ids], unknown if k == 1 else 0.0)
+
+        alpha[0] = 1.0
+        for p in range(1, longest_word + 1):
+            m, b = self.active[p], p // step
+            if p % step == 0:
+                sa[b, :m] = sa[b - 1, :m] + np.log(np.maximum(alpha[max(0, p - k_max) : p, :m].max(0), 1e-300))
+            for k in range(1, min(p, k_max) + 1):
+                flow = alpha[p - k, :m] * piece(p, k, m)[1]
+                alpha[p, :m] += flow if (p - k) // step == b else flow * np.exp(sa[b - 1, :m] - sa[b, :m])
+        ends = np.arange(n)
+        total = np.log(np.maximum(alpha[self.lengths, ends], 1e-300)) + sa[self.lengths // step, ends]
+        beta[self.lengths, ends] = 1.0
+        uses, plain = np.zeros(v), counts * np.exp(-total) if longest_word < step else None
+        for p in range(longest_word - 1, -1, -1):
+            b = p // step
+            if (p + 1) % step == 0:
+                m = self.active[p + 1]
+                sb[b, :m] = sb[b + 1, :m] + np.log(np.maximum(beta[p + 1 : p + 1 + k_max, :m].max(0), 1e-300))
+            for k in range(1, min(longest_word - p, k_max) + 1):
+                m = self.active[p + k]
+                if not m:
+                    break
+                ids, q = piece(p + k, k, m)
+                flow, above = beta[p + k, :m] * q, (p + k) // step
+                weight = counts[:m] * np.exp(sa[b, :m] + sb[above, :m] - total[:m]) if plain is None else plain[:m]
                 hit = np.flatnonzero(ids >= 0)
-                if len(hit):
-                    flow = beta[p, hit] * prob[ids[hit], 0]
-                    uses += np.bincount(ids[hit], alpha[p - k, hit] * flow * weight[hit], minlength=v)
-                    beta[p - k, hit] += flow
-                if k == 1:
-                    miss = np.flatnonzero(ids < 0)
-                    beta[p - 1, miss] += beta[p, miss] * prob[v + 1, 0]
+                uses += np.bincount(ids[hit], (alpha[p, :m] * flow * weight)[hit], minlength=v)
+                beta[p, :m] += flow if above == b else flow * np.exp(sb[above, :m] - sb[b, :m])
         return uses
 
 
@@ -166,15 +187,71 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural log of the marginal probability of every word in every language."""
         out = np.zeros((len(words), len(self.langs)))
-        if not words:
-            return out
-        runs, owner = _runs(words)
-        for at in range(0, len(runs), 10_000):
-            lat = Lattice(runs[at : at + 10_000], self.hashes, self.longest)
-            scores = np.log(np.maximum(lat.final(lat.forward(self.prob)), 1e-300)) - lat.lengths[:, None] * np.log(SCALE)
-            np.add.at(out, owner[at : at + 10_000][lat.order], scores)
+        short = sorted((i for i, w in enumerate(words) if len(w) < LONG), key=lambda i: -len(words[i]))
+        for part in batches([len(words[i]) + 1 for i in short], BATCH_CELLS):
+            lat = Lattice([MARK + words[i] for i in short[part]], self.hashes, self.longest)
+            out[np.array(short[part])[lat.order]] = lat.final(self.prob) - lat.lengths[:, None] * np.log(SCALE)
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self.long_score(MARK + w)
         return out
 
+    def long_score(self, word: str) -> np.ndarray:
+        """The same for a word of any length. Where a segmentation stands in it is known from the last `longest`
+        positions, so a block of SPAN characters is a matrix from the positions before it to those at its end. The
+        matrices of many blocks are computed at once and multiplied in order."""
+        k_max, n_langs = max(1, self.longest), len(self.langs)
+        blocks = max(1, BATCH_CELLS * 4 // ((k_max + 1) * k_max * n_langs))
+        state, logs = np.zeros((k_max, n_langs)), np.zeros(n_langs)  # state[s]: at the character s before
+        state[0] = 1.0
+        at = 0
+        while at < len(word):
+            span = min(SPAN, len(word) - at)
+            n = min(blocks, (len(word) - at) // span)
+            before = min(at, k_max - 1)
+            lat = Lattice([word[at - before : at + n * span]], self.hashes, self.longest)
+            steps, scales = self._transfer(lat.ids, before + span * np.arange(n), span)
+            for step, scale in zip(steps, scales):
+                state = np.einsum("sl,stl->tl", state, step)
+                top = np.maximum(state.max(0), 1e-300)
+                state, logs = state / top, logs + scale + np.log(top)
+            at += n * span
+        return np.log(np.maximum(state[0], 1e-300)) + logs - len(word) * np.log(SCALE)
+
+    def _transfer(self, ids: list[np.ndarray], first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every block that starts at `first`: what a unit at each position before it (s characters back) becomes at
+        each of the positions t characters before its end; and the logs of what was taken out."""
+        k_max, n, n_langs, v = max(1, self.longest), len(first), len(self.langs), len(self.prob) - 2
+        size = k_max + 1
+        ring, logs = np.zeros((size, n, k_max, n_langs)), np.zeros((n, n_langs))
+        for s in range(k_max):
+            ring[-s % size, :, s] = 1.0
+        for p in range(1, span + 1):
+            acc = np.zeros((n, k_max, n_langs))
+            for k in range(1, k_max + 1):
+                start = first + p - k
+                found = np.where(start >= 0, ids[k - 1][np.maximum(start, 0)], -1) if ids else np.full(n, -1)
+                hit = np.flatnonzero(found >= 0)
+                acc[hit] += ring[(p - k) % size, hit] * self.prob[found[hit]][:, None, :]
+                if k == 1:
+                    miss = np.flatnonzero(found < 0)
+                    acc[miss] += ring[(p - 1) % size, miss] * self.prob[v + 1]
+            ring[p % size] = acc
+            if p % STEP == 0 or p == span:
+                top = np.maximum(ring.max((0, 2)), 1e-300)
+                ring /= top[None, :, None, :]
+                logs += np.log(top)
+        return np.stack([ring[(span - t) % size] for t in range(k_max)], 2), logs
+
+
+def batches(sizes: list[int], cells: int):
+    """Slices of a falling list of sizes: first size times their number is at most `cells` (one entry at least)."""
+    at = 0
+    while at < len(sizes):
+        n = max(1, cells // max(1, sizes[at]))
+        yield slice(at, at + n)
+        at += n
+
 
 def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> Model:
     """words: per language, counts of words."""
@@ -186,23 +263,25 @@ def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> Model:
     used = np.zeros(len(hashes), bool)
     lattices = {}
     for lang in langs:
-        runs, owner = _runs(list(words[lang]))
-        counts = np.fromiter(words[lang].values(), np.float64, len(words[lang]))[owner]
-        lat = Lattice(runs, hashes, longest)
-        lattices[lang] = lat, counts[lat.order]
-        for ids in lat.ids:
-            used[ids[ids >= 0]] = True
+        known = sorted(words[lang], key=lambda w: (-len(w), w))
+        lattices[lang] = []
+        for part in batches([len(w) + 1 for w in known], BATCH_CELLS):
+            lat = Lattice([MARK + w for w in known[part]], hashes, longest)
+            lattices[lang].append((lat, np.array([words[lang][w] for w in known[part]], np.float64)[lat.order]))
+            for ids in lat.ids:
+                used[ids[ids >= 0]] = True
     kept = np.flatnonzero(used)  # what no training word holds has no evidence for any language
     place = np.full(len(hashes) + 1, -1, np.int32)
     place[kept] = np.arange(len(kept))
     hashes, scale = hashes[kept], SCALE ** lengths[kept]
     prob = np.zeros((len(kept) + 2, len(langs)))
     for j, lang in enumerate(langs):
-        lat, counts = lattices[lang]
-        lat.ids = [place[ids] for ids in lat.ids]
+        for lat, _ in lattices[lang]:
+            lat.ids = [place[ids] for ids in lat.ids]
         p = np.full(len(kept), 1 / max(1, len(kept)))
         for _ in range(ROUNDS):
-            uses = lat.expected(np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))[:, None], counts)
+            column = np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))[:, None]
+            uses = sum((lat.expected(column, counts) for lat, counts in lattices[lang]), np.zeros(len(kept)))
             p = (uses + SMOOTHING) / (uses.sum() + SMOOTHING * len(kept))
         prob[:, j] = np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))
     return Model(langs, hashes, prob, int(lengths[kept].max(initial=1)))
@@ -213,12 +292,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learns from labelled rows outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     # the smallest hashes of each language; those far above the expected cut are left out before they are ranked, so a
     # language of any size sends a few times sample_docs rows to its task
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))  # a row for each language
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))
+    n_all = counts.limit(MAX_LANGS + 1).collect()
+    if len(n_all) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} labels in lang")
+    counts = docs.sparkSession.createDataFrame(n_all, "lang string, _all long")
     rank = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
     near = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").withColumn("_rank", rank).where(F.col("_rank") * F.col("_all") <= 2 * sample_docs + SPARE)
     place = F.row_number().over(W.partitionBy("lang").orderBy("_rank", "doc_id"))
@@ -226,24 +309,25 @@ def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int =
     # at most sample_docs ids for each language
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    top = F.row_number().over(W.partitionBy("lang").orderBy(F.col("count").desc(), "word"))
-    found: dict[str, dict[str, int]] = {}
-    for r in words.withColumn("_n", top).where(F.col("_n") <= sample_words).orderBy("lang", "_n").collect():
-        found.setdefault(r["lang"], {})[r["word"]] = r["count"]
-    return fit(found, vocabulary(vocabulary_path))
+    found: dict[str, dict[str, int]] = {r["lang"]: {} for r in n_all}
+    for r in words.collect():  # of at most sample_docs texts for each language
+        found[r["lang"]][r["word"]] = r["count"]
+    return fit({k: v for k, v in found.items() if v}, vocabulary(vocabulary_path))
 
 
-SCHEMA = "lang_pred string, score double, n_words long"
+ADDED = ("lang_pred", "score", "n_words")
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (posterior of that language) and n_words to documents with a text."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """Adds lang_pred, score (posterior of that language) and n_words, under the given names, to documents with a text;
+    columns that have one of these names already are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.hashes, model.prob, model.longest))
-    fields = [f for f in docs.schema if f.name not in ("lang_pred", "score", "n_words")]
+    taken = {n.lower() for n in names}
+    fields = [f for f in docs.schema if f.name.lower() not in taken]
     at = [f.name for f in fields].index("text")
-    docs = docs.select(*[f"`{f.name}`" for f in fields])
+    docs = docs.select(*[quoted(f.name) for f in fields])
 
     def run(batches):
         model = Model(*shared.value)
@@ -273,9 +357,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 has = n_words > 0
                 pred[has], score[has] = np.array(model.langs, object)[best[has]], posterior[has]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(n_words.astype(np.int64))], [*batch.schema.names, "lang_pred", "score", "n_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(n_words.astype(np.int64))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + SCHEMA)
+    return docs.mapInArrow(run, ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields) + ", `{}` string, `{}` double, `{}` long".format(*names))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
