@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.llm import decontam, langid, mixing, neardup, substrings
-from strider.llm.common import table
+from strider.llm.common import fresh, quoted, table
 from strider.storage import shared_dir, written
 
 #: The least posterior of a document's language.
@@ -23,13 +23,14 @@ MIN_SCORE = 0.5
 
 
 def _columns(df: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in df.columns]
+    return [quoted(c) for c in df.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known with at least MIN_SCORE; the label column is not looked at for that."""
-    scored = langid.predict(docs, langid.train(docs))
-    return scored.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SCORE)).select(*_columns(docs))
+    lang, score, n_words = fresh(docs, *langid.ADDED)
+    scored = langid.predict(docs, langid.train(docs), (lang, score, n_words))
+    return scored.where((F.col(lang) != langid.UND) & (F.col(score) >= MIN_SCORE)).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
