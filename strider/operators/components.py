@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strider.storage import shared_dir, written
+from strider.storage import observed, remove, shared_dir
 
 MAX_ROUNDS = 40
 
@@ -30,15 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minima are aggregated before the shuffle and joined back, so a node with very many neighbours is split like any
     skewed join; every round is written to the shared folder. Ends when a round changes nothing, after O(log n) rounds."""
-    out = shared_dir(edges.sparkSession)
-    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{out}/0")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(30,0)"))).first())
-    before = mark(e)
+    spark, out = edges.sparkSession, shared_dir(edges.sparkSession)
+    mark = {"n": F.count(F.lit(1)), "x": F.sum(F.hash("a", "b").cast("decimal(20,0)")), "y": F.sum(F.xxhash64("b", "a").cast("decimal(30,0)"))}
+    e, before = observed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{out}/0", **mark)
     for i in range(1, MAX_ROUNDS + 1):
-        if not before[0]:
+        if not before["n"]:
             break
-        e = written(_small(_large(e)), f"{out}/{i}")
-        now = mark(e)
+        e, now = observed(_small(_large(e)), f"{out}/{i}", **mark)
+        remove(spark, f"{out}/{i - 1}")
         if now == before:
             break
         before = now

@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+#: Deletes the shuffle files of a finished write, which nothing reads again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a local one where that is unset (tests). It goes when the
-    application ends."""
+    """A fresh folder under spark.checkpoint.dir. It goes when the `scratch` around it ends, or with the application.
+
+    Where the setting is missing, a local session (tests) gets a local folder; on a cluster executors could not see that
+    one, so the call fails."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="strider-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/strider-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     atexit.register(remove, spark, path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that were handed out inside when it ends; what is still needed must be written elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,15 +53,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes a Parquet table and reads it: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's
-    garbage is collected, which in a driver with little work may be long after a large step is over. Python hands over
-    what it dropped once a second, hence the pauses."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark._jvm.System.gc()
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, path: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """`written`, and aggregates of the rows, computed while writing."""
+    seen = Observation()
+    return written(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), path), seen.get
