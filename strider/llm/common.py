@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: Bytes that separate words: space and 0x09-0x0D. Everything else belongs to a word.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,12 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def integer_ids(df: DataFrame, name: str = "doc_id") -> None:
+    """Refuses ids that have no order as numbers."""
+    if not isinstance(df.schema[name].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{name} must be an integer, not {df.schema[name].dataType.simpleString()}")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Holds Arrow batches to BATCH_ROWS and BATCH_BYTES for plans made from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -2,23 +2,28 @@
 
 Strings meet by anchors. The anchor of a string is the smallest hash among its q-grams, so equal strings have equal
 anchors, and consecutive strings of a text mostly share theirs: a run of them is one context, some 65 bytes for 16
-strings. Only contexts whose anchor occurs in more than one document are compared. They are gathered by anchor and their
-suffixes are sorted to depth LENGTH by bucket-pointer refinement: suffixes start in buckets by their first q bytes;
-a bucket is refined by sorting its members on the bucket identifiers that their later offsets have reached, so each
-round reuses the refinements of the rounds before it and doubles the depth; buckets with one member are never touched
-again. Contexts that hold no string whose hash recurs are left out of the sort. A final bucket is one string; its smallest document id keeps it, all others lose it.
+strings. Only contexts whose anchor occurs in more than one text are looked at, and of equal contexts one. Those of an
+anchor are gathered and their suffixes sorted to depth LENGTH by bucket-pointer refinement: suffixes start in buckets by
+their first q bytes; the members of every bucket that still has several are sorted by the pointers of their later
+offsets, which the rounds before have refined, and the pointers are updated in place for the next round. A round follows
+pointers of exactly the depth reached so far (a pointer that is refined beyond LENGTH would tell equal strings apart), so
+depth doubles; buckets with one member are never touched again. Contexts that hold no string whose hash recurs are left
+out of the sort. A final bucket is one string; its smallest document id keeps it, all others lose it.
 
 Equal texts are found first, by digest: of each text only the first document takes part, the others lose all.
 
-Scale: three shuffles: anchors (8-byte hash and text key), contexts of shared anchors, and spans by document; texts are
-shuffled once by doc_id, and that exchange serves both reading contexts and cutting spans. A task merges equal anchors, and equal contexts with their places, of
-up to MERGE entries before they are shuffled, so a passage that a third of all documents share arrives as one row for
-each MERGE entries and not for each document. Groups by anchor are streamed in sorted order and refined in chunks of
-CHUNK bytes; the largest single group held is the distinct contexts of one anchor.
+Scale: what is shuffled is anchors (8-byte hash and text key), texts by doc_id twice (to meet their shared anchors, and
+their spans at the end), distinct contexts by anchor, and places by context. A task merges equal anchors, and equal
+contexts with their places, of up to MERGE entries before they are shuffled, so a passage that a third of all documents
+share arrives as one row for each MERGE entries and not for each document. Refinement sees contexts without their places:
+a worker holds the distinct contexts of one anchor, at most HOT bytes. Anchors with more (a common line with different
+text before and after it in every document) are split: their strings are grouped one by one, as final buckets, with
+partial aggregation and a join that adaptive execution splits. Results go back to the places by a join on the context.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a string repeated inside one document is no
 match; rows that share a doc_id do not match each other and are cut by their own text; a null doc_id neither loses nor
-takes; empty tables give empty results; further columns are ignored.
+takes; ids must be integers (anything else is refused); empty tables give empty results; further columns, whatever their
+names, are ignored by `removal` and passed on by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -32,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strider.llm.common import bounded_batches, byte_view, mix64, slices, table
-from strider.storage import release, shared_dir, written
+from strider.llm.common import bounded_batches, byte_view, fresh, integer_ids, mix64, quoted, slices, table
+from strider.storage import shared_dir, written
 
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
 RUN, MERGE, SLICE, CHUNK = 64, 400_000, 1 << 20, 1 << 20
+#: Bytes of distinct contexts from which an anchor's are split.
+HOT = 1 << 18
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.int64(32)
@@ -147,19 +154,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id, __anchors: for the first document of each text the anchors that other texts hold too."""
+    """doc_id, anchors: for the first document of each text the anchors that other texts hold too."""
     w = W.partitionBy("anchor")
     several = (F.min("low").over(w) != F.max("low").over(w)) | F.max(F.col("rest").isNotNull()).over(w)
     rows = anchors(docs).withColumn("_several", several).where("_several")
     each = rows.select("anchor", F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("text_key"))
-    by_text = each.groupBy("text_key").agg(F.collect_set("anchor").alias("__anchors"))
+    by_text = each.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors"))
     # an id stands for several texts only where rows share it
-    return by_text.join(firsts, "text_key").groupBy("doc_id").agg(F.flatten(F.collect_list("__anchors")).alias("__anchors"))
+    return by_text.join(firsts, "text_key").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
 
 
-#: places: document, place, document, place, ...
-CONTEXTS = "anchor long, context binary, places array<long>"
-_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("places", pa.list_(pa.int64()))])
+#: low, high: smallest and largest document; places: document, place, document, place, ...
+CONTEXTS = "anchor long, context binary, low long, high long, places array<long>"
+_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("places", pa.list_(pa.int64()))])
+#: A context in tables without its bytes: the anchor and 128 bits of hash.
+KEY = ["anchor", "k1", "k2"]
 
 
 def _mark(data: bytes) -> int:
@@ -168,8 +177,8 @@ def _mark(data: bytes) -> int:
 
 
 def shared_contexts(joined: DataFrame) -> DataFrame:
-    """joined: doc_id, text, __anchors. The contexts of shared anchors with the places (text mark and first byte) where
-    they occur."""
+    """joined: doc_id, text, anchors. KEY, bytes, extent and places (text mark and first byte) of the contexts of shared
+    anchors."""
 
     def run(batches):
         held: dict[tuple[int, bytes], list[int]] = {}
@@ -179,7 +188,8 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
             keys = list(held)
             for at in range(0, len(keys), 20_000):
                 part = keys[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.binary()), pa.array([held[k] for k in part], pa.list_(pa.int64()))], schema=_CONTEXTS)
+                docs = [held[k][::2] for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.binary()), pa.array(map(min, docs), pa.int64()), pa.array(map(max, docs), pa.int64()), pa.array([held[k] for k in part], pa.list_(pa.int64()))], schema=_CONTEXTS)
 
         for batch in batches:
             has = batch.column(2).is_valid()
@@ -211,7 +221,8 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
                     n = 0
         yield from flush()
 
-    return joined.select("doc_id", "text", "__anchors").mapInArrow(run, CONTEXTS)
+    found = joined.select("doc_id", "text", "anchors").mapInArrow(run, CONTEXTS)
+    return found.select("anchor", F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2"), F.octet_length("context").alias("size"), "context", "low", "high", "places")
 
 
 def refine(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -236,11 +247,8 @@ def refine(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
         # a bucket's members sorted by the bucket that their suffix at the later offset lies in
         pairs = bucket[open_] * np.int64(n_buckets + 1) + bucket[open_ + step]
         keys, inverse, sizes = np.unique(pairs, return_inverse=True, return_counts=True)
-        bucket[open_] = n_buckets + inverse
-        # all that were not open are alone in their buckets and stay so
-        _, dense = np.unique(bucket[at], return_inverse=True)
-        bucket[at] = dense
-        n_buckets = int(dense.max(initial=-1)) + 1
+        bucket[open_] = n_buckets + inverse  # in place; what is not open is alone in its bucket and stays so
+        n_buckets += len(keys)
         open_ = open_[sizes[inverse] > 1]
         depth += step
     starts = np.flatnonzero(pos + length <= end)
@@ -271,55 +279,41 @@ def _gathered(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple
     return raw[np.repeat(offsets[:-1][chosen] - to[:-1], size) + np.arange(to[-1])], to
 
 
-def _spans(rows: pa.Table) -> pa.RecordBatch:
-    """doc_id, place, size of what is covered, from all contexts of some anchors, which stand sorted."""
-    column = rows.column("context").combine_chunks()
-    raw, offsets = byte_view(column)
-    anchor = rows.column("anchor").to_numpy()
-    # equal contexts that tasks sent separately are one
-    size = np.diff(offsets)
-    alike = np.flatnonzero((anchor[1:] == anchor[:-1]) & (size[1:] == size[:-1])) + 1
-    data = raw.tobytes()
-    first = np.ones(len(anchor), bool)
-    at = offsets.tolist()
-    first[[i for i in alike.tolist() if data[at[i] : at[i + 1]] == data[at[i - 1] : at[i]]]] = False
-    context = np.cumsum(first) - 1
-    raw, offsets = _gathered(raw, offsets, np.flatnonzero(first))
-    size = np.diff(offsets)
-    places = rows.column("places").combine_chunks()
-    row = np.repeat(context, np.diff(places.offsets.to_numpy()) // 2)
-    flat = places.flatten().to_numpy()
-    doc, place = flat[::2], flat[1::2]
-    low = np.minimum.reduceat(doc, np.searchsorted(row, np.arange(len(size))))
-    all_ = doc > low[row]  # the same context stands in a smaller document
-    out_doc, out_place, out_size = [doc[all_]], [place[all_]], [size[row[all_]]]
-    # places in the smallest document: what contexts of smaller documents cover, in maximal runs of strings
+def _distinct(rows: pa.Table) -> pa.RecordBatch:
+    """RESULTS of all contexts of some anchors; rows stand sorted by KEY."""
+    key = [rows.column(c).to_numpy() for c in KEY]
+    first = np.ones(len(rows), bool)
+    first[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    starts = np.flatnonzero(first)  # tasks may have sent equal contexts separately
+    low, high = np.minimum.reduceat(rows.column("low").to_numpy(), starts), np.maximum.reduceat(rows.column("high").to_numpy(), starts)
+    raw, offsets = _gathered(*byte_view(rows.column("context")), starts)
+    # what contexts of smaller documents cover, in maximal runs of strings
     chosen = np.flatnonzero(_recurring(raw, offsets))
-    starts, bucket = refine(*(part := _gathered(raw, offsets, chosen)))
-    owner = np.searchsorted(part[1], starts, "right") - 1
+    at, bucket = refine(*(part := _gathered(raw, offsets, chosen)))
+    owner = np.searchsorted(part[1], at, "right") - 1
     keeper = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(keeper, bucket, low[chosen[owner]])
     lost = keeper[bucket] < low[chosen[owner]]
-    mine, s = owner[lost], starts[lost]
-    if len(s):
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1] + 1) | (mine[1:] != mine[:-1])
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(s)) - 1
-        run_row, run_at, run_size = chosen[mine[a]], s[a] - part[1][mine[a]], s[b] - s[a] + LENGTH
-        begin, stop = np.searchsorted(run_row, np.arange(len(low))), np.searchsorted(run_row, np.arange(len(low)), "right")
-        rest = np.flatnonzero(~all_)
-        times = (stop - begin)[row[rest]]
-        which = np.repeat(begin[row[rest]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        rest = np.repeat(rest, times)
-        out_doc.append(doc[rest])
-        out_place.append(place[rest] + run_at[which])
-        out_size.append(run_size[which])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc), pa.int64()), pa.array(np.concatenate(out_place), pa.int64()), pa.array(np.concatenate(out_size).astype(np.int32), pa.int32())], ["doc_id", "place", "size"])
-
-
-def covered(found: DataFrame) -> DataFrame:
-    """doc_id, place, size from contexts that stand sorted by anchor in their partitions."""
+    mine, s = owner[lost], at[lost]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1] + 1) | (mine[1:] != mine[:-1])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(s))[: len(a)] - 1
+    run_of, run_at, run_size = chosen[mine[a]], s[a] - part[1][mine[a]], s[b] - s[a] + LENGTH
+    wanted = np.flatnonzero((high > low) | np.isin(np.arange(len(low)), run_of))
+    lists = np.searchsorted(run_of, np.append(wanted, len(low))).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(k[starts][wanted]) for k in key), pa.array(low[wanted]), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x.astype(np.int32))) for x in (run_at, run_size))],
+        [*KEY, "low", "run_at", "run_size"],
+    )
+
+
+#: What is lost of a distinct context: all of it in documents other than `low`, and in `low` the runs.
+RESULTS = "anchor long, k1 long, k2 long, low long, run_at array<int>, run_size array<int>"
+
+
+def refined(found: DataFrame) -> DataFrame:
+    """RESULTS from contexts that stand sorted by KEY in their partitions, all of an anchor in one."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -330,34 +324,89 @@ def covered(found: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(a, a[-1])) if len(a) else 0
             if size >= CHUNK or batch.nbytes >= CHUNK:
                 if held and cut == 0 and held[-1].column(0)[-1].as_py() != a[-1]:
-                    yield _spans(pa.Table.from_batches(held))
+                    yield _distinct(pa.Table.from_batches(held))
                     held, size = [], 0
                 elif cut:
-                    yield _spans(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    yield _distinct(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                     held, size, batch = [], 0, batch.slice(cut)
             if len(batch):
                 held.append(batch)
                 size += batch.nbytes
         if held:
-            yield _spans(pa.Table.from_batches(held))
+            yield _distinct(pa.Table.from_batches(held))
+
+    return found.select(*KEY, "context", "low", "high").mapInArrow(run, RESULTS)
 
-    return found.mapInArrow(run, "doc_id long, place long, size int")
 
+def split_up(found: DataFrame, path: str) -> DataFrame:
+    """RESULTS of contexts of anchors that are too many for one task: every string is a group of its own."""
+    one = written(found.groupBy(*KEY).agg(F.first("context").alias("context"), F.min("low").alias("low"), F.max("high").alias("high")), f"{path}/hot")
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Adds `__spans`, an array of (place, size), place being the text's mark and the first byte,
-    and `__copies`, the digests of an id's texts that a smaller id holds as well, and so lose all."""
+    def run(batches):
+        for batch in batches:
+            raw, offsets = byte_view(batch.column(3))
+            for i, j in slices(offsets, SLICE // 16):
+                counts = np.diff(offsets[i : j + 1]) - LENGTH + 1
+                own = np.repeat(np.arange(i, j), counts)
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                strings = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[offsets[own] + at]
+                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(own), [None, pa.py_buffer(np.ascontiguousarray(strings))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in (0, 1, 2, 4)), pa.array(at.astype(np.int32)), strings], [*KEY, "low", "at", "string"])
+
+    strings = written(one.select(*KEY, "context", "low").mapInArrow(run, "anchor long, k1 long, k2 long, low long, at int, string binary"), f"{path}/strings")
+    keepers = strings.groupBy("string").agg(F.min("low").alias("_keeper"))
+    lost = strings.join(keepers, "string").where("_keeper < low").groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("run_at"))  # at most RUN of a context
+    none = F.array().cast("array<int>")
+    out = one.join(lost, KEY, "left").where("high > low OR run_at IS NOT NULL")
+    return out.select(*KEY, "low", F.coalesce("run_at", none).alias("run_at"), F.coalesce(F.transform("run_at", lambda _: F.lit(LENGTH)), none).alias("run_size"))
+
+
+def covered(places: DataFrame, results: DataFrame) -> DataFrame:
+    """doc_id, place, size of what is covered. places: KEY, size, places of occurring contexts."""
+
+    def run(batches):
+        for batch in batches:
+            size, low = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            flat, lists = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists) // 2)
+            doc, place = flat[::2], flat[1::2]
+            whole = doc > low[row]
+            out = [(doc[whole], place[whole], size[row[whole]])]
+            runs = batch.column(3).offsets.to_numpy().astype(np.int64)
+            runs -= runs[0] if len(runs) else 0
+            rest = np.flatnonzero(~whole)
+            times = np.diff(runs)[row[rest]]
+            if times.sum():
+                at, n = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+                which = np.repeat(runs[row[rest]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                rest = np.repeat(rest, times)
+                out.append((doc[rest], place[rest] + at[which], n[which]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), (np.int64, np.int64, np.int32))], ["doc_id", "place", "size"])
+
+    return places.select(*KEY, "size", "places").join(results, KEY).select("size", "places", "low", "run_at", "run_size").mapInArrow(run, "doc_id long, place long, size int")
+
+
+def removed_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs: doc_id, text. Adds two columns and names them: spans, an array of (place, size), place being the text's mark
+    and the first byte, and copies, the digests of an id's texts that a smaller id holds as well, and so lose all."""
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
+    integer_ids(docs)
     bounded_batches(spark)
-    marked = written(digests(docs), f"{out}/digests")
+    texts = docs.select("doc_id", "text")
+    marked = written(digests(texts), f"{out}/digests")
     firsts = written(marked.groupBy("md5", "text_key").agg(F.min("doc_id").alias("doc_id")), f"{out}/firsts")
-    copies = marked.join(firsts.select("md5", F.col("doc_id").alias("_first")), "md5").where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("md5").alias("__copies"))
-    shared = written(shared_anchors(docs, firsts.select("text_key", "doc_id")), f"{out}/anchors")
-    release(spark)  # the anchors' shuffle is the largest here
-    found = shared_contexts(docs.join(shared, "doc_id", "left"))
-    spans = covered(found.repartition("anchor").sortWithinPartitions("anchor", "context"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias("__spans"))
-    return docs.join(by_doc.join(copies, "doc_id", "full"), "doc_id", "left")
+    named, copied = fresh(docs, "spans", "copies")
+    copies = marked.join(firsts.select("md5", F.col("doc_id").alias("_first")), "md5").where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("md5").alias(copied))
+    shared = written(shared_anchors(texts, firsts.select("text_key", "doc_id")), f"{out}/anchors")
+    found = written(shared_contexts(texts.join(shared, "doc_id")), f"{out}/contexts")
+    hot = found.select(*KEY, "size").distinct().groupBy("anchor").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > HOT).select("anchor")
+    hot = written(hot, f"{out}/hot_anchors")
+    results = refined(found.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions(*KEY))
+    if not hot.isEmpty():
+        results = results.unionByName(split_up(found.join(hot, "anchor", "left_semi"), out))
+    results = written(results, f"{out}/results")
+    by_doc = covered(found, results).groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias(named))
+    return docs.join(by_doc.join(copies, "doc_id", "full"), "doc_id", "left"), named, copied
 
 
 def cut(data: bytes, places: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
@@ -407,7 +456,8 @@ def removal(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
-    return removed_spans(docs.select("doc_id", "text")).select("doc_id", "text", "__spans", "__copies").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start: long, end: long>>")
+    spans, named, copied = removed_spans(docs.select("doc_id", "text"))
+    return spans.select("doc_id", "text", named, copied).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start: long, end: long>>")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -427,8 +477,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([None if z else len(t) for z, t in zip(null, texts)], pa.int64()).cast(batch.column(3 + [x for x in names if x != "text"].index("n_chars")).type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    spans = removed_spans(docs)
-    return spans.select("text", "__spans", "__copies", *[f"`{n}`" for n in names if n != "text"]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    spans, named, copied = removed_spans(docs)
+    return spans.select("text", named, copied, *[quoted(n) for n in names if n != "text"]).mapInArrow(run, ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strider.llm import substrings
 
@@ -36,8 +37,10 @@ def digests(df):
     return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.removal(df).collect())
 
 
-@pytest.mark.parametrize("seed,chunk,merge", [(3, 4 << 20, 400_000), (4, 2000, 50)])
-def test_against_brute_force(documents, monkeypatch, seed, chunk, merge):
+@pytest.mark.parametrize("seed,chunk,merge,hot", [(3, 4 << 20, 400_000, 1 << 18), (4, 2000, 50, 1 << 18), (5, 2000, 50, 500), (6, 1 << 20, 400_000, 0)])
+def test_against_brute_force(documents, monkeypatch, seed, chunk, merge, hot):
+    """With anchors refined as a whole, in part, and all split up."""
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     monkeypatch.setattr(substrings, "MERGE", merge)
     rows = corpus(seed)
@@ -67,6 +70,27 @@ def test_texts_without_repeats(documents):
     assert got == {1: (p, 40, "x"), 2: ("xyé", 3, "x"), 3: (None, None, "x")}
 
 
+def test_a_common_line_is_split(documents, monkeypatch):
+    """A line that stands between different texts in every document."""
+    rnd = random.Random(7)
+    noise = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    line = "a line that every document has, between other texts of its own. "
+    rows = [(i, noise() + line + noise()) for i in range(300)]
+    want = brute(rows)
+    monkeypatch.setattr(substrings, "HOT", 2000)
+    assert digests(documents(rows)) == want
+
+
+def test_clashing_names_and_ids(spark, documents):
+    p = "passage " * 10
+    rows = [(1, p), (2, "x" + p + "y")]
+    df = documents(rows).withColumns({c: F.lit("z") for c in ("copies", "__spans", "Spans_", "places", "a`b")})
+    got = {r["doc_id"]: r.asDict() for r in substrings.without_repeats(df).collect()}
+    assert got[2]["text"] == "xy" and all(got[i][c] == "z" for i in got for c in ("copies", "__spans", "Spans_", "places", "a`b")) and set(got[1]) == set(df.columns)
+    with pytest.raises(TypeError):
+        substrings.removal(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+
+
 def test_refinement_groups_equal_strings():
     rnd = random.Random(9)
     parts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90))).encode() for _ in range(30)] + [b"a" * 80, b"ab" * 40]
