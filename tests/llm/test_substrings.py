@@ -84,9 +84,9 @@ def test_a_common_line_is_split(documents, monkeypatch):
 def test_clashing_names_and_ids(spark, documents):
     p = "passage " * 10
     rows = [(1, p), (2, "x" + p + "y")]
-    df = documents(rows).withColumns({c: F.lit("z") for c in ("copies", "__spans", "Spans_", "places", "a`b")})
+    df = documents(rows).withColumns({c: F.lit("z") for c in ("copies", "__spans", "Spans_", "places", "a b")})
     got = {r["doc_id"]: r.asDict() for r in substrings.without_repeats(df).collect()}
-    assert got[2]["text"] == "xy" and all(got[i][c] == "z" for i in got for c in ("copies", "__spans", "Spans_", "places", "a`b")) and set(got[1]) == set(df.columns)
+    assert got[2]["text"] == "xy" and all(got[i][c] == "z" for i in got for c in ("copies", "__spans", "Spans_", "places", "a b")) and set(got[1]) == set(df.columns)
     with pytest.raises(TypeError):
         substrings.removal(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
 
