@@ -14,18 +14,19 @@ No pairs are listed within a group. Documents with equal sets are one class, rep
 group each member is first compared with the smallest one (a star); the links give components; only groups that still
 hold several components are looked at again, their members outside the group's first component against all members by
 the estimate, in blocks of bounded size that emit a forest of what passes. The trees (blobs) hold every pair that may
-still link; their documents are verified by full sets, again in blocks of bounded size that emit a forest. Pairs inside
-one component need no check.
+still link; their documents are verified by full sets, those outside the blob's largest component against all, again in
+blocks of bounded size that emit a forest. Pairs inside one component need no check.
 
 Scale: texts are read once for the sketches and shuffled once, those of documents that share a band with another; what
 else is shuffled is ids, band keys and sketches. Group minima are aggregated before shuffles and joined back, so AQE can
-split a hot group. Components are found by alternating stars over written edge tables. Documents of one
-group that are near the threshold but not linked are compared pairwise inside blocks, which is quadratic work in such a
-group but neither rows nor memory.
+split a hot group. Components are found by alternating stars over written edge tables. Documents of one group that are
+near the threshold but not linked are compared pairwise: work that is quadratic in such documents. Blocks are bounded by
+bytes (VERIFY of 64-bit shingles, OUTSIDERS and OTHERS sketches), so memory is not; a document's set is copied once for
+every VERIFY bytes of what it is compared with, which is once or a few times up to some ten thousand documents in a blob.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set, no links and are kept; fewer than five
-words are one shingle; rows that share a doc_id are one node; a null doc_id links to nothing; empty tables give empty
-results; further columns are ignored.
+words are one shingle; rows that share a doc_id are one node; a null doc_id links to nothing; ids must be integers
+(anything else is refused); empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm.common import bounded_batches, byte_view, mix64, slices, table
+from strider.llm.common import bounded_batches, byte_view, integer_ids, mix64, slices, table
 from strider.storage import shared_dir, written
 from strider.operators.components import components
 from strider.llm.shingles import shingle_sets
@@ -49,9 +50,9 @@ MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: HyperMinHash's constant for accidental register collisions.
 COLLISION = 0.169919487159739
 #: Members of a mixed group that one task compares: outsiders by all others.
-OUTSIDERS, OTHERS = 1_000, 16_000
-#: Documents of a block that are verified against each other or another block.
-VERIFY = 800
+OUTSIDERS, OTHERS = 4_000, 32_000
+#: Bytes of shingle sets in a block that is verified against another.
+VERIFY = 4 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, small binary, large binary"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("small", pa.binary()), ("large", pa.binary())])
@@ -248,39 +249,60 @@ class Forest:
         return pa.table({"a": pa.array(map(min, a, b), pa.int64()), "b": pa.array(map(max, a, b), pa.int64())})
 
 
-def linked_within(blobs: DataFrame, texts: DataFrame) -> DataFrame:
-    """blobs: blob, doc_id, component. Links between different components of a blob, by full sets, thinned to a forest.
+def shingled(texts: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, shingles: rising 64-bit hashes as bytes."""
 
-    A blob is cut into blocks of VERIFY documents and every two blocks meet in one task, which counts shared shingles
-    through an inverted index of one of them."""
-    sizes = blobs.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / VERIFY).cast("int").alias("_blocks"))
-    rows = blobs.join(sizes, "blob").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_own")).alias("x"), F.greatest(k, F.col("_own")).alias("y")))
-    rows = rows.join(texts, "doc_id").select("blob", "doc_id", "component", "text", "_own", F.inline(meets))
+    def run(batches):
+        for batch in batches:
+            raw, offsets = byte_view(batch.column(1))
+            for i, j in slices(offsets):
+                h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SIZE)
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(at * 8)), pa.py_buffer(h.astype("<u8").tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(at)), data], ["doc_id", "n_shingles", "shingles"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
+
+
+def linked_within(blobs: DataFrame, sets: DataFrame) -> DataFrame:
+    """blobs: blob, doc_id, component. sets: doc_id, n_shingles, shingles. Links between different components of a blob,
+    by full sets, thinned to a forest.
+
+    What is not in the blob's largest component meets everything in it: blocks of the one and of the other, in a task for
+    each pair of blocks, which counts shared shingles through an inverted index."""
+    rows = blobs.join(sets, "doc_id")
+    parts = rows.groupBy("blob", "component").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
+    sizes = parts.groupBy("blob").agg(F.sum("_bytes").alias("_all"), F.max(F.struct("_bytes", "component")).alias("_most")).where(F.col("_all") > F.col("_most._bytes"))
+    blocks = lambda b: F.ceil(b / VERIFY).cast("int")
+    sizes = sizes.select("blob", F.col("_most.component").alias("_most"), blocks(F.col("_all") - F.col("_most._bytes")).alias("_x"), blocks(F.col("_all")).alias("_y"))
+    rows = rows.join(sizes, "blob")
+    spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
+    base = ["blob", "doc_id", "component", "n_shingles", "shingles"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    others = rows.select(*base, every(F.col("_x")).alias("x"), spot(F.col("_y"), 1).alias("y"), F.lit(False).alias("outsider"))
+    outsiders = rows.where("component <> _most").select(*base, spot(F.col("_x"), 0).alias("x"), every(F.col("_y")).alias("y"), F.lit(True).alias("outsider"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        ids, comp, own, x, y = (t.column(k).to_numpy() for k in ("doc_id", "component", "_own", "x", "y"))
-        raw, offsets = byte_view(t.column("text"))
-        parts = [shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SIZE) for i, j in slices(offsets)]
-        h = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([np.diff(p[1]) for p in parts])
+        ids, comp, n = (t.column(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
+        outsider = t.column("outsider").to_numpy(zero_copy_only=False)
+        h = byte_view(t.column("shingles"))[0].view("<u8")
         at = np.concatenate(([0], np.cumsum(n)))
         _, code = np.unique(h, return_inverse=True)
         row = np.repeat(np.arange(len(ids)), n)
-        left, right = np.flatnonzero(own == x), own == y  # the same documents where a block meets itself
-        listed = np.flatnonzero(right[row])
+        listed = np.flatnonzero(~outsider[row])
         listed = listed[np.argsort(code[listed], kind="stable")]
         begin = np.searchsorted(code[listed], np.arange(int(code.max(initial=-1)) + 2))
+        listed = row[listed]
         forest = Forest(ids)
         forest.label = np.unique(comp, return_inverse=True)[1]
-        for i in left:
+        for i in np.flatnonzero(outsider):
             codes = code[at[i] : at[i + 1]]
             size = begin[codes + 1] - begin[codes]
             if not size.sum():
                 continue
-            where = np.repeat(begin[codes], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            both = np.bincount(row[listed[where]], minlength=len(ids))
+            where = np.repeat(begin[codes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.bincount(listed[where], minlength=len(ids))
             js = np.flatnonzero((both > 0) & (forest.label != forest.label[i]))
             js = js[DEN * both[js] >= NUM * (n[js] + n[i] - both[js])]
             if len(js):
@@ -288,12 +310,13 @@ def linked_within(blobs: DataFrame, texts: DataFrame) -> DataFrame:
         return forest.table()
 
     bounded_batches(blobs.sparkSession)
-    return rows.groupBy("blob", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return others.unionByName(outsiders).groupBy("blob", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id and kept for every row."""
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
+    integer_ids(docs)
     sets = written(features(docs), f"{out}/sets")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, f"{out}/classes")
@@ -320,7 +343,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = again.withColumn("sketch", F.when(F.coalesce(is_small, F.lit(False)), F.col("small")).otherwise(F.col("large"))).drop("small", "large")
     near = components(written(_across(again), f"{out}/across"))
     blobs = near.select(F.col("node").alias("doc_id"), F.col("component").alias("blob")).join(placed.select("doc_id", "component").distinct(), "doc_id")
-    all_links = links.unionByName(written(linked_within(written(blobs, f"{out}/blobs"), texts), f"{out}/links2"))
+    blobs = written(blobs, f"{out}/blobs")
+    full = written(shingled(texts.join(blobs.select("doc_id").distinct(), "doc_id", "left_semi")), f"{out}/full")
+    all_links = links.unionByName(written(linked_within(blobs, full.dropDuplicates(["doc_id", "n_shingles", "shingles"])), f"{out}/links2"))
     final = components(all_links).select(F.col("node").alias("class_id"), "component")
     ids = classes.join(final, "class_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "class_id").alias("_component"))
     result = sets.select("doc_id", "n_shingles", "f1", "f2").join(ids, ["n_shingles", "f1", "f2"], "left")

@@ -46,7 +46,7 @@ def corpus(seed=5, clouds=5, size=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("blocks", [(800, 1000, 16_000), (20, 25, 50)])
+@pytest.mark.parametrize("blocks", [(4 << 20, 1000, 16_000), (4_000, 25, 50)])
 def test_against_brute_force(documents, monkeypatch, blocks):
     rows = corpus()
     for name, value in zip(("VERIFY", "OUTSIDERS", "OTHERS"), blocks):
@@ -92,3 +92,22 @@ def test_shingle_sets():
             seen[s].add(k)
     codes = collections.Counter(c for k in range(len(rows)) for c in set(h[at[k] : at[k + 1]].tolist()))
     assert sorted(codes.values()) == sorted(map(len, seen.values()))
+
+
+def test_a_cloud_near_the_threshold(spark, documents, monkeypatch):
+    """Documents of one blob, many of them not linked: results are exact and sets are copied once for every block."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = rnd.choices(vocabulary, k=120)
+    rows = [(i, " ".join(rnd.choice(vocabulary) if rnd.random() < 0.035 else w for w in base)) for i in range(300)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(documents(rows)).collect()}
+    assert got == brute(rows)
+    copies = []
+    for n in (100, 300):
+        sets = neardup.shingled(documents(rows[:n]))
+        blobs = spark.createDataFrame([(0, i, i) for i, _ in rows[:n]], "blob long, doc_id long, component long")
+        plan = neardup.linked_within(blobs, sets)
+        copies.append(plan.count())
+        assert copies[-1] < n
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
