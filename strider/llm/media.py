@@ -304,13 +304,11 @@ def _ape(data: bytes, at: int, out: Stream) -> int:
 
 
 def _tag(data: bytes, at: int, out: Stream, synced: bool) -> int:
-    """Where the tag at `at` ends; `at` if there is none. Out of sync, where names of tags may be payload, only an ID3v2
-    tag counts, and only if a frame or the end follows."""
+    """Where the tag at `at` ends; `at` if there is none. Out of sync, where names of tags may be payload, only an ID3v1
+    tag at the end counts."""
     start = data[at : at + 3]
-    if start == b"ID3" and at + 10 <= len(data) and 2 <= data[at + 3] <= 4 and max(data[at + 6 : at + 10]) < 128:
-        end = at + 10 + _number(data[at + 6 : at + 10], 7)
-        if synced or end == len(data) or _head_at(data, end) is not None:
-            return _id3v2(data, at, out)
+    if synced and start == b"ID3" and at + 10 <= len(data) and 2 <= data[at + 3] <= 4 and max(data[at + 6 : at + 10]) < 128:
+        return _id3v2(data, at, out)
     if start == b"TAG" and at + 128 <= len(data) and (synced or at + 128 == len(data)):
         return _id3v1(data, at, out)
     if synced and start == b"APE" and data[at : at + 8] == b"APETAGEX" and at + 32 <= len(data):
@@ -396,7 +394,7 @@ def parse(data: bytes) -> Stream:
     return out
 
 
-_START = re.compile(rb"\xff[\xe0-\xff]|ID3|TAG")
+_START = re.compile(rb"\xff[\xe0-\xff]|TAG")
 
 
 def _next(data: bytes, at: int) -> int:
