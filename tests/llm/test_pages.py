@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 import re
 
 import pytest
@@ -156,8 +157,9 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch, segment):
 
 def test_broken_records_are_named():
     parts = []
-    for k, record in enumerate(warc.records(1, "u", "text " * 50, "s", 1, None, 100), 1):
-        ((fields, block),) = warc.parse((record + warc.RECORD_END).encode())
+    sha = hashlib.sha1(b"text " * 50).hexdigest()
+    for k, record in enumerate(warc.records(1, "u", "text " * 50, sha, 1, None, 100), 1):
+        ((fields, block),) = warc.parse(record)
         parts.append((fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), int(fields.get("warc-segment-total-length", 0)) or None, 1, "response", None, fields.get("warc-payload-digest", "sha1:")[5:], 250, block))
     assert len(parts) > 2 and len({p[0] for p in parts}) == 1
     assert warc.whole(parts[::-1])[5] is None
@@ -176,15 +178,44 @@ def test_payloads_are_given_back(spark, tmp_path, monkeypatch, segment):
 
 
 def test_revisits_are_checked_against_their_response(spark, tmp_path):
-    wrong = warc.records(5, "u", "broken", "s5", 1, None)[0].replace("broken", "brOken")
-    found = [*warc.records(1, "u", "text", "s", 1, None), *warc.records(2, "u", "text", "s", 1, 1), *warc.records(3, "u", "other", "s", 1, 1), *warc.records(4, "u", "text", "s", 1, 99), wrong, *warc.records(6, "u", "broken", "s5", 1, 5)]
-    found.append(found[1].replace("X-Page-Id: 2", "X-Page-Id: 7").replace("X-Payload-Length: 4", "X-Payload-Length: 400"))
+    sha = lambda t: hashlib.sha1(t).hexdigest()
+    wrong = warc.records(5, "u", "broken", sha(b"broken"), 1, None)[0].replace(b"broken", b"brOken")
+    found = [*warc.records(1, "u", "text", sha(b"text"), 1, None), *warc.records(2, "u", "text", sha(b"text"), 1, 1), *warc.records(3, "u", "other", sha(b"text"), 1, 1), *warc.records(4, "u", "text", sha(b"text"), 1, 99), wrong, *warc.records(6, "u", "broken", sha(b"broken"), 1, 5)]
+    found[2] = found[2].replace(warc.base32(sha(b"text")).encode(), warc.base32(sha(b"other")).encode())
+    found.append(found[1].replace(b"X-Page-Id: 2", b"X-Page-Id: 7").replace(b"X-Payload-Length: 4", b"X-Payload-Length: 400"))
     (tmp_path / "w").mkdir()
-    (tmp_path / "w/a.gz").write_bytes(gzip.compress("".join(r + warc.RECORD_END for r in found).encode()))
+    # an archive of another writer: some records in one member, others in their own
+    (tmp_path / "w/a.warc.gz").write_bytes(gzip.compress(b"".join(found[:3])) + b"".join(gzip.compress(r) for r in found[3:]))
     got = {r["page_id"]: (r["payload_bytes"], r["problem"]) for r in warc.restore(spark, f"{tmp_path}/w").collect()}
     assert got == {1: (4, None), 2: (4, None), 3: (5, "wrong digest"), 4: (4, "missing response"), 5: (6, "wrong digest"), 6: (6, "broken response"), 7: (4, None)}
 
 
+def test_archives_are_plain_gzip_files_that_split(spark, tmp_path):
+    """Every record is a member of its own that any reader of gzip finds; Spark reads a file in parts."""
+    rnd = random.Random(3)
+    rows = [(i, f"http://h/{i}", "".join(rnd.choices("abc <>é\u2028\r\n\0", k=rnd.choice([0, 10, 3000, 60_000])))) for i in range(300)] + [(900, "u" * 70_000, "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.archive(df, f"{tmp_path}/w")
+    data = b"".join((tmp_path / "w" / x).read_bytes() for x in os.listdir(tmp_path / "w") if x.startswith("part-"))
+    found = [f for f, _ in warc.parse(gzip.decompress(data))]
+    assert sum(f["warc-type"] == "response" for f in found) == len({h for _, _, h in rows})
+    assert [len(list(warc.parse(m))) for m in warc.members(data)] == [1] * len(found)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert warc.found_records(spark, f"{tmp_path}/w").rdd.getNumPartitions() > 5
+        got = sorted((tuple(r) for r in warc.restore(spark, f"{tmp_path}/w").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == expected(rows)
+    broken = bytearray(data)
+    broken[len(data) // 2] ^= 4
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/part-0.txt").write_bytes(bytes(broken))
+    with pytest.raises(Exception):
+        warc.found_records(spark, f"{tmp_path}/b").collect()
+
+
 def test_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.archive(df, f"{tmp_path}/w")
