@@ -6,28 +6,38 @@ pages that allow rules fit seeds trust, which follows links (personalised PageRa
 block rules fit seeds distrust, which runs against the links (a host that links to blocked hosts becomes suspect). A
 host is blocked when its distrust reaches THRESHOLD restart masses and exceeds its trust.
 
+Links are the absolute and protocol-relative href of a and area elements outside comments and scripts. Both walks push
+mass along links, all rounds of both in one table, until what is still to be spread is at most RESIDUAL of the seeds; mass
+on a host without links ends there. Character references in the host part of a link are not decoded.
+
 Scale: the rules and parsing are column expressions in the scan. Links are reduced to distinct host pairs with partial
 aggregation before anything is joined, ranks are one row per host, and every round is one join and one aggregation by
-host, written to the shared folder every CUT rounds. A hot host has many pages but one seed row; a host linked from
-everywhere is summed map-side. Rules are a parameter of at most MAX_RULES entries.
+host, written to the shared folder. A hot host has many pages but one seed row; the links of a hub are dealt to SALT keys,
+and a host linked from everywhere is summed map-side. Rules are a parameter of at most MAX_RULES entries.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule and is allowed (hosts that are
-empty take no part in the graph); repeated rows are judged alike; relative links and links of a host to itself carry
-nothing; without links the seeds alone decide.
+empty take no part in the graph); null html has no links; repeated rows are judged alike; relative links and links of a
+host to itself carry nothing; without links the seeds alone decide; a host whose distrust equals its trust is allowed.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.llm.common import table
-from strider.storage import shared_dir, written
+from strider.storage import observed, shared_dir, written
 
 #: (rule, verdict); a rule is host + path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD, CUT, MAX_RULES = 0.85, 10, 0.5, 5, 1000
-LINK_RE = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s>]+)"""
+DAMPING, RESIDUAL, THRESHOLD, MAX_RULES, SALT = 0.85, 1e-4, 0.5, 1000, 8
+#: No more than DAMPING ** ROUNDS of the mass is left after so many rounds.
+ROUNDS = math.ceil(math.log(RESIDUAL) / math.log(DAMPING))
+#: Comments and scripts, whose links are none; links.
+HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+LINK_RE = r"""(?i)<a(?:rea)?\s[^>]*?\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,23 +72,29 @@ def rule_verdict(rule: Column, rules=RULES) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of absolute links between different hosts."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK_RE), F.lit(1))).alias("_to"))
-    return links.select("src", host_of(F.col("_to")).alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct()
+    """Distinct (src, dst) of links between different hosts."""
+    shown = F.when(F.contains("html", F.lit("//")), F.regexp_replace("html", HIDDEN_RE, " "))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(shown, F.lit(LINK_RE), F.lit(1))).alias("_to"))
+    to = F.when(F.startswith("_to", F.lit("//")), F.concat(F.lit("http:"), "_to")).otherwise(F.col("_to"))
+    return links.select("src", host_of(to).alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """seeds: host, seed. edges: src, dst. Returns host, score for every seed host and every host reached."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """seeds: kind, host, seed. edges: kind, src, dst. Returns kind, host, score for every seed and every host reached."""
     spark, out = seeds.sparkSession, shared_dir(seeds.sparkSession)
-    shares = written(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src").select("src", "dst", (F.lit(damping) / F.col("_n")).alias("_w")), f"{out}/edges")
-    base = seeds.where("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    score = base
-    for i in range(rounds):
-        flow = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("_w")).alias("score"))
-        score = base.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % CUT == 0:
-            score = written(score, f"{out}/{i}")
-    return score
+    degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("_n"))
+    shares = edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), F.pmod(F.hash("dst"), F.lit(SALT)).alias("_salt"), "dst", (F.lit(damping) / F.col("_n")).alias("_w"))
+    shares = written(shares, f"{out}/edges")
+    total = {"total": F.coalesce(F.sum("mass"), F.lit(0.0))}
+    mass, left = observed(seeds.where("seed > 0").select("kind", "host", F.col("seed").cast("double").alias("mass")), f"{out}/mass/0", **total)
+    rounds, bound = [mass], left["total"] * residual
+    while left["total"] > bound:
+        dealt = mass.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
+        flow = dealt.join(shares, ["kind", "host", "_salt"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("_w")).alias("mass"))
+        mass, left = observed(flow, f"{out}/mass/{len(rounds)}", **total)
+        rounds.append(mass)
+    every = spark.read.schema(mass.schema).parquet(*[f"{out}/mass/{k}" for k in range(len(rounds))])
+    return every.groupBy("kind", "host").agg((F.sum("mass") * (1 - damping)).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,14 +106,14 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     hosts = named.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     hosts = written(hosts, f"{shared_dir(spark)}/hosts")
     edges = written(host_links(pages), f"{shared_dir(spark)}/links")
-    good, bad = hosts.select("host", F.col("good").alias("seed")), hosts.select("host", F.col("bad").alias("seed"))
+    seeds = hosts.select("host", F.inline(F.array(F.struct(F.lit("t").alias("kind"), F.col("good").alias("seed")), F.struct(F.lit("d").alias("kind"), F.col("bad").alias("seed")))))
     if edges.isEmpty():  # each host keeps its own restart mass
-        trust, distrust = (x.where("seed > 0").select("host", (F.col("seed") * (1 - DAMPING)).alias("score")) for x in (good, bad))
+        scores = seeds.where("seed > 0").select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
     else:
-        trust, distrust = propagate(good, edges), propagate(bad, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    scores = hosts.select("host").join(trust.select("host", F.col("score").alias("trust")), "host", "left").join(distrust.select("host", F.col("score").alias("distrust")), "host", "left")
-    scores = scores.select("host", *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 12).alias(c) for c in ("trust", "distrust")])
-    blocked = (F.col("distrust") >= F.lit(round(threshold * (1 - DAMPING), 12))) & (F.col("distrust") > F.col("trust"))
+        both = edges.select(F.lit("t").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+        scores = propagate(seeds, both)
+    scores = scores.groupBy("host").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 9).alias(c) for k, c in (("t", "trust"), ("d", "distrust"))])
+    blocked = (F.col("distrust") >= F.lit(round(threshold * (1 - DAMPING), 9))) & (F.col("distrust") > F.col("trust"))
     out = named.join(scores, "host", "left")
     verdict = F.coalesce(F.col("_said"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -114,23 +130,18 @@ def judge_sql(rules=RULES, threshold: float = THRESHOLD) -> str:
     )
     host = lambda u: f"translate(regexp_extract(CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
     blocked = ", ".join(f"'{r}'" for r, v in rules if v == "block")
-    walk = []
-    for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
-        walk.append(f"{name}0 AS (SELECT host, {seed} * {1 - DAMPING} AS score FROM hosts WHERE {seed} > 0)")
-        for i in range(1, ROUNDS + 1):
-            walk.append(
-                f"{name}{i} AS (SELECT host, sum(score) AS score FROM (SELECT host, score FROM {name}0 UNION ALL SELECT e.{b}, p.score * {DAMPING} / (SELECT count(*) FROM links x WHERE x.{a} = e.{a}) FROM {name}{i - 1} p JOIN links e ON e.{a} = p.host) q GROUP BY host)"
-            )
     return rf"""
-WITH raw AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+WITH RECURSIVE raw AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
 named AS (SELECT page_id, {host("url")} AS host, regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1) AS path, html FROM raw),
 ruled AS (SELECT *, CASE {case} ELSE NULL END AS rule FROM named),
 said AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({blocked}) THEN 'block' ELSE 'allow' END AS v FROM ruled),
 hosts AS (SELECT host, avg(coalesce(v = 'allow', false)::INT) AS good, avg(coalesce(v = 'block', false)::INT) AS bad FROM said WHERE host <> '' GROUP BY host),
-links AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("u")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*([a-z][a-z0-9+.\-]*://[^"''\s>]+)', 1)) AS u FROM named) q) z WHERE src <> dst AND src <> '' AND dst <> ''),
-{", ".join(walk)},
-scores AS (SELECT h.host, round(coalesce(t.score, 0), 12) AS trust, round(coalesce(d.score, 0), 12) AS distrust FROM hosts h LEFT JOIN t{ROUNDS} t USING (host) LEFT JOIN d{ROUNDS} d USING (host))
-SELECT page_id, said.host, path, rule, coalesce(v, CASE WHEN distrust >= {round(threshold * (1 - DAMPING), 12)} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+links AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(regexp_replace(html, '{HIDDEN_RE[5:]}', ' ', 'gis'), '{LINK_RE.replace("'", "''")}', 1)) AS u FROM named) q) z WHERE src <> dst AND src <> '' AND dst <> ''),
+e AS (SELECT kind, src, dst, {DAMPING} / count(*) OVER (PARTITION BY kind, src) AS w FROM (SELECT 't' AS kind, src, dst FROM links UNION ALL SELECT 'd', dst, src FROM links) x),
+walk(k, kind, host, mass) AS (SELECT 0, kind, host, mass FROM (SELECT 't' AS kind, host, good::DOUBLE AS mass FROM hosts UNION ALL SELECT 'd', host, bad::DOUBLE FROM hosts) y WHERE mass > 0
+  UNION ALL SELECT k + 1, p.kind, e.dst, sum(p.mass * e.w) FROM walk p JOIN e ON e.kind = p.kind AND e.src = p.host WHERE k < {ROUNDS} GROUP BY ALL),
+scores AS (SELECT host, round({1 - DAMPING} * coalesce(sum(mass) FILTER (kind = 't'), 0), 9) AS trust, round({1 - DAMPING} * coalesce(sum(mass) FILTER (kind = 'd'), 0), 9) AS distrust FROM walk GROUP BY host)
+SELECT page_id, said.host, path, rule, coalesce(v, CASE WHEN distrust >= {round(threshold * (1 - DAMPING), 9)} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM said LEFT JOIN scores ON said.host = scores.host"""
 
 

@@ -5,6 +5,8 @@ import os
 import random
 import re
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +246,53 @@ def test_trust_and_distrust_follow_links(spark):
     assert rows[2]["trust"] == pytest.approx((1 - a) * a) and rows[3]["trust"] == pytest.approx((1 - a) * a * a)
     assert rows[4]["distrust"] == pytest.approx((1 - a) * a) and rows[4]["verdict"] == "block"
     assert (rows[6]["distrust"], rows[6]["verdict"]) == (0, "allow") and rows[5]["verdict"] == "block" and rows[2]["verdict"] == "allow"
+
+
+def ranks(seed, edges, a):
+    """Personalised PageRank by solving its equations."""
+    hosts = sorted({*seed, *(x for e in edges for x in e)})
+    place = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for x, y in edges:
+        m[place[x], place[y]] = 1 / sum(e[0] == x for e in edges)
+    s = np.array([seed.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - a * m.T, (1 - a) * s)))
+
+
+def test_ranks_against_linear_algebra(spark):
+    """Cycles, a hub, hosts without links, links of all kinds; both walks, spread to the last."""
+    rnd = random.Random(5)
+    hosts = [f"h{i}.com" for i in range(30)] + ["good.org", "bad.net", "worse.net"]
+    edges = {(rnd.choice(hosts), rnd.choice(hosts)) for _ in range(80)} | {("hub.com", h) for h in hosts} | {("h1.com", "h2.com"), ("h2.com", "h1.com")}
+    edges = {e for e in edges if e[0] != e[1]}
+    form = ['<a href="http://{}/x">', "<A class=b HREF=//{}/y>", "<area href='https://{}?q'>"]
+    pages, n = [], 0
+    for h in [*hosts, "hub.com"]:
+        for x, y in sorted(edges):
+            if x == h:
+                n += 1
+                pages.append((n, f"http://{h}/fr/" if h == "good.org" else f"http://{h}/", rnd.choice(form).format(y)))
+        pages.append((n + 1, f"http://{h}/fr/", "<a href='/relative'> <!-- <a href='http://bad.net/'> --> <script>'<a href=\"//bad.net\">'</script>"))
+        n += 1
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.judge(df.unionByName(df)).collect()}
+    trust = ranks({"good.org": 1.0}, edges, urls.DAMPING)
+    distrust = ranks({"bad.net": 1.0, "worse.net": 1.0}, {(y, x) for x, y in edges}, urls.DAMPING)
+    for h, r in got.items():
+        assert r["trust"] == pytest.approx(trust.get(h, 0.0), abs=2e-4) and r["distrust"] == pytest.approx(distrust.get(h, 0.0), abs=2e-4)
+    assert sum(r["trust"] > 0 for r in got.values()) > 10 and {r["verdict"] for r in got.values()} == {"allow", "block"}
+    # the same in SQL
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = {tuple(r) for r in con.execute(urls.judge_sql()).fetchall()}
+    assert {tuple(r)[:5] for r in urls.judge(df).collect()} == want
+
+
+def test_urls_of_no_pages_ties_and_long_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert urls.judge(spark.createDataFrame([], schema)).count() == 0
+    # as much trust as distrust: allowed
+    pages = [(1, "http://a.net/", "<a href=//m.com>"), (2, "http://b.org/fr/", "<a href=//m.com>"), (3, "http://m.com/", "<a href=//a.net>"), (3, "http://m.com/", None), (4, "http://long.com/", "x " * 500_000 + "<a href='//a.net/'>" + "<" * 100_000 + "<!--" * 10_000)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, schema)).collect()}
+    assert got[3]["trust"] > 0 and got[3]["verdict"] == ("block" if got[3]["distrust"] > got[3]["trust"] and got[3]["distrust"] >= 0.075 else "allow")
+    assert got[4]["distrust"] > 0 and got[1]["verdict"] == "block" and got[2]["verdict"] == "allow"
