@@ -8,12 +8,14 @@ a list of spans, in code points and in bytes, that cover exactly the assistant t
 string and its mask into turns and the text under the mask.
 
 Scale: everything is JVM code. Rows are gathered into conversations by one shuffle on conv_id, which formatting keeps;
-a conversation is one output row and its size is the bound of every array here. Spans are cut by byte offsets, so
-reading back is linear in the conversation's length.
+a conversation is one output row and its size is the bound of every array here. Offsets are summed in blocks of BLOCK
+turns, and spans are cut by byte offsets, so formatting and reading back are linear in the conversation's length (but for
+one entry for each block, copied from block to block).
 
 Defined cases: null text or role is empty; null turn numbers come first and rows equal in turn are ordered by role, then
-text; repeated rows are turns of their own; a record whose fingerprint no mapping knows has null turns and is returned
-with `mapping` null; empty tables give only the extra conversations; further columns are ignored.
+text; repeated rows are turns of their own; rows with a null conv_id are one conversation; a record whose fingerprint no
+mapping knows has null turns and is returned with `mapping` null, and `unmapped` counts such records by layout; empty
+tables give only the extra conversations; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm.common import table
+from strider.llm.common import fresh, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that templates give meaning to.
 CONTROL = (START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
 TURNS = "array<struct<role:string,text:string>>"
+#: Turns whose offsets are summed together.
+BLOCK = 128
 EXTRA = (-1, ("</s>[INST] ok [/INST]", "</s>[INST] ok [/INST]"))
 
 
@@ -51,36 +55,60 @@ def _list(path: str, role: str, text: str, names: dict[str, str] | None = None)
     return f"transform({_get(path, f'array<struct<{role}:string,{text}:string>>')}, m -> {_turn(said, f'm.{text}')})"
 
 
-#: name -> (an example record of the layout as JSON, SQL from `record` to canonical turns)
+def _said(role: str, path: str) -> str:
+    return _turn(f"'{role}'", _get(path))
+
+
+_PARTS = "array_join(transform(filter(m.content, p -> p.type = 'text' OR p.type IS NULL), p -> coalesce(p.text, '')), '')"
+_NAMES = {"human": "user", "gpt": "assistant"}
+
+#: name -> (example records of the layout as JSON, whose fields may be of any scalar type, SQL from `record` to turns)
 MAPPINGS = {
-    "messages": ('{"messages": [{"role": "", "content": ""}]}', _list("messages", "role", "content")),
-    "chat": ('{"id": 0, "chat": [{"role": "", "text": ""}]}', _list("chat", "role", "text")),
-    "sharegpt": ('{"conversations": [{"from": "", "value": ""}]}', _list("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
-    "prompt": ('{"prompt": "", "completion": ""}', f"array({_turn(chr(39) + 'user' + chr(39), _get('prompt'))}, {_turn(chr(39) + 'assistant' + chr(39), _get('completion'))})"),
-    "instruction": (
-        '{"instruction": "", "input": "", "output": ""}',
-        "array(" + _turn("'user'", f"concat_ws('\n\n', {_get('instruction')}, nullif({_get('input')}, ''))") + ", " + _turn("'assistant'", _get("output")) + ")",
+    "messages": (
+        [f'{{{top}"messages": [{{"role": "", "content": ""{extra}}}]}}' for top in ("", '"id": 0, ', '"source": "", ', '"id": 0, "source": "", ') for extra in ("", ', "name": ""', ', "weight": 0')],
+        _list("messages", "role", "content"),
     ),
-    "system_prompt": (
-        '{"system": "", "prompt": "", "completion": ""}',
-        "array(" + _turn("'system'", _get("system")) + ", " + _turn("'user'", _get("prompt")) + ", " + _turn("'assistant'", _get("completion")) + ")",
+    "parts": (
+        ['{"messages": [{"role": "", "content": [{"type": "", "text": ""}]}]}', '{"id": 0, "messages": [{"role": "", "content": [{"type": "", "text": ""}]}]}', '{"messages": [{"role": "", "content": [{"type": "", "text": "", "image_url": ""}]}]}'],
+        f"transform({_get('messages', 'array<struct<role:string,content:array<struct<type:string,text:string>>>>')}, m -> named_struct('role', coalesce(m.role, ''), 'text', {_PARTS}))",
     ),
-    "empty_messages": ('{"messages": []}', f"CAST(array() AS {TURNS})"),
+    "chat": (['{"id": 0, "chat": [{"role": "", "text": ""}]}', '{"chat": [{"role": "", "text": ""}]}'], _list("chat", "role", "text")),
+    "turns": (['{"turns": [{"speaker": "", "utterance": ""}]}', '{"id": 0, "turns": [{"speaker": "", "utterance": ""}]}'], _list("turns", "speaker", "utterance", _NAMES)),
+    "sharegpt": (['{"conversations": [{"from": "", "value": ""}]}', '{"id": 0, "conversations": [{"from": "", "value": ""}]}'], _list("conversations", "from", "value", _NAMES)),
+    "sharegpt_system": (['{"system": "", "conversations": [{"from": "", "value": ""}]}'], f"concat(array({_said('system', 'system')}), {_list('conversations', 'from', 'value', _NAMES)})"),
+    "dialog": (['{"dialog": [""]}', '{"id": 0, "dialog": [""]}'], f"transform({_get('dialog', 'array<string>')}, (t, i) -> named_struct('role', if(i % 2 = 0, 'user', 'assistant'), 'text', coalesce(t, '')))"),
+    "prompt": (['{"prompt": "", "completion": ""}', '{"id": 0, "prompt": "", "completion": ""}'], f"array({_said('user', 'prompt')}, {_said('assistant', 'completion')})"),
+    "response": (['{"prompt": "", "response": ""}', '{"id": 0, "prompt": "", "response": ""}'], f"array({_said('user', 'prompt')}, {_said('assistant', 'response')})"),
+    "preference": (['{"prompt": "", "chosen": "", "rejected": ""}'], f"array({_said('user', 'prompt')}, {_said('assistant', 'chosen')})"),
+    "question": (['{"question": "", "answer": ""}', '{"id": 0, "question": "", "answer": ""}'], f"array({_said('user', 'question')}, {_said('assistant', 'answer')})"),
+    "instruction": (
+        ['{"instruction": "", "input": "", "output": ""}', '{"instruction": "", "output": ""}'],
+        "array(" + _turn("'user'", f"concat_ws('\n\n', {_get('instruction')}, nullif({_get('input')}, ''))") + f", {_said('assistant', 'output')})",
+    ),
+    "system_prompt": (['{"system": "", "prompt": "", "completion": ""}'], f"array({_said('system', 'system')}, {_said('user', 'prompt')}, {_said('assistant', 'completion')})"),
+    "empty_messages": (['{"messages": []}'], f"CAST(array() AS {TURNS})"),
 }
 
 
 def canonical(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """Adds fingerprint, mapping and turns to rows with a variant column `record`."""
     spark = records.sparkSession
-    marks = spark.range(1).select(*[fingerprint(F.try_parse_json(F.lit(example))).alias(name) for name, (example, _) in mappings.items()]).first().asDict()
+    examples = [(name, e) for name, (them, _) in mappings.items() for e in them]
+    marks = spark.range(1).select(F.array(*[fingerprint(F.try_parse_json(F.lit(e))) for _, e in examples])).first()[0]
     out = records.withColumn("fingerprint", fingerprint(F.col("record")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for k, (_, sql) in mappings.items():
-        here = F.col("fingerprint") == F.lit(marks[k])
+        here = F.col("fingerprint").isin([m for m, (n, _) in zip(marks, examples) if n == k])
         name, turns = F.when(here, F.lit(k)).otherwise(name), F.when(here, F.expr(sql).cast(TURNS)).otherwise(turns)
     return out.withColumn("mapping", name).withColumn("turns", turns)
 
 
+def unmapped(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """fingerprint, layout, n_records: what no mapping knows."""
+    left = canonical(records, mappings).where("mapping IS NULL")
+    return left.groupBy("fingerprint").agg(F.min(F.schema_of_variant("record")).alias("layout"), F.count(F.lit(1)).alias("n_records"))
+
+
 def _quoted(s: str) -> str:
     return "".join("\\" + c if c in "\\|[]<>/()" else c for c in s)
 
@@ -105,31 +133,33 @@ def _escaped_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
 
 
-def formatted(turns: Column) -> Column:
-    """struct(text, loss): the formatted conversation and its loss spans (first code point, code points, first byte,
-    bytes; from 0)."""
+def with_format(df: DataFrame) -> DataFrame:
+    """Adds `formatted` to rows with `turns`, a struct(text, loss): the formatted conversation and its loss spans (first
+    code point, code points, first byte, bytes; from 0). Each step is a column, so that none is computed twice."""
+    marked, sized, blocks, begin = fresh(df, "marked", "sized", "blocks", "begin")
     head = lambda t: F.concat(F.lit(START), _escaped_role(t["role"]), F.lit("\n"))
-    marked = F.transform(turns, lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
-    text = F.array_join(F.transform(marked, lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), "")
-    sized = F.transform(
-        marked,
-        lambda m: F.struct(
-            F.char_length(m["head"]).cast("long").alias("hc"), F.octet_length(m["head"]).cast("long").alias("hb"),
-            F.char_length(m["body"]).cast("long").alias("bc"), F.octet_length(m["body"]).cast("long").alias("bb"), m["loss"].alias("loss"),
-        ),
-    )
-    tail = len(END) + 1
+    tail, long = len(END) + 1, lambda x: x.cast("long")
     span = "struct<at:bigint,n:bigint,at_byte:bigint,n_bytes:bigint>"
     zero = F.expr(f"named_struct('c', 0L, 'b', 0L, 'spans', CAST(array() AS array<{span}>))")
-    spans = F.aggregate(
-        sized, zero,
-        lambda acc, m: F.struct(
-            (acc["c"] + m["hc"] + m["bc"] + tail).alias("c"), (acc["b"] + m["hb"] + m["bb"] + tail).alias("b"),
-            F.when(m["loss"], F.concat(acc["spans"], F.array(F.struct((acc["c"] + m["hc"]).alias("at"), m["bc"].alias("n"), (acc["b"] + m["hb"]).alias("at_byte"), m["bb"].alias("n_bytes"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.struct(text.alias("text"), spans.alias("loss"))
+
+    def add(acc: Column, m: Column) -> Column:
+        one = F.array(F.struct((acc["c"] + m["hc"]).alias("at"), m["bc"].alias("n"), (acc["b"] + m["hb"]).alias("at_byte"), m["bb"].alias("n_bytes")))
+        return F.struct((acc["c"] + m["hc"] + m["bc"] + tail).alias("c"), (acc["b"] + m["hb"] + m["bb"] + tail).alias("b"), F.when(m["loss"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+    df = df.withColumn(marked, F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss"))))
+    df = df.withColumn(sized, F.transform(marked, lambda m: F.struct(
+        long(F.char_length(m["head"])).alias("hc"), long(F.octet_length(m["head"])).alias("hb"), long(F.char_length(m["body"])).alias("bc"), long(F.octet_length(m["body"])).alias("bb"), m["loss"].alias("loss"))))
+    # spans within blocks of turns, then where each block begins
+    starts = F.when(F.size(sized) > 0, F.sequence(F.lit(1), F.greatest(F.size(sized), F.lit(1)), F.lit(BLOCK))).when(F.size(sized) == 0, F.array().cast("array<int>"))
+    df = df.withColumn(blocks, F.transform(starts, lambda i: F.aggregate(F.slice(sized, i, F.lit(BLOCK)), zero, add)))
+    df = df.withColumn(begin, F.aggregate(
+        blocks, F.expr("named_struct('c', 0L, 'b', 0L, 'at', CAST(array() AS array<struct<c:bigint,b:bigint>>))"),
+        lambda acc, k: F.struct((acc["c"] + k["c"]).alias("c"), (acc["b"] + k["b"]).alias("b"), F.concat(acc["at"], F.array(F.struct(acc["c"].alias("c"), acc["b"].alias("b")))).alias("at")),
+        lambda acc: acc["at"],
+    ))
+    moved = F.zip_with(blocks, begin, lambda k, to: F.transform(k["spans"], lambda x: F.struct((x["at"] + to["c"]).alias("at"), x["n"].alias("n"), (x["at_byte"] + to["b"]).alias("at_byte"), x["n_bytes"].alias("n_bytes"))))
+    text = F.array_join(F.transform(marked, lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), "")
+    return df.withColumn("formatted", F.struct(text.alias("text"), F.flatten(moved).alias("loss"))).drop(marked, sized, blocks, begin)
 
 
 def read_turns(text: Column) -> Column:
@@ -147,9 +177,10 @@ def read_turns(text: Column) -> Column:
 
 def under_mask(text: Column, loss: Column) -> Column:
     """The unescaped text under the loss mask, nothing between the spans."""
-    raw = F.encode(text, "UTF-8")
-    cut = lambda s: F.decode(F.substring(raw, (s["at_byte"] + 1).cast("int"), s["n_bytes"].cast("int")), "UTF-8")
-    return F.array_join(F.transform(loss, lambda s: unescape(cut(s))), "")
+    # the bytes reach the lambda as an element, repeated by reference: an outer expression would be computed for each span
+    raw = F.array_repeat(F.encode(text, "UTF-8"), F.size(loss))
+    cut = lambda s, r: F.decode(F.substring(r, (s["at_byte"] + 1).cast("int"), s["n_bytes"].cast("int")), "UTF-8")
+    return F.array_join(F.zip_with(loss, raw, lambda s, r: unescape(cut(s, r))), "")
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -164,25 +195,39 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as records (conv_id, record) in the layouts that their shapes are shipped in:
-    a lone user and assistant pair as prompt and completion, with a leading system text as system_prompt, and all
-    others as messages."""
+    """Rows (conv_id, turn, role, text) as records (conv_id, record) in the layouts that their shapes are shipped in: a
+    lone user and assistant pair as one of three pair layouts, with a leading system text as system_prompt; of the others
+    those with user and assistant turns only as dialog, if they alternate, or sharegpt, and the rest as messages, parts or
+    chat. Where several fit, conv_id chooses."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_t"))
-    roles = F.transform("_t", lambda t: t["role"])
+    convs = convs.withColumn("_roles", F.transform("_t", lambda t: t["role"])).withColumn("_k", F.coalesce(F.pmod(F.hash("conv_id"), F.lit(3)), F.lit(0)))
     at = lambda i: F.element_at("_t", i)["content"]
     obj = lambda *cols: F.to_variant_object(F.struct(*cols))
+    each = lambda *fields: F.transform("_t", lambda t: F.struct(*[f(t) for f in fields]))
+    role, text = (lambda name: lambda t: t["role"].alias(name)), (lambda name: lambda t: t["content"].alias(name))
+    known = F.size(F.array_except("_roles", F.array(F.lit("user"), F.lit("assistant")))) == 0
+    alternating = F.forall(F.transform("_roles", lambda r, i: r == F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant"))), lambda x: x)
+    pair, k = F.col("_roles") == F.array(F.lit("user"), F.lit("assistant")), F.col("_k")
+    named = lambda t: F.when(t["role"] == "user", F.lit("human")).otherwise(F.lit("gpt")).alias("from")
+    parts = lambda t: F.array(F.struct(F.lit("text").alias("type"), t["content"].alias("text"))).alias("content")
     record = (
-        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), obj(at(1).alias("prompt"), at(2).alias("completion")))
-        .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), obj(at(1).alias("system"), at(2).alias("prompt"), at(3).alias("completion")))
-        .otherwise(obj(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")))
+        F.when(pair & (k == 0), obj(at(1).alias("prompt"), at(2).alias("completion")))
+        .when(pair & (k == 1), obj(at(1).alias("instruction"), F.lit("").alias("input"), at(2).alias("output")))
+        .when(pair, obj(at(1).alias("question"), at(2).alias("answer")))
+        .when(F.col("_roles") == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), obj(at(1).alias("system"), at(2).alias("prompt"), at(3).alias("completion")))
+        .when(known & alternating & (k == 0), obj(F.transform("_t", lambda t: t["content"]).alias("dialog")))
+        .when(known & (k == 1), obj(each(named, text("value")).alias("conversations")))
+        .when(k == 0, obj(each(role("role"), text("content")).alias("messages")))
+        .when(k == 1, obj(each(role("role"), parts).alias("messages")))
+        .otherwise(obj(each(role("role"), text("text")).alias("chat")))
     )
     return convs.select("conv_id", record.alias("record"))
 
 
 def format_records(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """records: any columns and `record`. Adds fingerprint, mapping, turns and formatted (text, loss)."""
-    return canonical(records, mappings).withColumn("formatted", formatted(F.col("turns")))
+    return with_format(canonical(records, mappings))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -53,6 +54,14 @@ def test_no_control_string_is_left_in_a_body(spark):
     ('{"instruction":"a","input":"","output":"c"}', "instruction", [("user", "a"), ("assistant", "c")]),
     ('{"instruction":"a","input":"b","output":"c"}', "instruction", [("user", "a\n\nb"), ("assistant", "c")]),
     ('{"messages":[]}', "empty_messages", []),
+    ('{"id":3,"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b","name":null}]}', "messages", [("user", "a"), ("assistant", "b")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', "parts", [("user", "ab")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"a","image_url":null},{"type":"image","text":null,"image_url":"u"}]}]}', "parts", [("user", "a")]),
+    ('{"system":"s","conversations":[{"from":"human","value":"a"}]}', "sharegpt_system", [("system", "s"), ("user", "a")]),
+    ('{"turns":[{"speaker":"gpt","utterance":"a"}]}', "turns", [("assistant", "a")]), ('{"dialog":["a","b","c"]}', "dialog", [("user", "a"), ("assistant", "b"), ("user", "c")]),
+    ('{"prompt":"a","chosen":"b","rejected":"c"}', "preference", [("user", "a"), ("assistant", "b")]), ('{"question":"a","answer":"b","id":1}', "question", [("user", "a"), ("assistant", "b")]),
+    ('{"instruction":"a","output":"c"}', "instruction", [("user", "a"), ("assistant", "c")]), ('{"system":"s","prompt":"a","completion":"b"}', "system_prompt", [("system", "s"), ("user", "a"), ("assistant", "b")]),
+    ('{"prompt":"a","response":"b"}', "response", [("user", "a"), ("assistant", "b")]),
     ('{"unknown":1}', None, None),
     ("not json", None, None),
 ])
@@ -73,3 +82,33 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, 1, "b", "2")], "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.format_records(chat.conversations(df)).select("conv_id", "formatted"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_conversations_are_linear(spark):
+    """Offsets across blocks are right, and four times the turns take no sixteen times as long."""
+    took = {}
+    for n in (2000, 8000, 32_000):
+        turns = [(("user", "assistant", "assistant")[k % 3], f"é{k}<s>") for k in range(n)]
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "element_at(array('user', 'assistant', 'assistant'), int(id % 3) + 1) role", "concat('é', id, '<s>') text").repartition(1).cache()
+        rows.count()
+        began = time.time()
+        check(chat.digest(chat.format_records(chat.conversations(rows)).select("conv_id", "formatted")).first(), turns)
+        took[n] = time.time() - began
+    assert took[32_000] < 8 * took[8000] + 1
+
+
+def test_every_layout_is_used_and_the_rest_is_counted(spark):
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["assistant", "user"], ["tool", "user"]]
+    rows = [(10 * i + k, j, r, f"text {j}") for i in range(12) for k, shape in enumerate(shapes) for j, r in enumerate(shape)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["mapping"] for r in chat.format_records(chat.conversations(df)).collect()}
+    assert got == {"prompt", "instruction", "question", "system_prompt", "dialog", "sharegpt", "messages", "parts", "chat"}
+    records = spark.createDataFrame([('{"a":1}',), ('{"a":2}',), ('{"prompt":"x","completion":"y"}',), ('{"b":[1]}',)], "j string").select(F.try_parse_json("j").alias("record"))
+    assert sorted((r["layout"], r["n_records"]) for r in chat.unmapped(records).collect()) == [("OBJECT<a: BIGINT>", 2), ("OBJECT<b: ARRAY<BIGINT>>", 1)]
+
+
+def test_rows_without_a_conversation_id_are_one(spark):
+    df = spark.createDataFrame([(None, 2, "assistant", "b"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.format_records(chat.conversations(df)).select("conv_id", "formatted")).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(None, 2)]
+    check(got[0], [("user", "a"), ("assistant", "b")])
