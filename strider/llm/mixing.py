@@ -6,13 +6,13 @@ whole repetitions of a source take every document; the fractional repetition tak
 seed and doc_id) until the target is met, the last of them in part. So every source meets its target to the word, and
 reruns agree whatever the partitioning.
 
-Scale: one scan; the rows shuffled hold id, size and an ordering key only. A source may hold any share of the rows: the
+Scale: texts are scanned once, for sizes, which are written; the rows shuffled hold id, size and an ordering key only. A source may hold any share of the rows: the
 seeded order is cut into 4096 slices by the key's first hex digits, slice sums are added up first (partial aggregation),
 and the running sum inside a slice starts from the sum of the slices before it. Only the table of sources (one row each)
 passes through one task.
 
-Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own and comes last; rows with
-equal doc_id keep their own size and are ordered by (key, size); an empty table gives an empty result; further columns
+Defined cases: null or empty text has size 0 and takes 0; a text of any length counts in full; a null source is a source of its own and comes last; rows with
+equal doc_id keep their own size and are ordered by (key, size), inside one slice; an empty table gives an empty result; further columns
 are ignored by `mix` callers that select what they need.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import WORD_RE, table
+from strider.storage import shared_dir, written
 
 WEIGHTS, BUDGET, MAX_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
 
@@ -60,6 +61,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: f
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sized.select("doc_id", "source", F.col("size").cast("long").alias("size"), key.alias("_key")).withColumn("_slice", F.substring("_key", 1, 3))
     rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))  # null-safe join key
+    rows = written(rows, f"{shared_dir(sized.sparkSession)}/sized")  # texts are read once; what follows reads sizes
     slices = rows.groupBy("_source", "_slice").agg(F.sum("size").alias("_in_slice"), F.first("source").alias("source"))
     sums = slices.groupBy("_source").agg(F.sum("_in_slice").alias("source_size"), F.first("source").alias("source"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
