@@ -15,10 +15,10 @@ Equal texts are found first, by digest: of each text only the first document tak
 Scale: what is shuffled is anchors (8-byte hash and text key), texts by doc_id twice (to meet their shared anchors, and
 their spans at the end), distinct contexts by anchor, and places by context. A task merges equal anchors, and equal
 contexts with their places, of up to MERGE entries before they are shuffled, so a passage that a third of all documents
-share arrives as one row for each MERGE entries and not for each document. Refinement sees contexts without their places:
-a worker holds the distinct contexts of one anchor, at most HOT bytes. Anchors with more (a common line with different
-text before and after it in every document) are split: their strings are grouped one by one, as final buckets, with
-partial aggregation and a join that adaptive execution splits. Results go back to the places by a join on the context.
+share arrives as one row for each MERGE entries and not for each document. A row takes up to INLINE places along to refinement; what is lost at the
+places of longer rows follows from a join on the context. A worker holds the rows of one anchor, at most HOT bytes.
+Anchors with more (a common line with different text before and after it in every document) are split: their strings are
+grouped one by one, as final buckets, with partial aggregation and a join that adaptive execution splits.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a string repeated inside one document is no
 match; rows that share a doc_id do not match each other and are cut by their own text; a null doc_id neither loses nor
@@ -43,8 +43,8 @@ from strider.storage import shared_dir, written
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
 RUN, MERGE, SLICE, CHUNK = 64, 400_000, 1 << 20, 1 << 20
-#: Bytes of distinct contexts from which an anchor's are split.
-HOT = 1 << 18
+#: Bytes of contexts and places from which an anchor's are split; places that a row of contexts takes along.
+HOT, INLINE = 1 << 18, 64
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.int64(32)
@@ -215,14 +215,14 @@ def shared_contexts(joined: DataFrame) -> DataFrame:
                 for o, a, s, z in zip(owner[hit].tolist(), h[hit].view(np.int64).tolist(), start[hit].tolist(), size[hit].tolist()):
                     held.setdefault((a, data[s : s + z]), []).extend((ids[o], marks[o] | (s - starts[o])))
                 n += int(hit.sum())
-                if n >= MERGE // 4:
+                if n >= MERGE // 8:
                     yield from flush()
                     held.clear()
                     n = 0
         yield from flush()
 
     found = joined.select("doc_id", "text", "anchors").mapInArrow(run, CONTEXTS)
-    return found.select("anchor", F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2"), F.octet_length("context").alias("size"), "context", "low", "high", "places")
+    return found.select("anchor", F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2"), F.octet_length("context").alias("size"), "context", "low", "high", (F.size("places") / 2).cast("int").alias("n"), "places")
 
 
 def refine(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +279,43 @@ def _gathered(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple
     return raw[np.repeat(offsets[:-1][chosen] - to[:-1], size) + np.arange(to[-1])], to
 
 
-def _distinct(rows: pa.Table) -> pa.RecordBatch:
-    """RESULTS of all contexts of some anchors; rows stand sorted by KEY."""
+#: What is lost: at places that came along (doc_id, place, size), or of a distinct context (KEY): all of it in documents
+#: other than `low`, and in `low` the runs.
+LOST = "doc_id long, place long, size int, anchor long, k1 long, k2 long, low long, run_at array<int>, run_size array<int>"
+_RUNS = pa.list_(pa.int32())
+_LOST = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), *((c, pa.int64()) for c in (*KEY, "low")), ("run_at", _RUNS), ("run_size", _RUNS)])
+
+
+def _lists(x: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32)))
+
+
+def _at_places(flat: np.ndarray, row: np.ndarray, low: np.ndarray, size: np.ndarray, runs: np.ndarray, run_at: np.ndarray, run_size: np.ndarray) -> pa.RecordBatch:
+    """LOST at places (flat: document, place, ...) of contexts `row`; runs: where each context's runs begin (n + 1)."""
+    doc, place = flat[::2], flat[1::2]
+    whole = doc > low[row]  # the same context stands in a smaller document
+    out = [(doc[whole], place[whole], size[row[whole]])]
+    rest = np.flatnonzero(~whole)
+    times = np.diff(runs)[row[rest]]
+    if times.sum():
+        which = _spread(runs[row[rest]], times)
+        rest = np.repeat(rest, times)
+        out.append((doc[rest], place[rest] + run_at[which], run_size[which]))
+    cols = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), (np.int64, np.int64, np.int32))]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(cols[0]), t) for t in _LOST.types[3:])], schema=_LOST)
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... (count of them) for every entry."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _lost(rows: pa.Table):
+    """LOST of all contexts of some anchors; rows stand sorted by KEY."""
     key = [rows.column(c).to_numpy() for c in KEY]
     first = np.ones(len(rows), bool)
     first[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-    starts = np.flatnonzero(first)  # tasks may have sent equal contexts separately
+    starts, context = np.flatnonzero(first), np.cumsum(first) - 1  # tasks may have sent equal contexts separately
     low, high = np.minimum.reduceat(rows.column("low").to_numpy(), starts), np.maximum.reduceat(rows.column("high").to_numpy(), starts)
     raw, offsets = _gathered(*byte_view(rows.column("context")), starts)
     # what contexts of smaller documents cover, in maximal runs of strings
@@ -293,27 +324,28 @@ def _distinct(rows: pa.Table) -> pa.RecordBatch:
     owner = np.searchsorted(part[1], at, "right") - 1
     keeper = np.full(int(bucket.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(keeper, bucket, low[chosen[owner]])
-    lost = keeper[bucket] < low[chosen[owner]]
-    mine, s = owner[lost], at[lost]
+    gone = keeper[bucket] < low[chosen[owner]]
+    mine, s = owner[gone], at[gone]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1] + 1) | (mine[1:] != mine[:-1])
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(s))[: len(a)] - 1
     run_of, run_at, run_size = chosen[mine[a]], s[a] - part[1][mine[a]], s[b] - s[a] + LENGTH
-    wanted = np.flatnonzero((high > low) | np.isin(np.arange(len(low)), run_of))
-    lists = np.searchsorted(run_of, np.append(wanted, len(low))).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array(k[starts][wanted]) for k in key), pa.array(low[wanted]), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x.astype(np.int32))) for x in (run_at, run_size))],
-        [*KEY, "low", "run_at", "run_size"],
-    )
-
-
-#: What is lost of a distinct context: all of it in documents other than `low`, and in `low` the runs.
-RESULTS = "anchor long, k1 long, k2 long, low long, run_at array<int>, run_size array<int>"
+    runs = np.searchsorted(run_of, np.arange(len(low) + 1))
+    places = rows.column("places").combine_chunks()
+    came = np.diff(places.offsets.to_numpy()) // 2
+    yield _at_places(places.flatten().to_numpy(), np.repeat(context, came), low, np.diff(offsets), runs, run_at, run_size)
+    left = np.zeros(len(low), bool)
+    left[context[~places.is_valid().to_numpy(zero_copy_only=False)]] = True  # has places elsewhere
+    wanted = np.flatnonzero(left & ((high > low) | (np.diff(runs) > 0)))
+    if len(wanted):
+        count = np.diff(runs)[wanted]
+        which, lists = _spread(runs[wanted], count), np.concatenate(([0], np.cumsum(count)))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(wanted), t) for t in _LOST.types[:3]), *(pa.array(k[starts][wanted]) for k in key), pa.array(low[wanted]), _lists(run_at[which], lists), _lists(run_size[which], lists)], schema=_LOST)
 
 
 def refined(found: DataFrame) -> DataFrame:
-    """RESULTS from contexts that stand sorted by KEY in their partitions, all of an anchor in one."""
+    """LOST from contexts that stand sorted by KEY in their partitions, all of an anchor in one."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -324,22 +356,22 @@ def refined(found: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(a, a[-1])) if len(a) else 0
             if size >= CHUNK or batch.nbytes >= CHUNK:
                 if held and cut == 0 and held[-1].column(0)[-1].as_py() != a[-1]:
-                    yield _distinct(pa.Table.from_batches(held))
+                    yield from _lost(pa.Table.from_batches(held))
                     held, size = [], 0
                 elif cut:
-                    yield _distinct(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    yield from _lost(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                     held, size, batch = [], 0, batch.slice(cut)
             if len(batch):
                 held.append(batch)
                 size += batch.nbytes
         if held:
-            yield _distinct(pa.Table.from_batches(held))
+            yield from _lost(pa.Table.from_batches(held))
 
-    return found.select(*KEY, "context", "low", "high").mapInArrow(run, RESULTS)
+    return found.select(*KEY, "context", "low", "high", F.when(F.col("n") <= INLINE, F.col("places")).alias("places")).mapInArrow(run, LOST)
 
 
 def split_up(found: DataFrame, path: str) -> DataFrame:
-    """RESULTS of contexts of anchors that are too many for one task: every string is a group of its own."""
+    """LOST, by KEY, of contexts of anchors that are too many for one task: every string is a group of its own."""
     one = written(found.groupBy(*KEY).agg(F.first("context").alias("context"), F.min("low").alias("low"), F.max("high").alias("high")), f"{path}/hot")
 
     def run(batches):
@@ -362,28 +394,15 @@ def split_up(found: DataFrame, path: str) -> DataFrame:
 
 
 def covered(places: DataFrame, results: DataFrame) -> DataFrame:
-    """doc_id, place, size of what is covered. places: KEY, size, places of occurring contexts."""
+    """doc_id, place, size of what is lost. places: KEY, size, places of contexts; results: LOST by KEY."""
 
     def run(batches):
         for batch in batches:
-            size, low = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            flat, lists = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            lists, runs = batch.column(1).offsets.to_numpy(), batch.column(3).offsets.to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(batch)), np.diff(lists) // 2)
-            doc, place = flat[::2], flat[1::2]
-            whole = doc > low[row]
-            out = [(doc[whole], place[whole], size[row[whole]])]
-            runs = batch.column(3).offsets.to_numpy().astype(np.int64)
-            runs -= runs[0] if len(runs) else 0
-            rest = np.flatnonzero(~whole)
-            times = np.diff(runs)[row[rest]]
-            if times.sum():
-                at, n = (batch.column(k).flatten().to_numpy() for k in (3, 4))
-                which = np.repeat(runs[row[rest]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                rest = np.repeat(rest, times)
-                out.append((doc[rest], place[rest] + at[which], n[which]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), (np.int64, np.int64, np.int32))], ["doc_id", "place", "size"])
-
-    return places.select(*KEY, "size", "places").join(results, KEY).select("size", "places", "low", "run_at", "run_size").mapInArrow(run, "doc_id long, place long, size int")
+            yield _at_places(batch.column(1).flatten().to_numpy(), row, batch.column(2).to_numpy(), batch.column(0).to_numpy(), runs - runs[0], *(batch.column(k).flatten().to_numpy() for k in (3, 4))).select(["doc_id", "place", "size"])
+
+    return places.select(*KEY, "size", "places").join(results.select(*KEY, "low", "run_at", "run_size"), KEY).select("size", "places", "low", "run_at", "run_size").mapInArrow(run, "doc_id long, place long, size int")
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -399,13 +418,14 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     copies = marked.join(firsts.select("md5", F.col("doc_id").alias("_first")), "md5").where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("md5").alias(copied))
     shared = written(shared_anchors(texts, firsts.select("text_key", "doc_id")), f"{out}/anchors")
     found = written(shared_contexts(texts.join(shared, "doc_id")), f"{out}/contexts")
-    hot = found.select(*KEY, "size").distinct().groupBy("anchor").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > HOT).select("anchor")
+    hot = found.groupBy("anchor").agg(F.sum(F.col("size") + 16 * F.least("n", F.lit(INLINE))).alias("_bytes")).where(F.col("_bytes") > HOT).select("anchor")
     hot = written(hot, f"{out}/hot_anchors")
-    results = refined(found.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions(*KEY))
+    lost = written(refined(found.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions(*KEY)), f"{out}/lost")
+    spans = lost.where("doc_id IS NOT NULL").select("doc_id", "place", "size").unionByName(covered(found.where(F.col("n") > INLINE), lost.where("anchor IS NOT NULL")))
     if not hot.isEmpty():
-        results = results.unionByName(split_up(found.join(hot, "anchor", "left_semi"), out))
-    results = written(results, f"{out}/results")
-    by_doc = covered(found, results).groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias(named))
+        split = found.join(hot, "anchor", "left_semi")
+        spans = spans.unionByName(covered(split, written(split_up(split, out), f"{out}/split")))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias(named))
     return docs.join(by_doc.join(copies, "doc_id", "full"), "doc_id", "left"), named, copied
 
 
