@@ -16,8 +16,8 @@ Scale: what is shuffled is anchors (8-byte hash and text key), texts by doc_id t
 their spans at the end), distinct contexts by anchor, and places by context. A task merges equal anchors, and equal
 contexts with their places, of up to MERGE entries before they are shuffled, so a passage that a third of all documents
 share arrives as one row for each MERGE entries and not for each document. A row takes up to INLINE places along to refinement; what is lost at the
-places of longer rows follows from a join on the context. A worker holds the rows of one anchor, at most HOT bytes.
-Anchors with more (a common line with different text before and after it in every document) are split: their strings are
+places of longer rows follows from a join on the context. A worker holds the rows of one anchor, at most HOT_MOST bytes.
+Anchors with more, or with more than a task's share of all (a common line with different text before and after it in every document) are split: their strings are
 grouped one by one, as final buckets, with partial aggregation and a join that adaptive execution splits.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a string repeated inside one document is no
@@ -38,13 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import bounded_batches, byte_view, fresh, integer_ids, mix64, quoted, slices, table
-from strider.storage import shared_dir, written
+from strider.storage import observed, shared_dir, written
 
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
 RUN, MERGE, SLICE, CHUNK = 64, 400_000, 1 << 20, 1 << 20
-#: Bytes of contexts and places from which an anchor's are split; places that a row of contexts takes along.
-HOT, INLINE = 1 << 18, 64
+#: An anchor's contexts are split from this share of all bytes of contexts and places, which a task should not exceed, but
+#: not below the first nor above the second number of bytes, which a worker can refine at once.
+SHARE, HOT_LEAST, HOT_MOST = 2000, 1 << 16, 1 << 22
+#: Places that a row of contexts takes along.
+INLINE = 64
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.int64(32)
@@ -417,8 +420,10 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     named, copied = fresh(docs, "spans", "copies")
     copies = marked.join(firsts.select("md5", F.col("doc_id").alias("_first")), "md5").where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("md5").alias(copied))
     shared = written(shared_anchors(texts, firsts.select("text_key", "doc_id")), f"{out}/anchors")
-    found = written(shared_contexts(texts.join(shared, "doc_id")), f"{out}/contexts")
-    hot = found.groupBy("anchor").agg(F.sum(F.col("size") + 16 * F.least("n", F.lit(INLINE))).alias("_bytes")).where(F.col("_bytes") > HOT).select("anchor")
+    size = F.col("size") + 16 * F.least("n", F.lit(INLINE))
+    found, seen = observed(shared_contexts(texts.join(shared, "doc_id")), f"{out}/contexts", bytes=F.coalesce(F.sum(size), F.lit(0)))
+    limit = max(HOT_LEAST, min(HOT_MOST, seen["bytes"] // SHARE))
+    hot = found.groupBy("anchor").agg(F.sum(size).alias("_bytes")).where(F.col("_bytes") > limit).select("anchor")
     hot = written(hot, f"{out}/hot_anchors")
     lost = written(refined(found.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions(*KEY)), f"{out}/lost")
     spans = lost.where("doc_id IS NOT NULL").select("doc_id", "place", "size").unionByName(covered(found.where(F.col("n") > INLINE), lost.where("anchor IS NOT NULL")))

@@ -40,7 +40,7 @@ def digests(df):
 @pytest.mark.parametrize("seed,chunk,merge,hot", [(3, 4 << 20, 400_000, 1 << 18), (4, 2000, 50, 1 << 18), (5, 2000, 50, 500), (6, 1 << 20, 400_000, 0)])
 def test_against_brute_force(documents, monkeypatch, seed, chunk, merge, hot):
     """With anchors refined as a whole, in part, and all split up; with places that come along and some that do not."""
-    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "HOT_LEAST", hot)
     monkeypatch.setattr(substrings, "INLINE", {3: 64, 4: 1, 5: 0, 6: 2}[seed])
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     monkeypatch.setattr(substrings, "MERGE", merge)
@@ -78,7 +78,7 @@ def test_a_common_line_is_split(documents, monkeypatch):
     line = "a line that every document has, between other texts of its own. "
     rows = [(i, noise() + line + noise()) for i in range(300)]
     want = brute(rows)
-    monkeypatch.setattr(substrings, "HOT", 2000)
+    monkeypatch.setattr(substrings, "HOT_LEAST", 2000)
     assert digests(documents(rows)) == want
 
 
