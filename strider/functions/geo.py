@@ -101,6 +101,16 @@ def bbox(points: Column) -> Column:
     return F.struct(side(F.array_min, 0).alias("min_x"), side(F.array_min, 1).alias("min_y"), side(F.array_max, 0).alias("max_x"), side(F.array_max, 1).alias("max_y"))
 
 
+def mean_of(x: Column, y: Column) -> Column:
+    """A13 as an aggregate, of points that are rows."""
+    return F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"))
+
+
+def bbox_of(x: Column, y: Column) -> Column:
+    """A14 as an aggregate, of points that are rows."""
+    return F.struct(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
+
+
 def wedge(lat: Column, lon: Column, orientation: Column, view_dist: float, cone_angle: float) -> Column:
     """viewing wedge as (lat, lon) vertices: centre, arc every five degrees, centre."""
     n = int(2 * cone_angle // 5)

@@ -18,18 +18,19 @@ ELEVATOR_M, ESCALATOR_M, VERTICAL_WEIGHT = 15.0, 20.0, 15.0
 SPECIAL = ("mall_entrance", "shop_entry", "escalator", "elevator")
 
 
-def lattice(min_x, min_y, max_x, max_y, lon_step: float = LON_STEP, lat_step: float = LAT_STEP):
-    """column of lattice points (i, j, x, y) over a box, ends included, computed as min + i * step."""
-    axis = lambda lo, hi, step: F.transform(F.sequence(F.lit(0), F.floor((hi - lo) / F.lit(step)).cast("int")), lambda i: F.struct(i.alias("k"), (lo + i * F.lit(step)).alias("v")))
-    xs, ys = axis(min_x, max_x, lon_step), axis(min_y, max_y, lat_step)
-    return F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), a["v"].alias("x"), b["v"].alias("y")))))
+def lattice(boxes: DataFrame, lon_step: float = LON_STEP, lat_step: float = LAT_STEP) -> DataFrame:
+    """rows with a box (min_x, min_y, max_x, max_y) as its lattice points: i, j, x, y, ends included, computed as
+    min + i * step. Columns and then rows are exploded, so no value holds a whole lattice."""
+    axis = lambda lo, hi, step: F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / F.lit(step)).cast("int"))
+    points = boxes.withColumn("i", F.explode(axis("min_x", "max_x", lon_step))).withColumn("j", F.explode(axis("min_y", "max_y", lat_step)))
+    return points.withColumn("x", F.col("min_x") + F.col("i") * F.lit(lon_step)).withColumn("y", F.col("min_y") + F.col("j") * F.lit(lat_step)).drop("min_x", "min_y", "max_x", "max_y")
 
 
 def corridor_nodes(classified: DataFrame, lon_step: float = LON_STEP, lat_step: float = LAT_STEP) -> DataFrame:
     """Lattice points inside corridor polygons, numbered in corridor, column, row order: grid_<n>."""
     corridors = classified.where(F.col("class") == "corridor").select("feature_ord", "name", "level", rings(F.col("geometry_type"), F.col("coordinates")).alias("rings"))
-    box = bbox(F.flatten("rings"))
-    points = corridors.where(F.size(F.flatten("rings")) > 0).withColumn("_b", box).select("feature_ord", "name", "level", "rings", F.inline(lattice(F.col("_b.min_x"), F.col("_b.min_y"), F.col("_b.max_x"), F.col("_b.max_y"), lon_step, lat_step)))
+    boxed = corridors.where(F.size(F.flatten("rings")) > 0).withColumn("_b", bbox(F.flatten("rings")))
+    points = lattice(boxed.select("feature_ord", "name", "level", "rings", "_b.*"), lon_step, lat_step)
     inside = points.where(point_in_polygon(F.col("x"), F.col("y"), F.col("rings"))).drop("rings")
     # numbers run on over corridors: a corridor's first number is the count of the nodes before it
     counts = inside.groupBy("feature_ord").agg(F.count(F.lit(1)).alias("_n"))
@@ -84,11 +85,40 @@ def corridor_edges(grid: DataFrame, segments: DataFrame) -> DataFrame:
     return links.select(F.concat(F.lit("grid_"), "a").alias("source"), F.concat(F.lit("grid_"), "b").alias("target"), F.col("dist").alias("weight"), "level", F.lit("corridor").alias("type"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int = NEAREST, group: str = "level", order: str = "grid_ord") -> DataFrame:
-    """For each point (id, x, y) its k nearest targets of its group, ranked by distance, then order."""
-    t = targets.select(group, F.col(order).alias("target_ord"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = points.select("id", group, F.col("x").alias("x1"), F.col("y").alias("y1")).join(t, group).withColumn("dist", distance_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("dist", "target_ord"))).where(F.col("rank") <= k)
+def nearest(points: DataFrame, targets: DataFrame, k: int = NEAREST, group: str = "level", order: str = "grid_ord", radius_m: float = MAX_LINK_M) -> DataFrame:
+    """For each point (id, x, y) its k nearest targets of its group, ranked by distance, then order.
+
+    Points meet the targets of the nine cells around them, so all within a cell's width are found; points that have k of
+    these are done, the others go on with cells four times as wide, until a cell covers everything."""
+    spark, out = points.sparkSession, shared_dir(points.sparkSession)
+    left = written(points.select("id", group, F.col("x").alias("x1"), F.col("y").alias("y1")), f"{out}/points")
+    t = written(targets.select(group, F.col(order).alias("target_ord"), F.col("x").alias("x2"), F.col("y").alias("y2")), f"{out}/targets")
+    ends = left.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(t.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    box = ends.agg(((F.max("x") - F.min("x")) * LON_DEG_TO_M).alias("w"), ((F.max("y") - F.min("y")) * LAT_DEG_TO_M).alias("h")).first()
+    span = (box["w"] or 0.0) + (box["h"] or 0.0)
+    dist = distance_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    found = []
+    while True:
+        cell = lambda c, m: F.floor(F.col(c) * F.lit(m / radius_m))  # noqa: E731,B023
+        around = F.array(*[F.struct((cell("x2", LON_DEG_TO_M) + dx).alias("cx"), (cell("y2", LAT_DEG_TO_M) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        near = left.withColumn("cx", cell("x1", LON_DEG_TO_M)).withColumn("cy", cell("y1", LAT_DEG_TO_M)).join(t.select("*", F.inline(around)), [group, "cx", "cy"]).drop("cx", "cy").withColumn("dist", dist)
+        last = radius_m > span
+        near = near if last else near.where(F.col("dist") <= radius_m)
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("dist", "target_ord"))).where(F.col("rank") <= k)
+        near = written(near, f"{out}/near/{len(found)}")
+        if last:
+            found.append(near)
+            break
+        done = near.where(F.col("rank") == k).select("id")
+        found.append(near.join(done, "id", "left_semi"))
+        left = written(left.join(done, "id", "left_anti"), f"{out}/left/{len(found)}")
+        if left.isEmpty():
+            break
+        radius_m *= 4
+    ranked = found[0]
+    for more in found[1:]:
+        ranked = ranked.unionByName(more)
+    return ranked
 
 
 def first_usable(ranked: DataFrame, clear: DataFrame, short_m: float = SHORT_LINK_M) -> DataFrame:

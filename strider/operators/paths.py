@@ -64,6 +64,14 @@ class Graph:
         return out[::-1]
 
 
+def bounded(df: DataFrame, most: int, what: str) -> pa.Table:
+    """The rows of a table that must be small; refuses a larger one."""
+    rows = df.limit(most + 1).toArrow()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def collected(edges: DataFrame) -> tuple:
     """The directed edges (src, dst, weight, pos) as sorted ids and arrays, for broadcasting; the size is checked."""
     rows = edges.orderBy("src", "pos", "dst").limit(BROADCAST_EDGES + 1).toArrow()
@@ -104,7 +112,7 @@ def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 def paths(sources: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """source, target, dist, path (node ids, both ends included), for all or the given targets."""
-    wanted = None if targets is None else {r["id"] for r in targets.select("id").distinct().limit(BROADCAST_EDGES).collect()}
+    wanted = None if targets is None else set(bounded(targets.select("id").distinct(), BROADCAST_EDGES, "targets").column("id").to_pylist())
 
     def rows(graph, source, dist, prev, at):
         hit = [i for i in np.flatnonzero(np.isfinite(dist)).tolist() if wanted is None or graph.ids[i] in wanted]

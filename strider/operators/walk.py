@@ -21,6 +21,8 @@ from strider.operators.trips import escalator_zone, gravity_table
 
 #: Bytes of walk tables that may be broadcast.
 WORLD_BYTES = 1 << 30
+#: Bytes of one view of an edge in them.
+VIEW_BYTES = 48
 #: Trips walked at once.
 CHUNK = 4096
 LEGS = "trip long, person long, leg int, start string, target string, is_exit boolean"
@@ -55,7 +57,8 @@ class World:
 def world(nodes: DataFrame, directed: DataFrame, config: SimConfig, views: DataFrame | None = None, panels: DataFrame | None = None) -> World:
     """Collects the walk tables of a venue; refuses one that does not fit a broadcast."""
     ids, src, dst, _ = P.collected(directed)
-    rows = nodes.select("id", "level", "type", "name").dropDuplicates(["id"]).orderBy("id").limit(P.BROADCAST_EDGES).collect()
+    rows = nodes.select("id", "level", "type", "name").dropDuplicates(["id"]).orderBy("id")
+    rows = P.bounded(rows, P.BROADCAST_EDGES, "nodes").to_pylist()
     ids = sorted({*ids, *(r["id"] for r in rows)})
     number = {v: i for i, v in enumerate(ids)}
     decision = P.decision_nodes(nodes).select("id").distinct()
@@ -75,7 +78,8 @@ def world(nodes: DataFrame, directed: DataFrame, config: SimConfig, views: DataF
     for r in rows:
         level[number[r["id"]]] = levels.setdefault(str(r["level"]), len(levels))
         kind[number[r["id"]]] = r["type"]
-    pairs = directed.groupBy("src", "dst").agg(F.min("pos").alias("pos")).orderBy("src", "pos", "dst").limit(P.BROADCAST_EDGES).toArrow()
+    pairs = directed.groupBy("src", "dst").agg(F.min("pos").alias("pos")).orderBy("src", "pos", "dst")
+    pairs = P.bounded(pairs, P.BROADCAST_EDGES, "directed edges")
     a, b = index(pairs.column("src")), index(pairs.column("dst"))
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
@@ -100,7 +104,7 @@ def world(nodes: DataFrame, directed: DataFrame, config: SimConfig, views: DataF
         names = sorted(floors)
         p_level = np.array([levels.get(str(floors[p]), -2) for p in names])
         p_number = {p: i for i, p in enumerate(names)}
-        v = views.toArrow()
+        v = P.bounded(views, WORLD_BYTES // VIEW_BYTES, "views of edges")
         slot = {(x, y): x * width + k for x, y, k in zip(a.tolist(), b.tolist(), place.tolist())}
         key = np.array([slot[x, y] for x, y in zip(index(v.column("src")).tolist(), index(v.column("dst")).tolist())], np.int64)
         by = np.argsort(key, kind="stable")

@@ -14,7 +14,9 @@ from strider.operators import audience, graphbuild, graphqa, metrics, paths, top
 from strider.plans import derived as D
 from strider.plans import venue, weekly
 from strider.sources import geojson, panels as panel_files, sinks
+from strider.sources import graph as graph_files
 from strider.sources.graph import directed, valid_edges
+from strider.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -209,17 +211,19 @@ def panel_compare(spark, sf_dir):
 
 @query("sparse_vectors", _events("SELECT panel_id, 'sparse' AS format, coalesce(string_agg(CAST(person + 1 AS VARCHAR), ';' ORDER BY person) FILTER (contacts > 0), '') AS data FROM p LEFT JOIN x USING (panel_id) GROUP BY panel_id"))  # F23 F24 K4
 def sparse_vectors(spark, sf_dir):
-    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "sparse", 1)
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), D.event_pool(spark, sf_dir), "sparse", 1)
 
 
-@query("binary_vectors", _events("SELECT panel_id, 'binary' AS format, (SELECT string_agg(CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.panel_id = p.panel_id AND contacts > 0 AND person + 1 = i) THEN '1' ELSE '0' END, '' ORDER BY i) FROM range(1, 101) t(i)) AS data FROM p"))  # F21 F24
+@query("binary_vectors", _events("SELECT panel_id, 'binary' AS format, string_agg(CASE WHEN seen THEN '1' ELSE '0' END, '' ORDER BY i) AS data FROM (SELECT p.panel_id, i, coalesce(contacts > 0, false) AS seen FROM p CROSS JOIN (SELECT unnest(range(1, n + 1)) AS i FROM pool) t LEFT JOIN x ON x.panel_id = p.panel_id AND person + 1 = i) y GROUP BY panel_id"))  # F21 F24
 def binary_vectors(spark, sf_dir):
-    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "binary", 1)
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), D.event_pool(spark, sf_dir), "binary", 1)
 
 
-@query("base64_vectors", _events("""SELECT panel_id, 'base64' AS format, base64(unhex((SELECT string_agg(printf('%02x', CAST((SELECT coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.panel_id = p.panel_id AND contacts > 0 AND person + 1 = 8 * b + k + 1 AND person + 1 <= 100) THEN 1 << (7 - k) ELSE 0 END), 0) FROM range(8) u(k)) AS INT)), '' ORDER BY b) FROM range(13) t(b)))) AS data FROM p"""))  # F22 F24
+@query("base64_vectors", _events("""SELECT panel_id, 'base64' AS format, base64(unhex(string_agg(printf('%02x', bits), '' ORDER BY octet))) AS data FROM (
+  SELECT p.panel_id, (i - 1) // 8 AS octet, CAST(sum(CASE WHEN contacts > 0 THEN 1 << CAST(7 - (i - 1) % 8 AS INT) ELSE 0 END) AS INT) AS bits
+  FROM p CROSS JOIN (SELECT unnest(range(1, n + 1)) AS i FROM pool) t LEFT JOIN x ON x.panel_id = p.panel_id AND person + 1 = i GROUP BY ALL) y GROUP BY panel_id"""))  # F22 F24
 def base64_vectors(spark, sf_dir):
-    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), 100, "base64", 1)
+    return audience.vectors(D.event_exposures(spark, sf_dir), D.event_panels(spark, sf_dir), D.event_pool(spark, sf_dir), "base64", 1)
 
 
 @query("export_scores", _events(f"SELECT CAST({RANK_SQL} AS INT) AS rank, 'Panel ' || panel_id AS panel, 'L' || floor AS floor, unique_reach, contacts, printf('%.2f', round_even(unique_reach * 100.0::DOUBLE / (SELECT n FROM pool), 2)) AS efficiency FROM m"))  # K1 K3 P17 F11
@@ -318,31 +322,31 @@ _VIEW = D.view_sql("x", "y", "1.0", "0.5", CONFIG.view_dist, CONFIG.cos_cone)
 def _views(spark, sf_dir, candidates: str) -> DataFrame:
     points = D.points(spark, sf_dir).withColumn("x1", F.lit(0.0)).withColumn("y1", F.lit(0.0)).withColumn("x2", F.lit(1.0)).withColumn("y2", F.lit(0.5)).withColumnRenamed("level", "floor")
     config = SimConfig(candidates=candidates)
-    return visibility.with_hits(points, D.point_panels(spark, sf_dir), config).groupBy("panel_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("hit").alias("hits"))
+    return visibility.with_hits(points, D.event_panels(spark, sf_dir), config).groupBy("panel_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("hit").alias("hits"))
 
 
-@query("panel_view_floor", f"WITH {D.POINTS_SQL}, {D.PANELS_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level GROUP BY panel_id")  # J4 P5
+@query("panel_view_floor", f"WITH {D.POINTS_SQL}, {D.INVENTORY_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level GROUP BY panel_id")  # J4 P5
 def panel_view_floor(spark, sf_dir):
     return _views(spark, sf_dir, "floor")
 
 
-@query("panel_view_grid", f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level
+@query("panel_view_grid", f"""WITH {D.POINTS_SQL}, {D.INVENTORY_SQL} SELECT panel_id, count(*) AS candidates, count(*) FILTER ({_VIEW}) AS hits FROM pt JOIN pn ON floor = level
 AND abs(trunc(x * 88800.0 / 15.0) - trunc(px * 88800.0 / 15.0)) <= 1 AND abs(trunc(y * 111000.0 / 15.0) - trunc(py * 111000.0 / 15.0)) <= 1 GROUP BY panel_id""")  # J3 F9 D1 D2
 def panel_view_grid(spark, sf_dir):
     return _views(spark, sf_dir, "grid")
 
 
 def _walkers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Walkers over consecutive points: ten people, a hop from each point to the next of the same person."""
+    """Walkers over consecutive points: twenty for each person, a hop from each point to the next of the same person."""
     p = D.points(spark, sf_dir)
     nodes = p.select(F.col("grid_ord").cast("string").alias("id"), "x", "y", "level")
-    steps = p.select((F.col("grid_ord") % 10).alias("trip"), F.col("grid_ord").alias("pos"), F.col("grid_ord").cast("string").alias("node"))
+    steps = p.select(F.floor(F.col("grid_ord") / 20).alias("trip"), F.col("grid_ord").alias("pos"), F.col("grid_ord").cast("string").alias("node"))
     hops = paths.lead_hops(steps, ["trip"]).select("trip", F.col("trip").alias("person"), F.lit(0).alias("leg"), "pos", F.col("pos").cast("int").alias("hop"), "src", "dst")
     return nodes, hops
 
 
-_PASSAGES_SQL = f"""WITH {D.POINTS_SQL}, {D.PANELS_SQL},
-h AS (SELECT grid_ord % 10 AS trip, grid_ord AS hop, x AS x1, y AS y1, level, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord % 10 ORDER BY grid_ord)),
+_PASSAGES_SQL = f"""WITH {D.POINTS_SQL}, {D.INVENTORY_SQL},
+h AS (SELECT grid_ord // 20 AS trip, grid_ord AS hop, x AS x1, y AS y1, level, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord // 20 ORDER BY grid_ord)),
 n AS (SELECT *, greatest(1, CAST(floor({D.distance_sql('x1', 'y1', 'x2', 'y2')} / 2.0) AS INT)) AS n FROM h WHERE x2 IS NOT NULL),
 q AS (SELECT trip, hop, s, level, x1, y1, x2, y2, x1 + (s::DOUBLE / n) * (x2 - x1) AS x, y1 + (s::DOUBLE / n) * (y2 - y1) AS y FROM (SELECT *, unnest(range(0, n + 1)) AS s FROM n)),
 v AS (SELECT trip, panel_id, hop, s, {D.view_sql('x', 'y', 'x2 - x1', 'y2 - y1', CONFIG.view_dist, CONFIG.cos_cone)} AS hit FROM q JOIN pn ON floor = level),
@@ -353,17 +357,17 @@ SELECT trip, panel_id, CAST(sum(rise::INT) AS BIGINT) AS contacts FROM e GROUP B
 @query("passage_contacts", _PASSAGES_SQL)  # M6 M7 W3 W7 J11 F8: by edge summaries
 def passage_contacts(spark, sf_dir):
     nodes, hops = _walkers(spark, sf_dir)
-    views = visibility.edge_views(nodes, hops.select("src", "dst"), D.point_panels(spark, sf_dir), CONFIG)
+    views = visibility.edge_views(nodes, hops.select("src", "dst"), D.event_panels(spark, sf_dir), CONFIG)
     return visibility.passages(hops, views).select("trip", "panel_id", "contacts")
 
 
 @query("passage_contacts_by_sample", _PASSAGES_SQL)  # the same, sample by sample
 def passage_contacts_by_sample(spark, sf_dir):
     nodes, hops = _walkers(spark, sf_dir)
-    return visibility.passages_by_sample(hops, nodes, D.point_panels(spark, sf_dir), CONFIG).select("trip", "panel_id", "contacts")
+    return visibility.passages_by_sample(hops, nodes, D.event_panels(spark, sf_dir), CONFIG).select("trip", "panel_id", "contacts")
 
 
-@query("trip_distance", f"WITH {D.POINTS_SQL}, h AS (SELECT grid_ord % 10 AS trip, x, y, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord % 10 ORDER BY grid_ord)) SELECT trip, round(sum({D.distance_sql('x', 'y', 'x2', 'y2')}), 6) AS distance_m, count(*) AS hops FROM h WHERE x2 IS NOT NULL GROUP BY trip")  # A12 W7
+@query("trip_distance", f"WITH {D.POINTS_SQL}, h AS (SELECT grid_ord // 20 AS trip, x, y, lead(x) OVER t AS x2, lead(y) OVER t AS y2 FROM pt WINDOW t AS (PARTITION BY grid_ord // 20 ORDER BY grid_ord)) SELECT trip, round(sum({D.distance_sql('x', 'y', 'x2', 'y2')}), 6) AS distance_m, count(*) AS hops FROM h WHERE x2 IS NOT NULL GROUP BY trip")  # A12 W7
 def trip_distance(spark, sf_dir):
     nodes, hops = _walkers(spark, sf_dir)
     return visibility.trip_distance(hops, nodes).withColumn("distance_m", F.round("distance_m", 6))
@@ -480,8 +484,8 @@ def segment_crossing(spark, sf_dir):
 i AS (SELECT *, unnest(range(0, CAST(floor((x1 - x0) / 0.000045) AS BIGINT) + 1)) AS i FROM b), j AS (SELECT *, unnest(range(0, CAST(floor((y1 - y0) / 0.000036) AS BIGINT) + 1)) AS j FROM i)
 SELECT level, count(*) AS n, round(sum(x0 + i * 0.000045) / count(*), 6) AS mean_x, round(sum(y0 + j * 0.000036) / count(*), 6) AS mean_y FROM j GROUP BY level""")  # F7 A14
 def lattice(spark, sf_dir):
-    b = D.points(spark, sf_dir).groupBy("level").agg(geo.bbox(F.collect_list(F.array("x", "y"))).alias("b"))
-    g = b.select("level", F.inline(graphbuild.lattice(F.col("b.min_x"), F.col("b.min_y"), F.col("b.max_x"), F.col("b.max_y"))))
+    b = D.points(spark, sf_dir).groupBy("level").agg(geo.bbox_of(F.col("x"), F.col("y")).alias("b"))
+    g = graphbuild.lattice(b.select("level", "b.*"))
     return g.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") / F.count(F.lit(1)), 6).alias("mean_x"), F.round(F.sum("y") / F.count(F.lit(1)), 6).alias("mean_y"))
 
 
@@ -493,7 +497,8 @@ def mercator(spark, sf_dir):
 
 @query("centroids_bbox", f"WITH {D.POINTS_SQL} SELECT level, round(avg(x), 9) AS mean_x, round(avg(y), 9) AS mean_y, round(min(x), 9) AS min_x, round(max(x), 9) AS max_x, round(min(y), 9) AS min_y, round(max(y), 9) AS max_y FROM pt GROUP BY level")  # A13 A14
 def centroids_bbox(spark, sf_dir):
-    g = D.points(spark, sf_dir).groupBy("level").agg(F.collect_list(F.array("x", "y")).alias("v")).select("level", geo.vertex_mean(F.col("v")).alias("c"), geo.bbox(F.col("v")).alias("b"))
+    x, y = F.col("x"), F.col("y")
+    g = D.points(spark, sf_dir).groupBy("level").agg(geo.mean_of(x, y).alias("c"), geo.bbox_of(x, y).alias("b"))
     r = lambda c, name: F.round(F.col(c), 9).alias(name)
     return g.select("level", r("c.x", "mean_x"), r("c.y", "mean_y"), r("b.min_x", "min_x"), r("b.max_x", "max_x"), r("b.min_y", "min_y"), r("b.max_y", "max_y"))
 
@@ -604,14 +609,14 @@ def shown_edges(spark, sf_dir):
 
 # ---- shortest paths and choice of the next node
 
-_DISTANCE_SQL = f"""WITH RECURSIVE {D.LATTICE_SQL}, sources AS (SELECT k FROM ln WHERE k < 6),
+_DISTANCE_SQL = f"""WITH RECURSIVE {D.LATTICE_SQL}, sources AS (SELECT k FROM ln WHERE type <> 'corridor'),
 best(source, node, dist) USING KEY (source, node) AS (SELECT k, k, 0.0::DOUBLE FROM sources UNION SELECT n.source, n.dst, n.d FROM (SELECT r.source, dst, min(r.dist + w) AS d FROM best r JOIN ld ON src = r.node GROUP BY r.source, dst) n LEFT JOIN recurring.best q ON q.source = n.source AND q.node = n.dst WHERE q.dist IS NULL OR n.d < q.dist)
 SELECT CAST(source AS VARCHAR) AS source, CAST(node AS VARCHAR) AS node, round(dist, 6) AS dist FROM best"""
 
 
 def _sources(spark, sf_dir):
     nodes, edges = D.lattice_graph(spark, sf_dir)
-    return nodes.where("num < 6").select("id"), directed(edges)
+    return paths.decision_nodes(nodes).select("id"), directed(edges)
 
 
 @query("shortest_distances", _DISTANCE_SQL)  # G1 G2 P14
@@ -665,6 +670,44 @@ def config_roundtrip(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, value string")
 
 
+@query("panel_csv", _events("SELECT panel_id, '17056' AS site_id, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, orientation, floor, CAST(row_number() OVER (ORDER BY panel_id) - 1 AS INT) AS panel_ord FROM p"))  # S1 S2 S3 S8
+def panel_csv(spark, sf_dir):
+    """The inventory as a file with a byte order mark, quotes, spaces, blank lines and columns in another order."""
+    p = D.event_panels(spark, sf_dir)
+    line = F.concat_ws(",", F.lit(" " + D.CSV_EXTRA), F.concat(F.lit('"'), "panel_id", F.lit('"')), F.lit(""), F.format_string("%.9f", "latitude"), F.format_string(" %.9f ", "longitude"), F.col("orientation").cast("string"), F.concat(F.lit(" "), "floor"))
+    rows = p.select("panel_ord", line.alias("value")).unionByName(spark.createDataFrame([(-1, "\ufeffnote,panel_id,site_id,latitude,longitude,orientation,floor"), (3, "")], "panel_ord int, value string"))
+    path = f"{shared_dir(spark)}/panels"
+    rows.orderBy("panel_ord").coalesce(1).select("value").write.text(path)
+    return panel_files.read_panels(spark, path).withColumn("latitude", F.round("latitude", 9)).withColumn("longitude", F.round("longitude", 9))
+
+
+@query("map_table", "SELECT CAST(p_partkey AS VARCHAR) AS panel_id, p_name AS name, p_brand AS floor FROM part")  # S6
+def map_table(spark, sf_dir):
+    """A table that turns out to be separated by tabs."""
+    path = f"{shared_dir(spark)}/map"
+    D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("panel_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("floor")).write.option("header", True).option("sep", "\t").csv(path)
+    return panel_files.read_map_table(spark, path)
+
+
+@query("graph_document", f"WITH {D.LATTICE_SQL} SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target, w AS weight, (SELECT count(*) FROM ln) AS n_nodes FROM le")  # S4 K7 J1 F25
+def graph_document(spark, sf_dir):
+    """A graph with a dangling edge, written as a document and read back."""
+    nodes, edges = D.lattice_graph(spark, sf_dir)
+    path = f"{shared_dir(spark)}/graph"
+    edges = edges.drop("pos")
+    graph_files.write_graph(nodes.drop("num"), edges.unionByName(edges.limit(1).withColumn("target", F.lit("nowhere"))), path)
+    nodes, edges = graph_files.read_graph(spark, path)
+    return edges.select("source", "target", "weight").crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n_nodes"))))  # one row
+
+
+@query("feature_document", f"SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS feature_ord, CAST(k AS VARCHAR) AS fid, z AS zone_type, 'Polygon' AS geometry_type, 4 AS vertices FROM (SELECT p_partkey AS k, ([{', '.join(f"'{z}'" for z in _KINDS)}])[CAST(p_partkey % 11 + 1 AS INT)] AS z FROM part)")  # S5 K8
+def feature_document(spark, sf_dir):
+    path = f"{shared_dir(spark)}/zones"
+    geojson.write_features(_zones(spark, sf_dir), "zones", path)
+    f = geojson.read_features(spark, path)
+    return f.select("feature_ord", F.col("properties")["fid"].alias("fid"), F.col("properties")["zone_type"].alias("zone_type"), "geometry_type", F.size(geojson.vertices(F.col("geometry_type"), F.col("coordinates"))).alias("vertices"))
+
+
 @query("venue_graph")  # G5 F7 F4 J5 J6 J7 J8 P13 A19: tested against brute force
 def venue_graph(spark, sf_dir):
     classified = topology.classify(topology.convert(venue.zones(spark)))

@@ -6,6 +6,8 @@ hit. Embedding components 1 and 2, scaled, are positions in metres around an ori
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,10 +15,10 @@ from pyspark.sql.window import Window as W
 from strider.operators.visibility import rises
 
 PANELS_PER_TYPE, HIT = 11, 50.0
+CSV_EXTRA = "kept apart"
 ORIGIN_X, ORIGIN_Y = 174.777, -36.871
 #: Degrees by unit of an embedding component: 100 m.
 SCALE_X, SCALE_Y = 100.0 / 88800.0, 100.0 / 111000.0
-N_PANELS = 54
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def event_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = event_samples(spark, sf_dir).select("panel_id", "num").distinct()
     num = F.col("num")
     return p.select(
-        "panel_id", F.lit("17056").alias("site_id"), (F.lit(ORIGIN_Y) + num * 0.0001).alias("latitude"), (F.lit(ORIGIN_X) + F.length("panel_id") * 0.0001).alias("longitude"),
+        "panel_id", F.lit("17056").alias("site_id"), (F.lit(ORIGIN_Y) + (num - 5) * 0.00005).alias("latitude"), (F.lit(ORIGIN_X) + (F.length("panel_id") - 7) * 0.0001).alias("longitude"),
         (num * 37 % 360).cast("double").alias("orientation"), (num % 3 + 1).cast("string").alias("floor"), (F.row_number().over(W.orderBy("panel_id")) - 1).alias("panel_ord"),
     )
 
@@ -53,7 +55,7 @@ def events_sql(people: int | None = None) -> str:
     return f"""s AS (SELECT {person} AS person, event_type || '_' || (event_id % {PANELS_PER_TYPE}) AS panel_id, event_id % {PANELS_PER_TYPE} AS num, ts, event_id, value >= {HIT} AS hit FROM events),
 r AS (SELECT *, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY person, panel_id ORDER BY ts, event_id), false) AS rise FROM s),
 x AS (SELECT person, panel_id, CAST(sum(rise::INT) AS BIGINT) AS contacts FROM r GROUP BY ALL),
-p AS (SELECT DISTINCT panel_id, num, {ORIGIN_Y} + num * 0.0001 AS latitude, {ORIGIN_X} + length(panel_id) * 0.0001 AS longitude, CAST(num * 37 % 360 AS DOUBLE) AS orientation, CAST(num % 3 + 1 AS VARCHAR) AS floor FROM s),
+p AS (SELECT DISTINCT panel_id, num, {ORIGIN_Y} + (num - 5) * 0.00005 AS latitude, {ORIGIN_X} + (length(panel_id) - 7) * 0.0001 AS longitude, CAST(num * 37 % 360 AS DOUBLE) AS orientation, CAST(num % 3 + 1 AS VARCHAR) AS floor FROM s),
 pool AS (SELECT count(DISTINCT user_id) AS n FROM events),
 m AS (SELECT p.panel_id, floor, latitude, longitude, orientation, count(DISTINCT person) FILTER (contacts > 0) AS unique_reach, CAST(coalesce(sum(contacts), 0) AS BIGINT) AS contacts FROM p LEFT JOIN x USING (panel_id) GROUP BY ALL)"""
 
@@ -73,12 +75,15 @@ def distance_sql(x1: str, y1: str, x2: str, y2: str) -> str:
 
 
 def point_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first points as panels."""
-    p = points(spark, sf_dir).where(F.col("grid_ord") < N_PANELS)
+    """All points as panels."""
+    p = points(spark, sf_dir)
     return p.select(F.col("grid_ord").cast("string").alias("panel_id"), F.lit("17056").alias("site_id"), F.col("y").alias("latitude"), F.col("x").alias("longitude"), (F.col("grid_ord") * 37 % 360).cast("double").alias("orientation"), F.col("level").alias("floor"), F.col("grid_ord").cast("int").alias("panel_ord"))
 
 
-PANELS_SQL = f"pn AS (SELECT CAST(grid_ord AS VARCHAR) AS panel_id, y AS py, x AS px, CAST(grid_ord * 37 % 360 AS DOUBLE) AS orientation, level AS floor FROM pt WHERE grid_ord < {N_PANELS})"
+PANELS_SQL = f"pn AS (SELECT CAST(grid_ord AS VARCHAR) AS panel_id, y AS py, x AS px, CAST(grid_ord * 37 % 360 AS DOUBLE) AS orientation, level AS floor FROM pt)"
+#: The inventory of the events: see event_panels.
+INVENTORY_SQL = f"""pn AS (SELECT DISTINCT panel_id, {ORIGIN_Y} + (num - 5) * 0.00005 AS py, {ORIGIN_X} + (length(panel_id) - 7) * 0.0001 AS px, CAST(num * 37 % 360 AS DOUBLE) AS orientation, CAST(num % 3 + 1 AS VARCHAR) AS floor
+  FROM (SELECT event_type || '_' || (event_id % {PANELS_PER_TYPE}) AS panel_id, event_id % {PANELS_PER_TYPE} AS num FROM events))"""
 
 
 def view_sql(x: str, y: str, hx: str, hy: str, view_dist: float, cos_cone: float) -> str:
@@ -92,18 +97,26 @@ def view_sql(x: str, y: str, hx: str, hy: str, view_dist: float, cos_cone: float
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges between suppliers and parts: a sparse graph with many components; some ends are no nodes."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.095")
-    edges = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_quantity").alias("weight"), F.lit("1").alias("level"), F.lit("corridor").alias("type"))
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("shop_entry").alias("type"))
-    p = table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("corridor").alias("type"))
-    return s.unionByName(p), edges
-
-
-PART_GRAPH_SQL = """ed AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_quantity AS weight FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.095),
-nd AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 10 <> 3),
-ok AS (SELECT * FROM ed WHERE source IN (SELECT id FROM nd) AND target IN (SELECT id FROM nd)),
-both_ AS (SELECT source AS a, target AS b FROM ok UNION SELECT target, source FROM ok)"""
+    """Suppliers, parts, customers, nations and regions as nodes. Every line item links a supplier and a part, which makes
+    one large component with nodes of high degree; every order links its customer to one of the seven in its block of
+    numbers, which makes many small ones, or, where that is itself, to an end that is no node; nations and regions are
+    isolated."""
+    named = lambda letter, c: F.concat(F.lit(letter), c)
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    links = li.select(named("s", F.col("l_suppkey")).alias("source"), named("p", F.col("l_partkey")).alias("target"), F.col("l_quantity").cast("double").alias("weight"))
+    beside = F.floor(F.col("o_custkey") / 7) * 7 + F.col("o_orderkey") % 7
+    other = F.when(beside == F.col("o_custkey"), named("x", beside)).otherwise(named("c", beside))
+    links = links.unionByName(o.select(named("c", F.col("o_custkey")).alias("source"), other.alias("target"), F.col("o_totalprice").cast("double").alias("weight")))
+    kinds = (("supplier", "supp", "shop_entry"), ("part", "part", "corridor"), ("customer", "cust", "mall_entrance"), ("nation", "nation", "elevator"), ("region", "region", "escalator"))
+    nodes = [table(spark, sf_dir, t).select(named(t[0], F.col(f"{t[0]}_{k}key")).alias("id"), F.lit(kind).alias("type")) for t, k, kind in kinds]
+    return reduce(DataFrame.unionByName, nodes), links.withColumn("level", F.lit("1")).withColumn("type", F.lit("corridor"))
+
+
+PART_GRAPH_SQL = """ed AS MATERIALIZED (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_quantity::DOUBLE AS weight FROM lineitem
+  UNION ALL SELECT 'c' || o_custkey, CASE WHEN o_custkey // 7 * 7 + o_orderkey % 7 = o_custkey THEN 'x' ELSE 'c' END || (o_custkey // 7 * 7 + o_orderkey % 7), o_totalprice::DOUBLE FROM orders),
+nd AS MATERIALIZED (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
+ok AS MATERIALIZED (SELECT * FROM ed WHERE source IN (SELECT id FROM nd) AND target IN (SELECT id FROM nd)),
+both_ AS MATERIALIZED (SELECT source AS a, target AS b FROM ok UNION SELECT target, source FROM ok)"""
 
 
 def lattice_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -32,8 +32,10 @@ def vertices(geometry_type: Column, coordinates: Column) -> Column:
 
 
 def rings(geometry_type: Column, coordinates: Column) -> Column:
-    """The rings of a polygon; null for other types."""
-    return F.when(geometry_type == "Polygon", parsed(coordinates, 3))
+    """The rings of a polygon. A geometry of another type has none to give and is refused (D19): a corridor that is a
+    MultiPolygon must be split into its polygons first."""
+    wrong = F.raise_error(F.concat(F.lit("rings of a "), F.coalesce(geometry_type, F.lit("null")), F.lit(": only a Polygon has rings")))
+    return F.when(geometry_type == "Polygon", parsed(coordinates, 3)).otherwise(wrong.cast(array_type(3)))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strider.config import from_args
 from strider.operators import graphbuild, graphqa, paths, topology
 from strider.plans import venue
 from strider.sources import geojson, graph, panels, sinks
@@ -146,3 +147,36 @@ def test_report_files(spark, tmp_path):  # K1-K4
     assert back.count() == 12 and back.columns[0] == "Rank"
     sinks.write_vectors(audience.vectors(ex, pn, 10, "sparse", 1), f"{tmp_path}/v")
     assert {r["Panel ID"]: r["Interaction Data"] for r in spark.read.option("header", True).csv(f"{tmp_path}/v").collect()}["Panel 27000"] == "1;2"
+
+
+def test_nearest_is_exact_at_any_distance(spark):  # J6: cells that grow until k are found
+    rnd = random.Random(3)
+    at = lambda: (174.777 + rnd.uniform(-1, 1) ** 5 * 0.01, -36.871 + rnd.uniform(-1, 1) ** 5 * 0.01)
+    targets = [(i, *at(), rnd.choice("12")) for i in range(200)] + [(900 + i, 174.777, -36.871, "3") for i in range(4)]
+    points = [(f"p{i}", *at(), rnd.choice("123")) for i in range(40)]
+    t = spark.createDataFrame(targets, "grid_ord long, x double, y double, level string")
+    p = spark.createDataFrame(points, "id string, x double, y double, level string")
+    got = sorted((r["id"], r["rank"], r["target_ord"]) for r in graphbuild.nearest(p, t, 10).collect())
+    far = lambda a, b: math.hypot((a[1] - b[1]) * 88800.0, (a[2] - b[2]) * 111000.0)
+    want = [(a[0], k + 1, b[0]) for a in points for k, b in enumerate(sorted((b for b in targets if b[3] == a[3]), key=lambda b: (far(a, b), b[0]))[:10])]
+    assert got == sorted(want)
+    assert graphbuild.nearest(p, t.limit(0)).count() == 0 and graphbuild.nearest(p.limit(0), t).count() == 0
+
+
+def test_what_is_too_large_or_no_polygon_is_refused(spark, monkeypatch):  # D19, broadcasts
+    zone = spark.createDataFrame([("MultiPolygon", "[[[[0,0],[1,0],[1,1],[0,0]]]]")], "t string, c string")
+    with pytest.raises(Exception, match="MultiPolygon"):
+        zone.select(geojson.rings(F.col("t"), F.col("c"))).collect()
+    edges = spark.createDataFrame([("a", "b", 1.0, 0), ("b", "a", 1.0, 1)], "src string, dst string, weight double, pos long")
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert paths.paths(ids, edges, ids).count() == 5
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 2)
+    with pytest.raises(ValueError, match="targets"):
+        paths.paths(ids, edges, ids)
+
+
+def test_command_line():  # S10
+    config, args = from_args(["--panels", "p", "--graph", "g", "--out", "o", "--trips", "20", "--routing-mode", "shortest", "--step-meters", "1.5", "--partitions", "3"])
+    assert (config.weekly_visits, config.routing_mode, config.step_m, args.partitions, args.out) == (20, "shortest", 1.5, 3, "o")
+    with pytest.raises(SystemExit):
+        from_args(["--panels", "p"])
