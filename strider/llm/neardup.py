@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.llm.common import bounded_batches, byte_view, integer_ids, mix64, slices, table
-from strider.storage import shared_dir, written
+from strider.storage import remove, shared_dir, written
 from strider.operators.components import components
 from strider.llm.shingles import shingle_sets
 
@@ -346,6 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blobs = written(blobs, f"{out}/blobs")
     full = written(shingled(texts.join(blobs.select("doc_id").distinct(), "doc_id", "left_semi")), f"{out}/full")
     all_links = links.unionByName(written(linked_within(blobs, full.dropDuplicates(["doc_id", "n_shingles", "shingles"])), f"{out}/links2"))
+    for done in ("firsts", "members", "texts", "near", "placed", "across", "blobs", "full"):
+        remove(spark, f"{out}/{done}")
     final = components(all_links).select(F.col("node").alias("class_id"), "component")
     ids = classes.join(final, "class_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "class_id").alias("_component"))
     result = sets.select("doc_id", "n_shingles", "f1", "f2").join(ids, ["n_shingles", "f1", "f2"], "left")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import bounded_batches, byte_view, fresh, integer_ids, mix64, quoted, slices, table
-from strider.storage import observed, shared_dir, written
+from strider.storage import observed, remove, shared_dir, written
 
 LENGTH, Q = 50, 20
 #: Strings in one context at most; anchors or contexts that a task merges; bytes of texts and of contexts at a time.
@@ -430,6 +430,9 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     if not hot.isEmpty():
         split = found.join(hot, "anchor", "left_semi")
         spans = spans.unionByName(covered(split, written(split_up(split, out), f"{out}/split")))
+    spans = written(spans, f"{out}/spans")
+    for done in ("anchors", "contexts", "hot_anchors", "hot", "strings", "split", "lost"):
+        remove(spark, f"{out}/{done}")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size")).alias(named))
     return docs.join(by_doc.join(copies, "doc_id", "full"), "doc_id", "left"), named, copied
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import BATCH_BYTES, bounded_batches, integer_ids, table
-from strider.storage import shared_dir, written
+from strider.storage import remove, shared_dir, written
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT, URI_BYTES, LEVEL = 16_384, 4_096, 65_536, 0, 65_536, 1
 DATE = "2024-01-01T00:00:00Z"
@@ -264,6 +264,7 @@ def _resolved(spark: SparkSession, path: str, keep: bool) -> DataFrame:
     bounded_batches(spark)
     put = found.where("number > 0").groupBy("origin").applyInArrow(group, FOUND)
     read = written(found.where("number = 0").unionByName(put).drop("number", "total", "block"), f"{out}/records")
+    remove(spark, f"{out}/found")
     own, again = read.where("record_type <> 'revisit'"), read.where("record_type = 'revisit'")
     response = own.where("record_type = 'response'").dropDuplicates(["origin"]).select(F.col("origin").alias("refers_id"), F.struct("payload_digest", "payload_bytes", "problem", "payload").alias("_r"))
     wrong = F.when(F.col("_r").isNull(), "missing response").when(F.col("_r.problem").isNotNull(), "broken response").when(F.col("_r.payload_digest") != F.col("payload_digest"), "wrong digest")
