@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strider.llm import decontam, langid, mixing, neardup, substrings
 from strider.llm.common import fresh, quoted, table
-from strider.storage import shared_dir, written
+from strider.storage import remove, scratch, shared_dir, written
 
 #: The least posterior of a document's language.
 MIN_SCORE = 0.5
@@ -70,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), shared_dir(spark)
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"{out}/{i}")
+        with scratch(spark):  # a stage's own tables go with it, and so does its input
+            docs = written(stage(spark, docs, sf_dir), f"{out}/{i}")
+        remove(spark, f"{out}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
