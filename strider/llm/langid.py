@@ -10,7 +10,7 @@ the training folds) and all their words; a column with more than MAX_LANGS label
 by languages matrix, the only thing broadcast. Prediction reads whole texts and sums over whole words, however long:
 scripts without spaces have sentences for words.
 
-Scale: the sample is chosen on ids alone (a limited ranking per language, pruned before its shuffle); prediction is one
+Scale: every language is learned in a task of its own; the sample is chosen on ids alone (a limited ranking per language, pruned before its shuffle); prediction is one
 scan without shuffle. A task scores each distinct word once and keeps at most CACHE_WORDS of them; memory follows the
 Arrow batch, not the partition, and of a word only the positions that a piece reaches back to are held.
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strider.llm.common import bounded_batches, mix64, quoted, table
+from strider.storage import shared_dir, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 400
@@ -253,38 +254,60 @@ def batches(sizes: list[int], cells: int):
         at += n
 
 
-def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> Model:
-    """words: per language, counts of words."""
-    langs = sorted(words)
-    longest = max((len(p) for p in pieces), default=1)
-    hashes = piece_hashes(pieces)
-    rising = np.argsort(hashes)
-    hashes, lengths = hashes[rising], np.array([len(pieces[i]) for i in rising], np.float64)
-    used = np.zeros(len(hashes), bool)
-    lattices = {}
-    for lang in langs:
-        known = sorted(words[lang], key=lambda w: (-len(w), w))
-        lattices[lang] = []
-        for part in batches([len(w) + 1 for w in known], BATCH_CELLS):
-            lat = Lattice([MARK + w for w in known[part]], hashes, longest)
-            lattices[lang].append((lat, np.array([words[lang][w] for w in known[part]], np.float64)[lat.order]))
+@dataclass
+class Pieces:
+    """A vocabulary: hashes (rising) and lengths of its pieces."""
+
+    hashes: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(pieces: list[str]) -> "Pieces":
+        hashes = piece_hashes(pieces)
+        rising = np.argsort(hashes)
+        return Pieces(hashes[rising], np.array([len(pieces[i]) for i in rising], np.int64))
+
+    @property
+    def longest(self) -> int:
+        return int(self.lengths.max(initial=1))
+
+    def lattices(self, words: list[str]):
+        """(batch of word numbers, lattice) over all words."""
+        order = sorted(range(len(words)), key=lambda i: (-len(words[i]), words[i]))
+        for part in batches([len(words[i]) + 1 for i in order], BATCH_CELLS):
+            lat = Lattice([MARK + words[i] for i in order[part]], self.hashes, self.longest)
+            yield np.array(order[part])[lat.order], lat
+
+    def used(self, words: list[str]) -> np.ndarray:
+        """Numbers of the pieces that occur in words."""
+        out = np.zeros(len(self.hashes), bool)
+        for _, lat in self.lattices(words):
             for ids in lat.ids:
-                used[ids[ids >= 0]] = True
-    kept = np.flatnonzero(used)  # what no training word holds has no evidence for any language
-    place = np.full(len(hashes) + 1, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    hashes, scale = hashes[kept], SCALE ** lengths[kept]
-    prob = np.zeros((len(kept) + 2, len(langs)))
-    for j, lang in enumerate(langs):
-        for lat, _ in lattices[lang]:
-            lat.ids = [place[ids] for ids in lat.ids]
-        p = np.full(len(kept), 1 / max(1, len(kept)))
+                out[ids[ids >= 0]] = True
+        return np.flatnonzero(out)
+
+    def only(self, kept: np.ndarray) -> "Pieces":
+        return Pieces(self.hashes[kept], self.lengths[kept])
+
+    def learned(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """A column of the model: scaled probabilities of the pieces, learned by expectation maximisation."""
+        n, scale = len(self.hashes), SCALE ** self.lengths.astype(np.float64)
+        mine = [(lat, counts[which].astype(np.float64)) for which, lat in self.lattices(words)]
+        p = np.full(n, 1 / max(1, n))
+        column = lambda: np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))
         for _ in range(ROUNDS):
-            column = np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))[:, None]
-            uses = sum((lat.expected(column, counts) for lat, counts in lattices[lang]), np.zeros(len(kept)))
-            p = (uses + SMOOTHING) / (uses.sum() + SMOOTHING * len(kept))
-        prob[:, j] = np.concatenate((p * scale, [0.0, UNKNOWN * SCALE]))
-    return Model(langs, hashes, prob, int(lengths[kept].max(initial=1)))
+            uses = sum((lat.expected(column()[:, None], c) for lat, c in mine), np.zeros(n))
+            p = (uses + SMOOTHING) / (uses.sum() + SMOOTHING * n)
+        return column()
+
+
+def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> Model:
+    """words: per language, counts of words. What `train` does, in this process."""
+    langs, vocabulary_ = sorted(words), Pieces.of(pieces)
+    # what no training word holds has no evidence for any language
+    kept = vocabulary_.only(np.unique(np.concatenate([np.empty(0, np.int64), *(vocabulary_.used(list(words[x])) for x in langs)])))
+    columns = [kept.learned(list(words[x]), np.array(list(words[x].values()))) for x in langs]
+    return Model(langs, kept.hashes, np.stack(columns, 1) if columns else np.zeros((len(kept.hashes) + 2, 0)), kept.longest)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -309,10 +332,26 @@ def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int =
     # at most sample_docs ids for each language
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    found: dict[str, dict[str, int]] = {r["lang"]: {} for r in n_all}
-    for r in words.collect():  # of at most sample_docs texts for each language
-        found[r["lang"]][r["word"]] = r["count"]
-    return fit({k: v for k, v in found.items() if v}, vocabulary(vocabulary_path))
+    spark = docs.sparkSession
+    words = written(words, f"{shared_dir(spark)}/words")
+    every = Pieces.of(vocabulary(vocabulary_path))
+    shared = spark.sparkContext.broadcast(every)  # a vocabulary
+
+    def used(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.used(batch.column(0).to_pylist()))], ["piece"])
+
+    kept = every.only(np.sort(words.select("word").mapInArrow(used, "piece long").distinct().toArrow().column(0).to_numpy()))  # of a vocabulary
+    shared_kept = spark.sparkContext.broadcast(kept)
+
+    def learn(t: pa.Table) -> pa.Table:
+        column = shared_kept.value.learned(t.column("word").to_pylist(), t.column("count").to_numpy())
+        return pa.table({"lang": t.column("lang").slice(0, 1), "column": pa.array([column.tobytes()], pa.binary())})
+
+    # a language's words are those of at most sample_docs texts; a column is as long as the vocabulary
+    columns = sorted((r["lang"], r["column"]) for r in words.groupBy("lang").applyInArrow(learn, "lang string, column binary").collect())
+    prob = np.stack([np.frombuffer(c) for _, c in columns], 1) if columns else np.zeros((len(kept.hashes) + 2, 0))
+    return Model([x for x, _ in columns], kept.hashes, prob, kept.longest)
 
 
 ADDED = ("lang_pred", "score", "n_words")
