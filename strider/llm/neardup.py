@@ -52,7 +52,7 @@ COLLISION = 0.169919487159739
 #: Members of a mixed group that one task compares: outsiders by all others.
 OUTSIDERS, OTHERS = 4_000, 32_000
 #: Bytes of shingle sets in a block that is verified against another.
-VERIFY = 4 << 20
+VERIFY = 2 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, small binary, large binary"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("small", pa.binary()), ("large", pa.binary())])
@@ -227,7 +227,8 @@ def _across(members: DataFrame) -> DataFrame:
                 forest.join(i, js[_likely(regs[js], regs[i][None, :], n[js], n[i])])
         return forest.table()
 
-    return others.unionByName(outsiders).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    # blocks of one key go to tasks of their own
+    return others.unionByName(outsiders).repartition("key", "x", "y").groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 class Forest:
@@ -310,7 +311,8 @@ def linked_within(blobs: DataFrame, sets: DataFrame) -> DataFrame:
         return forest.table()
 
     bounded_batches(blobs.sparkSession)
-    return others.unionByName(outsiders).groupBy("blob", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    # blocks of one blob go to tasks of their own
+    return others.unionByName(outsiders).repartition("blob", "x", "y").groupBy("blob", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
