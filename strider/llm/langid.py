@@ -43,7 +43,7 @@ SPARE = 200
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
 CACHE_WORDS = 200_000
 #: Positions between rescalings; words from LONG on are scored in blocks of SPAN; positions of words at a time.
-STEP, LONG, SPAN, BATCH_CELLS = 24, 256, 64, 400_000
+STEP, LONG, SPAN, BATCH_CELLS = 24, 256, 64, 100_000
 MARK, UND = "▁", "und"
 #: Probabilities are scaled by this per character, which keeps products between rescalings in range.
 SCALE = 16.0
@@ -202,7 +202,7 @@ class Model:
         positions, so a block of SPAN characters is a matrix from the positions before it to those at its end. The
         matrices of many blocks are computed at once and multiplied in order."""
         k_max, n_langs = max(1, self.longest), len(self.langs)
-        blocks = max(1, BATCH_CELLS * 4 // ((k_max + 1) * k_max * n_langs))
+        blocks = max(1, BATCH_CELLS * 16 // ((k_max + 1) * k_max * n_langs))
         state, logs = np.zeros((k_max, n_langs)), np.zeros(n_langs)  # state[s]: at the character s before
         state[0] = 1.0
         at = 0
