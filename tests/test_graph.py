@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strider.config import from_args
-from strider.operators import graphbuild, graphqa, paths, topology
+from strider.operators import components, graphbuild, graphqa, paths, topology
 from strider.plans import venue
 from strider.sources import geojson, graph, panels, sinks
 
@@ -180,3 +180,26 @@ def test_command_line():  # S10
     assert (config.weekly_visits, config.routing_mode, config.step_m, args.partitions, args.out) == (20, "shortest", 1.5, 3, "o")
     with pytest.raises(SystemExit):
         from_args(["--panels", "p"])
+
+
+@pytest.mark.parametrize("at_once", [0, 10**6])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, at_once):  # G3 A18
+    monkeypatch.setattr(components, "FINISH", at_once)
+    rnd = random.Random(at_once)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + rnd.randrange(200), 1000 + rnd.randrange(200)) for _ in range(150)] + [(5000, 5000 + k) for k in range(200)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    for name in (int, lambda x: f"n{x:05}"):
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], ["a", "b"])
+        got = {r["node"]: r["component"] for r in components.components(df).collect()}
+        assert got == {name(k): name(v) for k, v in want.items()}
+    assert components.components(df.limit(0)).count() == 0
