@@ -1,6 +1,6 @@
 """Shortest paths from many sources.
 
-`distances` and `paths` run one source per row inside Arrow batches over a broadcast graph of checked size; beyond
+`distances`, `paths` and `path_lengths` run one source per row inside Arrow batches over a broadcast graph of checked size; beyond
 BROADCAST_EDGES, and where a plan without Python is wanted, `relaxed_distances` relaxes all sources together with joins.
 """
 
@@ -31,29 +31,45 @@ class Graph:
 
     def __init__(self, ids: list[str], src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
         self.ids = ids
-        order = np.argsort(src, kind="stable")
-        self.first = np.searchsorted(src[order], np.arange(len(ids) + 1))
-        self.dst, self.weight = dst[order], weight[order]
+        n = len(ids)
+        self.out = [[] for _ in range(n)]
+        for u, v, w in zip(src.tolist(), dst.tolist(), weight.tolist()):
+            self.out[u].append((v, w))
+        by = np.lexsort((weight, dst, src))
+        pair = src[by].astype(np.int64) * n + dst[by]
+        least = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.pair, self.least = pair[least], np.asarray(weight, float)[by[least]]
 
     def tree(self, source: int) -> tuple[np.ndarray, np.ndarray]:
         """Distances (inf where there is no way) and predecessors (-1); of equal ways the smallest predecessor."""
         n = len(self.ids)
-        dist, prev = np.full(n, np.inf), np.full(n, -1)
+        dist, prev, done = [np.inf] * n, [-1] * n, [False] * n
         dist[source] = 0.0
-        heap, done = [(0.0, source)], np.zeros(n, bool)
+        heap = [(0.0, source)]
         while heap:
             d, u = heapq.heappop(heap)
             if done[u]:
                 continue
             done[u] = True
-            for k in range(self.first[u], self.first[u + 1]):
-                v, alt = self.dst[k], d + self.weight[k]
+            for v, w in self.out[u]:
+                alt = d + w
                 if alt < dist[v]:
                     dist[v], prev[v] = alt, u
                     heapq.heappush(heap, (alt, v))
                 elif alt == dist[v] and not done[v] and u < prev[v]:
                     prev[v] = u
-        return dist, prev
+        return np.array(dist), np.array(prev)
+
+    def along(self, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and summed weight of the hops of every node's path. Paths of one source share their beginnings: each
+        hop is looked up once, and sums double the part of a path that they cover until all begin at its source."""
+        hit = np.flatnonzero(prev >= 0)
+        hops, length, up = (prev >= 0).astype(np.int64), np.zeros(len(prev)), np.arange(len(prev))
+        length[hit] = self.least[np.searchsorted(self.pair, prev[hit] * len(prev) + hit)]
+        up[hit] = prev[hit]
+        while (up[up] != up).any():
+            hops, length, up = hops + hops[up], length + length[up], up[up]
+        return hops, length
 
     def path(self, prev: np.ndarray, source: int, target: int) -> list[int]:
         if target != source and prev[target] < 0:
@@ -122,6 +138,18 @@ def paths(sources: DataFrame, edges: DataFrame, targets: DataFrame | None = None
     return _per_source(sources, edges, "source string, target string, dist double, path array<string>", rows)
 
 
+def path_lengths(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """M5: source, node, hops, length: the weights of the hops of each of the `paths`, added up without a row or an array
+    for its hops, which are far more than the paths."""
+
+    def rows(graph, source, dist, prev, at):
+        hit = np.flatnonzero(np.isfinite(dist))
+        hops, length = graph.along(prev)
+        return pa.RecordBatch.from_arrays([pa.array([source] * len(hit), pa.string()), pa.array([graph.ids[i] for i in hit], pa.string()), pa.array(hops[hit]), pa.array(length[hit])], ["source", "node", "hops", "length"])
+
+    return _per_source(sources, edges, "source string, node string, hops long, length double", rows)
+
+
 def relaxed_distances(sources: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """The same as `distances` by relaxing with joins: only what improved in the last round goes on, written to the
     shared folder every CUT rounds."""
