@@ -1,12 +1,13 @@
 """Shortest paths from many sources.
 
 `distances`, `paths` and `path_lengths` run one source per row inside Arrow batches over a broadcast graph of checked size; beyond
-BROADCAST_EDGES, and where a plan without Python is wanted, `relaxed_distances` relaxes all sources together with joins.
+BROADCAST_EDGES, and where no source should be searched from by itself, `relaxed_distances` finds all distances with joins.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strider.storage import shared_dir, written
+from strider.storage import observed, shared_dir, written
 
 BROADCAST_EDGES = 5_000_000
-CUT = 4
+#: Edges for which an order of elimination is looked for, neighbours that a node may have when it is taken out, the squares
+#: of these numbers summed over the nodes, and links there and back that may be held at once.
+PLAN_EDGES, MOST_LINKS, MOST_WORK, MOST_LIVE = 500_000, 400, 60_000_000, 1_500_000
+#: Labels of sources that are broadcast at once, and products of them and nodes in a task.
+START_ROWS, TASK_LABELS = 500_000, 40_000_000
 DECISION_TYPES = ("mall_entrance", "shop_entry")
 
 
@@ -150,11 +155,140 @@ def path_lengths(sources: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_source(sources, edges, "source string, node string, hops long, length double", rows)
 
 
+def elimination(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple | None:
+    """An order of n nodes in which each is taken out and its neighbours are linked by the ways through it. Returns the
+    nodes in order and, by place in it, where the links to later places begin, these places and the weights there and
+    back (inf: none). None where a node would keep over MOST_LINKS neighbours, or beyond MOST_WORK or MOST_LIVE, which
+    bound the driver's time and memory.
+
+    The next is one with few neighbours that stands on few others, so that parts are taken out side by side."""
+    near: list[dict] = [{} for _ in range(n)]
+    for u, v, w in zip(src.tolist(), dst.tolist(), weight.tolist()):
+        if u != v:
+            near[u][v] = min(w, near[u].get(v, np.inf))
+            near[v].setdefault(u, np.inf)
+    depth, key = [0] * n, [2 * len(x) for x in near]
+    live = sum(map(len, near))
+    heap = sorted((k, v) for v, k in enumerate(key))
+    order, count, work = [], [0], 0
+    to, weight_to, weight_from = array("q"), array("d"), array("d")
+    while heap:
+        k, v = heapq.heappop(heap)
+        if k != key[v]:
+            continue
+        work += len(near[v]) ** 2
+        if len(near[v]) > MOST_LINKS or work > MOST_WORK or live > MOST_LIVE:
+            return None
+        key[v] = -1
+        order.append(v)
+        links = [(x, near[x].pop(v), there) for x, there in near[v].items()]  # neighbour, weight from and to it
+        near[v] = {}
+        count.append(len(links))
+        for x, from_x, to_x in links:
+            to.append(x)
+            weight_to.append(to_x)
+            weight_from.append(from_x)
+        for i, (x, from_x, to_x) in enumerate(links):
+            at_x = near[x]
+            live -= 2 + 2 * len(at_x)
+            for y, from_y, to_y in links[i + 1 :]:
+                if from_x + to_y < at_x.setdefault(y, np.inf):
+                    at_x[y] = from_x + to_y
+                if from_y + to_x < near[y].setdefault(x, np.inf):
+                    near[y][x] = from_y + to_x
+            live += 2 * len(at_x)
+        for x, _, _ in links:
+            depth[x] = max(depth[x], depth[v] + 1)
+            key[x] = 2 * len(near[x]) + depth[x]
+            heapq.heappush(heap, (key[x], x))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return np.array(order, np.int64), np.cumsum(count), place[np.array(to, np.int64)], np.array(weight_to), np.array(weight_from)
+
+
+def _labels(numbers: DataFrame, plan: tuple) -> DataFrame:
+    """num, hub, there, back: the shortest ways by links to later places from each place to every place that it so
+    reaches, and back (null: no way). A shortest way between two nodes leads over a hub of both."""
+    shared = numbers.sparkSession.sparkContext.broadcast(plan[1:])
+
+    def run(batches):
+        first, *links = (x.tolist() for x in shared.value)
+        links = list(zip(*links))
+        for batch in batches:
+            rows = []
+            for num in batch.column(0).to_pylist():
+                found, heap = {num: (0.0, 0.0)}, [num]
+                while heap:
+                    x = heapq.heappop(heap)
+                    there, back = found[x]
+                    for y, t, b in links[first[x] : first[x + 1]]:
+                        if y in found:
+                            ty, by = found[y]
+                            found[y] = (min(ty, there + t), min(by, back + b))
+                        else:
+                            found[y] = (there + t, back + b)
+                            heapq.heappush(heap, y)
+                rows += [(num, hub, t, b) for hub, (t, b) in found.items()]
+                if len(rows) > 100_000:
+                    yield _label_rows(rows)
+                    rows = []
+            if rows:
+                yield _label_rows(rows)
+
+    return numbers.mapInArrow(run, "num int, hub int, there double, back double")
+
+
+def _label_rows(rows: list[tuple]) -> pa.RecordBatch:
+    num, hub, *ways = zip(*rows)
+    ways = [pa.array(w, mask=np.isinf(w)) for w in map(np.array, ways)]
+    return pa.RecordBatch.from_arrays([pa.array(num, pa.int32()), pa.array(hub, pa.int32()), *ways], ["num", "hub", "there", "back"])
+
+
 def relaxed_distances(sources: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The same as `distances` by relaxing with joins: only what improved in the last round goes on, written to the
-    shared folder every CUT rounds."""
+    """The same as `distances` for all sources together. Graphs of up to PLAN_EDGES edges between which few links come
+    when nodes are taken out (venues, lattices, roads) get labels, and one join of labels on their hubs gives all
+    distances, however many hops they have. Other graphs are relaxed in rounds of joins, one for each hop of the longest
+    of the shortest ways."""
     out = shared_dir(edges.sparkSession)
-    e = written(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), f"{out}/edges")
+    e = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where("src IS NOT NULL AND dst IS NOT NULL AND weight IS NOT NULL")
+    e = written(e, f"{out}/edges")
+    rows = e.orderBy("src", "dst").limit(PLAN_EDGES + 1).toArrow()
+    if len(rows) <= PLAN_EDGES:
+        src, dst = (rows.column(c) for c in ("src", "dst"))
+        ends = pa.chunked_array([*src.chunks, *dst.chunks], src.type).combine_chunks().dictionary_encode()
+        code = ends.indices.to_numpy()
+        plan = elimination(len(ends.dictionary), code[: len(rows)], code[len(rows) :], rows.column("weight").to_numpy())
+        if plan:
+            return _joined(sources, ends.dictionary, plan, out)
+    return _rounds(sources, e, out, max_rounds)
+
+
+def _joined(sources: DataFrame, ids: pa.Array, plan: tuple, out: str) -> DataFrame:
+    """Distances by labels. The sources' labels are broadcast in blocks of START_ROWS; those of a node are together, so
+    that what its hubs give for a source is reduced where it arises."""
+    spark = sources.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    start = sources.select("id").distinct()
+    names = spark.createDataFrame(pa.table({"id": ids.take(pa.array(plan[0])), "num": pa.array(np.arange(len(ids)), pa.int32())}))
+    names = written(names.repartition(4 * cores), f"{out}/names")
+    labels = written(_labels(names.select("num"), plan), f"{out}/labels")
+    starts = labels.where("there IS NOT NULL").join(names.join(start, "id").select("num"), "num").select(F.col("num").alias("source"), "hub", "there")
+    starts, seen = observed(starts, f"{out}/starts", n=F.count(F.lit(1)), least=F.min("source"))
+    blocks = -(-seen["n"] // START_ROWS)
+    parts = max(4 * cores, -(-seen["n"] * len(ids) // max(1, blocks) // TASK_LABELS))
+    ends = labels.where("back IS NOT NULL").select(F.col("num").alias("node"), "hub", "back").repartition(parts, "node")
+    name = lambda c: F.broadcast(names.select(F.col("id").alias(f"_{c}"), F.col("num").alias(c)))
+    # a source without edges reaches itself
+    found = start.join(names, "id", "left_anti").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist"))
+    for k in range(blocks):
+        block = starts.where(F.pmod("source", F.lit(blocks)) == k)
+        best = ends.join(F.broadcast(block), "hub").groupBy("node", "source").agg(F.min(F.col("there") + F.col("back")).alias("dist"))
+        found = found.unionByName(best.join(name("source"), "source").join(name("node"), "node").select(F.col("_source").alias("source"), F.col("_node").alias("node"), "dist"))
+    return found
+
+
+def _rounds(sources: DataFrame, e: DataFrame, out: str, max_rounds: int) -> DataFrame:
+    """Distances by relaxing with joins: only what improved in the last round goes on, written to the shared folder."""
     best = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")).distinct()
     best = front = written(best, f"{out}/start")
     for i in range(max_rounds):
